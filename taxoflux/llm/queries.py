@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxoflux.llm import mixing, quality_rules, sql
+from taxoflux.llm import mixing, ngram_join, quality_rules, sql
 from taxoflux.llm.runtime import Scratch, table
 
 
@@ -13,11 +13,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join(table(spark, sf_dir, "documents"), Scratch(spark))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), save=Scratch(spark).save)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op8_mixing": op8_mixing}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing}
 
 ORACLES = {"op2_quality_rules": sql.OP2, "op8_mixing": sql.OP8}
