@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxoflux.llm import mixing, ngram_join, quality_rules, sql
+from taxoflux.llm import mixing, ngram_join, quality_rules, sql, suffix_dedup
 from taxoflux.llm.runtime import Scratch, table
 
 
@@ -23,6 +23,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup}
 
 ORACLES = {"op2_quality_rules": sql.OP2, "op8_mixing": sql.OP8}

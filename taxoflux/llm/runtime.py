@@ -1,6 +1,7 @@
 """Session helpers shared by the operators: written intermediates in the cluster's shared folder."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,6 +29,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/taxoflux-{uuid.uuid4().hex}"
         self.count = 0
         self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -35,7 +37,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self._keep = getattr(self, "_keep", []) + [out]
+        self.tables.append(out)  # keeps its id from being given to another
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -45,6 +47,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
             path.getFileSystem(conf).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
