@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxoflux.llm import context_tree, mixing, ngram_join, quality_rules, sql, suffix_dedup
+from taxoflux.llm import context_tree, mixing, ngram_join, quality_classifier, quality_rules, sql, suffix_dedup
 from taxoflux.llm.runtime import Scratch, table
 
 
@@ -21,6 +21,10 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"), crc_remainder(7) == 2, Scratch(spark))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_remainder(4) == 2)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.join(table(spark, sf_dir, "documents"), Scratch(spark))
     return joined.select("doc_id", "n_shingles", "component_id")
@@ -35,6 +39,6 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_context_tree": op4_context_tree, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_context_tree": op4_context_tree, "op6_quality_classifier": op6_quality_classifier, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup}
 
 ORACLES = {"op2_quality_rules": sql.OP2, "op8_mixing": sql.OP8}

@@ -78,9 +78,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             start = stop
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word."""
-    inside = ~is_separator()[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word; ``separator`` tells which of the 256 byte values end one."""
+    inside = ~(is_separator() if separator is None else separator)[data]
     n = len(data)
     first = np.zeros(n + 1, bool)
     last = np.zeros(n + 1, bool)
