@@ -79,25 +79,26 @@ def sample_features(batches):
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists], schema=schema)
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
-    """ln of (smoothed share of a feature in class 1 / in class -1)."""
+def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, least: int = 1) -> np.ndarray:
+    """ln of (smoothed share of a feature in class 1 / in class -1); 0 for features of fewer than ``least`` rows."""
     total = {}
+    seen = np.bincount(np.concatenate(rows), minlength=size)
     for k in (1, -1):
         hits = [r for r, label in zip(rows, y) if label == k]
         counts = 1.0 + (np.bincount(np.concatenate(hits), minlength=size) if hits else np.zeros(size))
         total[k] = counts / (len(hits) + 2.0)
-    return np.log(total[1] / total[-1])
+    return np.where(seen >= least, np.log(total[1] / total[-1]), 0.0)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, seed: int = 6) -> tuple[np.ndarray, float, float]:
-    """(weights with the log-count ratios multiplied in and the bias last, Platt's a and b)."""
+def fit(rows: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, seed: int = 6, least: int = 1) -> tuple[np.ndarray, float, float, np.ndarray]:
+    """(weights with the log-count ratios multiplied in and the bias last, Platt's a and b, the ratios)."""
     apart = np.arange(len(rows)) % 4 == 3
     if len(set(y[~apart].tolist())) < 2:
         return np.zeros(size + 1), 1.0, 0.0, np.ones(size)
     part = [r for r, a in zip(rows, apart) if not a]
 
     def model(part, label):
-        ratio = log_count_ratio(part, label, size)
+        ratio = log_count_ratio(part, label, size, least)
         share = (label > 0).mean()
         each = np.where(label > 0, 0.5 / share, 0.5 / (1 - share)) * cost
         return ratio, hinge_by_dual_descent(part, ratio, label, each, seed=seed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxoflux.llm import context_tree, mixing, ngram_join, quality_classifier, quality_rules, sql, suffix_dedup
+from taxoflux.llm import context_tree, mixing, ngram_join, quality_classifier, quality_rules, sql, suffix_dedup, toxicity
 from taxoflux.llm.runtime import Scratch, table
 
 
@@ -39,6 +39,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_context_tree": op4_context_tree, "op6_quality_classifier": op6_quality_classifier, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_remainder(3) == 1)
+
+
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_context_tree": op4_context_tree, "op6_quality_classifier": op6_quality_classifier, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
 
 ORACLES = {"op2_quality_rules": sql.OP2, "op8_mixing": sql.OP8}
