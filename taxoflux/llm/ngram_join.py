@@ -36,8 +36,9 @@ from taxoflux.llm.runtime import Scratch
 from taxoflux.llm.textbytes import pieces, shingle_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
-#: Shingles that get a place at the end of the order; 8 bytes each, whatever the size of the input.
-ORDERED = 200_000
+#: Shingles with at least 1 / ORDERED of all repeated occurrences get a place at the end of the order:
+#: ORDERED of them at most, 12 bytes each, whatever the size of the input.
+ORDERED = 1_000_000
 BLOCK_SHINGLES = 1_000_000
 
 
@@ -77,7 +78,7 @@ def classes_of(k: int):
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema
             )
-            if held > 4_000_000:
+            if held > 2_000_000:
                 yield common(parts)
                 parts, held = [], 0
         if parts:
@@ -161,19 +162,16 @@ def chain(batches):
 
 
 def member_sets(k: int):
-    """Documents -> (set_id, size, shingles as bytes), each different set once a task."""
-    schema = pa.schema([("set_id", pa.int64()), ("size", pa.int32()), ("shingles", pa.binary())])
+    """Documents chosen to stand for a set -> (label, own, blocks, set_id, shingles as bytes)."""
+    schema = pa.schema([("label", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("set_id", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        seen: set[int] = set()
-        for _, sets in row_sets(batches, k):
-            out = []
-            for s in sets:
-                if len(s) and (i := set_digest(s)) not in seen:
-                    seen.add(i)
-                    out.append((i, len(s), s.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        for rows, sets in row_sets(batches, k):
+            wanted = rows.column(rows.schema.get_field_index("set_id")).to_pylist()
+            at = [i for i, s in enumerate(sets) if len(s) and set_digest(s) == wanted[i]]  # not other rows of that doc_id
+            if at:
+                columns = [rows.column(rows.schema.get_field_index(f.name)).take(pa.array(at)) for f in schema if f.name != "shingles"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in at], pa.binary())], schema=schema)
 
     return run
 
@@ -292,27 +290,33 @@ def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: i
     texts = docs.select("doc_id", "text")
     first = scratch.save(texts.mapInArrow(classes_of(k), "doc_id long, n_shingles long, set_id long, shingle long, times long"))
     classes = first.where("shingle is null").select("doc_id", "n_shingles", "set_id")
-    often = first.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(ordered)
-    often = often.toArrow().to_pandas()
+    often = scratch.save(first.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")))
+    total = often.agg(F.sum("times")).first()[0] or 0
+    often = often.where(F.col("times") * F.lit(ordered) >= F.lit(total)).orderBy(F.desc("times"), "shingle").toArrow().to_pandas()
     keys = often["shingle"].to_numpy(np.int64).view(np.uint64)
     place = np.argsort(keys)
     order = spark.sparkContext.broadcast((keys[place], (len(keys) - place).astype(np.int32)))  # ORDERED rows at most
     heads = texts.mapInArrow(prefixes_of(k, order), "shingle long, set_id long, size int")
     runs = heads.repartition(F.col("shingle")).sortWithinPartitions("shingle", "size", "set_id")
     near = scratch.save(runs.mapInArrow(chain, "a long, b long").distinct())
+    scratch.release()
     groups = components(near, scratch)
     scratch.drop(near)
-    # one document of each set that is to be compared
-    chosen = classes.where("doc_id is not null and set_id is not null").join(groups.select(F.col("node").alias("set_id")), "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("chosen"))
-    members = texts.join(chosen.select(F.col("chosen").alias("doc_id")), "doc_id", "left_semi").mapInArrow(member_sets(k), "set_id long, size int, shingles binary")
-    sets = scratch.save(members.join(groups.withColumnRenamed("node", "set_id"), "set_id"))
-    blocks = sets.groupBy("label").agg(F.count("*").alias("n"), F.ceil(F.sum("size") / F.lit(block)).cast("int").alias("blocks")).where("n > 1")
+    scratch.release()
+    # one document stands for each set that is to be compared; only these narrow rows are grouped
+    chosen = classes.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    chosen = scratch.save(chosen.join(groups.withColumnRenamed("node", "set_id"), "set_id"))
+    blocks = chosen.groupBy("label").agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks")).where("sets > 1")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    dealt = sets.join(blocks, "label").withColumn("own", own)
+    chosen = chosen.join(blocks, "label").select("doc_id", "set_id", "label", "blocks", own.alias("own"))
+    sets = texts.join(chosen, "doc_id").select("text", "label", "own", "blocks", "set_id")
+    dealt = sets.mapInArrow(member_sets(k), "label long, own int, blocks int, set_id long, shingles binary")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "set_id", "shingles")
     dealt = dealt.repartition("label", "b1", "b2").sortWithinPartitions("label", "b1", "b2", "set_id")
-    return classes, scratch.save(dealt.mapInArrow(links_in_groups, "a long, b long").distinct())
+    links = scratch.save(dealt.mapInArrow(links_in_groups, "a long, b long").distinct())
+    scratch.release()
+    return classes, links
 
 
 def join(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, **limits) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxoflux.llm import context_tree, mixing, ngram_join, quality_classifier, quality_rules, sql, suffix_dedup, toxicity
+from taxoflux.llm import context_tree, mixing, ngram_join, pii, quality_classifier, quality_rules, sql, suffix_dedup, toxicity
 from taxoflux.llm.runtime import Scratch, table
 
 
@@ -21,6 +21,10 @@ def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"), crc_remainder(7) == 2, Scratch(spark))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_remainder(4) == 2)
 
@@ -43,6 +47,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_remainder(3) == 1)
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_context_tree": op4_context_tree, "op6_quality_classifier": op6_quality_classifier, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op4_context_tree": op4_context_tree, "op5_pii": op5_pii, "op6_quality_classifier": op6_quality_classifier, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
 
 ORACLES = {"op2_quality_rules": sql.OP2, "op8_mixing": sql.OP8}
