@@ -1,6 +1,6 @@
 """Operator 3: benchmark decontamination by templates.  DataFrame functions only.
 
-Tokens are canonicalised: numbers, capitalised names and units (after a number) become typed
+Tokens are canonicalised: numbers, names (capitalised inside a sentence) and units (after a number) become typed
 placeholders, other words lose case and outer marks.  Windows of WINDOW canonical tokens of items and
 documents are hash-joined; matches are gathered by (document, item, offset), so that only windows in line
 count together.  A pair whose line covers at least COVERED of the item's windows is checked for slots: what
@@ -43,7 +43,8 @@ def canonical(text: Column) -> Column:
     x = F.regexp_replace(text, rf"(?<=[0-9%]{SPACE})(?i:{units}){TAIL}", "\u0002")
     x = F.regexp_replace(x, rf"{OPEN}[+$€£-]?[0-9][0-9.,:/-]*%?(?i:{units})?{TAIL}", "\u0001")
     x = F.when(text.rlike("[0-9]"), x).otherwise(text)
-    x = F.regexp_replace(x, rf"\p{{Lu}}(?<={OPEN}\p{{Lu}})[\p{{Ll}}\p{{M}}'’-]+{TAIL}", "\u0003")
+    # a capital after the end of a sentence names nothing
+    x = F.regexp_replace(x, rf"\p{{Lu}}(?<=[^.!?\x20\x09-\x0D]{SPACE}[(\[\x22'“]{{0,2}}\p{{Lu}})[\p{{Ll}}\p{{M}}'’-]+{TAIL}", "\u0003")
     return F.lower(F.regexp_replace(x, MARKS + "+", ""))
 
 

@@ -78,3 +78,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, seed=SEED, save
         .withColumn("copies", whole + extra)
         .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def emit(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, seed=SEED, save=lambda df: df, broadcast_sources: int = 100_000) -> DataFrame:
+    """The mix itself: every document, all columns, once for each of its copies, with ``copy`` from 1.
+
+    Texts stay where they are while sources number at most ``broadcast_sources`` (counted first); beyond,
+    the join is by shuffle, which splits large sources."""
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"))
+    sizes = docs.select("source", n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    rates = save(targets(sizes, weights, max_repeat).select("source", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate")))
+    if rates.count() <= broadcast_sources:
+        rates = F.broadcast(rates)
+    rate, whole = F.col("__rate"), F.floor(F.col("__rate"))
+    copies = (whole + (unit_hash(F.col("__id"), seed) < rate - whole).cast("long")).cast("int")
+    joined = packed.join(rates, F.col("__source").eqNullSafe(rates["source"])).where(copies > 0)
+    return joined.select("__row", F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).select("__row.*", F.col("__copy").alias("copy"))

@@ -330,3 +330,12 @@ def join(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, **limits) -> DataF
     by_set = named.join(smallest, "label").select(F.col("set_id").alias("own_set"), "component")
     out = classes.join(by_set, F.col("set_id") == F.col("own_set"), "left")
     return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, scratch: Scratch, **limits) -> DataFrame:
+    """The documents, all columns, of which one of each group of links stays, that of the smallest
+    doc_id.  Documents without words, or without a doc_id, link with nothing here and stay."""
+    named = docs.where(F.col("doc_id").isNotNull())
+    joined = join(named, scratch, **limits)
+    gone = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(scratch.save(gone), F.col("doc_id") == F.col("__gone"), "left_anti")

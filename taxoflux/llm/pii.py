@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 5
@@ -329,6 +330,10 @@ def masker(weights):
 
 
 def mask(docs: DataFrame, **training) -> DataFrame:
-    """The same rows and columns, with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE]."""
+    """The same rows and columns, with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE];
+    a column n_chars, if there is one, follows the text."""
     weights = docs.sparkSession.sparkContext.broadcast(train(**training))
-    return docs.mapInArrow(masker(weights), docs.schema)
+    masked = docs.mapInArrow(masker(weights), docs.schema)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+    return masked

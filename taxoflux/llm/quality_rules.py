@@ -117,3 +117,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...
         base = (base | r.reject()) if r.base else base
     out = metrics(docs, keep).withColumns({"base_failed": base, "rejected_by": first})
     return out.withColumn("kept", F.col("rejected_by").isNull())
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, **sample) -> DataFrame:
+    """The documents, all columns, that no rule rejects."""
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return judge(packed, rules, keep=("__row",), **sample).where("kept").select("__row.*")
