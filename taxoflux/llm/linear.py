@@ -10,14 +10,14 @@ def hinge_by_dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarr
     Row i has the features rows[i], each worth scale[f] and brought to unit length; y is +1 or -1;
     cost[i] bounds its dual variable.  The last weight is the bias."""
     rng = np.random.default_rng(seed)
-    values = [scale[r] for r in rows]
-    values = [v / max(1e-12, np.sqrt(v @ v)) for v in values]
+    length = np.array([max(1e-12, np.sqrt(scale[r] @ scale[r])) for r in rows])  # values are made anew each time: rows are small, all of them aren't
     w, bias = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = scale[r] / length[i]
             gradient = y[i] * (w[r] @ v + bias) - 1
             new = min(max(alpha[i] - gradient / 2.0, 0.0), cost[i])  # |x|**2 is 1, and 1 for the bias
             step = (new - alpha[i]) * y[i]

@@ -3,11 +3,13 @@
 Two documents link when the Jaccard similarity of their sets of five-word shingles is 0.75 or more.
 
 1. Every document's shingle set is hashed; equal sets form one class and are compared once.
-2. Prefix filter: in a global order of shingles, sets with overlap of at least 3/4 of either size
-   share a shingle among the first n - ceil(3n/4) + 1.  Those prefixes are dealt out by shingle and
-   sorted; members of a run are chained by size.  Chaining, not pairing, so a shingle shared by n sets
-   gives n - 1 rows at most.  Any order is exact; shingles seen often come last, so that common passages
-   do not tie unrelated documents together (the ordering table is bounded, see ORDERED).
+2. Prefix filter: shingles are ordered by the number of sets that have them, rarest first; sets that link
+   share one among their first n - ceil(3n/4) + 1.  To count, every set's shingles are dealt out by
+   value, packed (about four bytes each); what only one set has is never sent back, and it fills the
+   prefixes of all sets but those with near copies.  Shingles that are very common already in
+   single tasks are not dealt out; they come last in the order (a bounded table, see ORDERED).
+   Prefix shingles are dealt out and sorted; members of a run are chained by size.  Chaining, not
+   pairing, so a shingle shared by n sets gives n - 1 rows at most.
 3. Components of these chains hold every link.  The sets of a component go to one task, or, beyond
    BLOCK_SHINGLES, in blocks whose pairs go to tasks of bounded size.
 4. There a compressed trie holds the sets in one order.  A set descends it once, sharing its partial
@@ -28,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxoflux.llm.components import components
@@ -93,46 +95,142 @@ def classes_of(k: int):
     return run
 
 
-def in_order(shingles: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A set in the global order: by hash, but those in ``last`` (sorted) after all others, by rank."""
-    if not len(last):
-        return shingles
-    at = np.minimum(np.searchsorted(last, shingles), len(last) - 1)
-    late = last[at] == shingles
-    if not late.any():
-        return shingles
-    tail = shingles[late]
-    return np.concatenate([shingles[~late], tail[np.argsort(rank[at[late]], kind="stable")]])
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers, byte plane by byte plane: leading zeros cost nothing."""
+    x = np.ascontiguousarray(x, np.uint64)
+    return pa.Codec("zstd").compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
 
 
-def prefixes_of(k: int, order):
-    """Documents -> (shingle, set_id, size) for the shingles of each different set's prefix."""
-    schema = pa.schema([("shingle", pa.int64()), ("set_id", pa.int64()), ("size", pa.int32())])
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+
+
+DEALT = pa.schema([(c, pa.int32() if c in ("part", "n", "sets") else pa.bool_() if c == "late" else pa.binary()) for c in ("part", "late", "n", "sets", "ids", "sizes", "rests", "keys", "owners")])
+
+
+def deal(k: int, order, parts: int, flush: int = 2_000_000):
+    """Documents -> packed (key, set) pairs by range of key.  Keys are the first 48 bits of a shingle.
+
+    Very common shingles aren't dealt; where they reach into a set's prefix, the first of them are sent
+    along as ``late``, keys and then their ranks."""
 
     def run(batches):
         last, rank = order.value
         seen: set[int] = set()
+        held: list[tuple[int, int, np.ndarray]] = []
+        amount = 0
+
+        def out():
+            ids, sizes, rests = (np.array(c, np.int64).view(np.uint64) for c in zip(*((i, n, len(x)) for i, n, x in held)))
+            keys = np.concatenate([x for _, _, x in held])
+            owners = np.repeat(np.arange(len(held)), [len(x) for _, _, x in held])
+            at = np.argsort(keys, kind="stable")
+            keys, owners = keys[at], owners[at]
+            cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) * np.uint64((1 << 48) // parts))
+            cuts[-1] = len(keys)
+            for p in range(parts):
+                a, b = cuts[p], cuts[p + 1]
+                if a < b:
+                    used, own = np.unique(owners[a:b], return_inverse=True)
+                    yield row(p, False, ids[used], sizes[used], rests[used], np.diff(keys[a:b], prepend=np.uint64(0)), own)
+
+        def row(part, late, ids, sizes, rests, keys, owners):
+            return pa.RecordBatch.from_pylist([dict(part=part, late=late, n=len(owners), sets=len(ids), ids=packed(ids), sizes=packed(sizes), rests=packed(rests), keys=packed(keys), owners=packed(owners))], schema=DEALT)
+
         for _, sets in row_sets(batches, k):
-            keys, ids, sizes = [], [], []
+            late = []
             for s in sets:
-                if len(s) and (i := set_digest(s)) not in seen:
-                    seen.add(i)
-                    n = len(s)
-                    head = in_order(s, last, rank)[: n - (3 * n + 3) // 4 + 1]
-                    keys.append(head)
-                    ids.append(i)
-                    sizes.append(n)
-            if keys:
-                lengths = [len(h) for h in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], schema=schema
-                )
+                if not len(s) or (i := set_digest(s)) in seen:
+                    continue
+                seen.add(i)
+                n, rest = len(s), s
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                    common = last[at] == s
+                    if common.any():
+                        rest = s[~common]
+                        if (more := prefix(n) - len(rest)) > 0:
+                            first = np.argsort(rank[at[common]], kind="stable")[:more]
+                            late.append((i, n, len(rest), s[common][first] >> np.uint64(16), rank[at[common]][first]))
+                held.append((i, n, rest >> np.uint64(16)))
+                amount += len(rest)
+            if late:
+                ids, sizes, rests = (np.array([x[c] for x in late], np.int64).view(np.uint64) for c in range(3))
+                keys = np.concatenate([x[3] for x in late] + [x[4].astype(np.uint64) for x in late])
+                yield row(int(ids[0] % np.uint64(parts)), True, ids, sizes, rests, keys, np.repeat(np.arange(len(late)), [len(x[3]) for x in late]))
+            if amount > flush:
+                yield from out()
+                held, amount = [], 0
+        if held:
+            yield from out()
 
     return run
 
 
+def prefix(n):
+    return n - (3 * n + 3) // 4 + 1
+
+
+#: Where the order of very common shingles starts, above all counts.
+LATE = 1 << 40
+
+
+def shared_keys(batches):
+    """Packed rows sorted by part -> (set_id, size, rest, key, place) of keys that two sets have.
+    place orders keys: the number of sets, or LATE + rank."""
+    schema = pa.schema([("set_id", pa.int64()), ("size", pa.int32()), ("rest", pa.int32()), ("key", pa.int64()), ("place", pa.int64())])
+
+    def emit(ids, sizes, rests, keys, place):
+        for a in range(0, len(keys), 100_000):
+            cut = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[cut].view(np.int64)), pa.array(sizes[cut].astype(np.int32)), pa.array(rests[cut].astype(np.int32)), pa.array(keys[cut].view(np.int64)), pa.array(place[cut])], schema=schema)
+
+    def close(rows):
+        if not rows:
+            return
+        ids, sizes, rests, keys = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        at = np.lexsort((ids, keys))
+        keys, ids = keys[at], ids[at]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])  # a set that two tasks have counts once
+        at, keys, ids = at[fresh], keys[fresh], ids[fresh]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        count = np.diff(np.append(start, len(keys)))
+        count = np.repeat(count, count)
+        two = count > 1
+        yield from emit(ids[two], sizes[at[two]], rests[at[two]], keys[two], count[two])
+
+    part, rows = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["part"] != part:
+                yield from close(rows)
+                part, rows = r["part"], []
+            ids, sizes, rests = (unpacked(r[c], r["sets"]) for c in ("ids", "sizes", "rests"))
+            keys, own = unpacked(r["keys"], r["n"] * (1 + r["late"])), unpacked(r["owners"], r["n"]).astype(np.int64)
+            if r["late"]:
+                yield from emit(ids[own], sizes[own], rests[own], keys[: r["n"]], LATE + keys[r["n"] :].astype(np.int64))
+            else:
+                rows.append((ids[own], sizes[own], rests[own], np.cumsum(keys, dtype=np.uint64)))
+    yield from close(rows)
+
+
+def prefix_rows(shared: DataFrame) -> DataFrame:
+    """(set_id, size, rest, key, place) -> (key, set_id, size) of the keys in a set's prefix.
+
+    Of a set's ``rest`` shingles that aren't very common, those that are not here are its own alone
+    and stand before all others."""
+    rows = shared.dropDuplicates(["set_id", "key", "place"])
+    mine = Window.partitionBy("set_id")
+    common = F.sum((F.col("place") < LATE).cast("int")).over(mine)
+    room = F.col("size") - F.floor((3 * F.col("size") + 3) / 4) + 1 - (F.col("rest") - F.col("common"))
+    rows = rows.withColumns({"common": common, "nth": F.row_number().over(mine.orderBy("place", "key"))})
+    return rows.where(F.col("nth") <= room).select("key", "set_id", "size")
+
+
 def chain(batches):
-    """Rows sorted by (shingle, size, set_id) -> (a, b): each set of a run with the run's first set, or
+    """Rows (key, set_id, size) sorted by key, size and set_id -> (a, b): each set of a run with the run's first set, or
     with the one before it if the first is too small; a pair too unlike in size is left out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     carry = None  # last row, and the first row of its run
@@ -296,13 +394,18 @@ def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: i
     keys = often["shingle"].to_numpy(np.int64).view(np.uint64)
     place = np.argsort(keys)
     order = spark.sparkContext.broadcast((keys[place], (len(keys) - place).astype(np.int32)))  # ORDERED rows at most
-    heads = texts.mapInArrow(prefixes_of(k, order), "shingle long, set_id long, size int")
-    runs = heads.repartition(F.col("shingle")).sortWithinPartitions("shingle", "size", "set_id")
+    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = texts.mapInArrow(deal(k, order, parts), ", ".join(f"{f.name} {'int' if pa.types.is_int32(f.type) else 'boolean' if pa.types.is_boolean(f.type) else 'binary'}" for f in DEALT))
+    shared = dealt.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(shared_keys, "set_id long, size int, rest int, key long, place long")
+    heads = scratch.save(prefix_rows(shared))
+    scratch.release()
+    runs = heads.repartition(F.col("key")).sortWithinPartitions("key", "size", "set_id")
     near = scratch.save(runs.mapInArrow(chain, "a long, b long").distinct())
     scratch.release()
     groups = components(near, scratch)
     scratch.drop(near)
     scratch.release()
+    scratch.drop(heads)
     # one document stands for each set that is to be compared; only these narrow rows are grouped
     chosen = classes.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     chosen = scratch.save(chosen.join(groups.withColumnRenamed("node", "set_id"), "set_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from taxoflux.llm.linear import hinge_by_dual_descent, platt, sigmoid
 from taxoflux.llm.textbytes import pieces, shingle_hashes, word_bounds, word_hashes
 
-SAMPLE = 8_000
+SAMPLE = 6_000
 PAIRS = 1 << 16
 SHAPES = PAIRS + (1 << 16)
 SHAPE_VALUES = 4 * 11  # each of two shares as "at least" steps, for word counts below and from 50

@@ -54,7 +54,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_remainder(3) == 1)
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_remainder(3) == 1, Scratch(spark))
 
 
 QUERIES = {"op1_site_style_tree": op1_site_style_tree, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_context_tree": op4_context_tree, "op5_pii": op5_pii, "op6_quality_classifier": op6_quality_classifier, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}

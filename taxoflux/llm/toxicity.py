@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from taxoflux.llm.linear import sigmoid
 from taxoflux.llm.quality_classifier import fit, labelled_sample
+from taxoflux.llm.runtime import Scratch
 from taxoflux.llm.textbytes import pieces, word_bounds, word_hashes
 
 SAMPLE = 8_000
@@ -66,25 +66,47 @@ def features(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sample_words(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("words", pa.list_(pa.string()))])
+    """(doc_id, label, text) -> (label, word) of each different word of a text."""
+    schema = pa.schema([("label", pa.int32()), ("word", pa.string())])
     word = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
     fold = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     for batch in batches:
-        texts = [sorted(set(word.findall((t or "").translate(fold)))) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, schema.field("words").type)], schema=schema)
-
-
-def learn_lexicons(words: list[list[str]], toxic: np.ndarray) -> tuple[list[list[str]], list[str]]:
-    """(LEXICONS lists of strong words, weak words): by how much more often toxic texts have them."""
-    there = {k: Counter(w for ws, t in zip(words, toxic) if t == k for w in ws) for k in (True, False)}
-    n = {k: max(1, int((toxic == k).sum())) for k in (True, False)}
-    least = max(3, 0.01 * n[True])
-    gain = {w: math.log((c + 0.5) / (n[True] + 1)) - math.log((there[False][w] + 0.5) / (n[False] + 1)) for w, c in there[True].items() if c >= least}
-    strong = sorted((w for w, g in gain.items() if g > math.log(20)), key=lambda w: (-gain[w] * there[True][w], w))
+        for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            words = sorted(set(word.findall((text or "").translate(fold))))
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(words), pa.int32()), pa.array(words, pa.string())], schema=schema)
+
+
+def learn_lexicons(sample: DataFrame) -> tuple[list[list[str]], list[str]]:
+    """(LEXICONS lists of strong words, weak words): by how much more often toxic texts have them.
+    Only words of at least a hundredth of the toxic texts reach the driver."""
+    n = {r["label"] > 0: r["n"] for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    least = max(3, 0.01 * n.get(True, 0))
+    counts = sample.mapInArrow(sample_words, "label int, word string").groupBy("word").agg(F.sum((F.col("label") > 0).cast("int")).alias("toxic"), F.count("*").alias("n"))
+    rows = counts.where(F.col("toxic") >= least).collect()
+    gain = {r["word"]: math.log((r["toxic"] + 0.5) / (n.get(True, 0) + 1)) - math.log((r["n"] - r["toxic"] + 0.5) / (n.get(False, 0) + 1)) for r in rows}
+    toxic = {r["word"]: r["toxic"] for r in rows}
+    strong = sorted((w for w, g in gain.items() if g > math.log(20)), key=lambda w: (-gain[w] * toxic[w], w))
     weak = sorted(w for w, g in gain.items() if math.log(4) < g <= math.log(20))
     return [strong[i::LEXICONS] for i in range(LEXICONS)], weak
 
 
+def sample_features(lexicons):
+    """(doc_id, label, text) -> (doc_id, label, mask, features)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("mask", pa.int64()), ("features", pa.list_(pa.int32()))])
+
+    def run(batches):
+        tables = lexicons.value
+        for rows, data, offsets in pieces(batches, limit=PIECE):
+            mask = votes(data, offsets, *tables)
+            _, _, row, hashes = words_of(data, offsets)
+            row, found = features(hashes, row)
+            bounds = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(found.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(mask), lists], schema=schema)
+
+    return run
+
+
 def votes(data: np.ndarray, offsets: np.ndarray, strong: np.ndarray, slot: np.ndarray, weak: np.ndarray) -> np.ndarray:
     """One bit a voter, in the order of VOTERS, for each row.  ``strong`` (sorted) is in lexicon ``slot``."""
     rows = len(offsets) - 1
@@ -193,38 +215,29 @@ def scores(model):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, scratch: Scratch, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted.  labels: (doc_id, toxic)."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     held_out = F.coalesce(held_out, F.lit(False))
-    found = labelled_sample(docs, labels, "toxic", held_out, sample).mapInArrow(sample_words, "doc_id long, label int, words array<string>").toArrow().sort_by("doc_id")
-    words, toxic, ids = found["words"].to_pylist(), found["label"].to_numpy() > 0, found["doc_id"].to_numpy()
+    chosen = scratch.save(labelled_sample(docs, labels, "toxic", held_out, sample))
+    known = chosen.groupBy("doc_id").agg(F.max((F.col("label") > 0).cast("int")).alias("label")).orderBy("doc_id").toArrow()  # SAMPLE rows at most
+    ids, toxic = known["doc_id"].to_numpy(), known["label"].to_numpy().astype(np.int64)
     w, a, b, ratio = np.zeros(SIZE + 1), 1.0, 0.0, np.ones(SIZE)
     if toxic.any() and not toxic.all():
-        lexicons, weak = learn_lexicons(words, toxic)
+        lexicons, weak = learn_lexicons(chosen)
         strong = hash_words([x for lexicon in lexicons for x in lexicon])
         slot = np.array([i for i, lexicon in enumerate(lexicons) for _ in lexicon], np.int64)
         order = np.argsort(strong)
-        tables = (strong[order], slot[order], np.sort(hash_words(weak)))
-        sent = spark.sparkContext.broadcast(tables)
-        first = np.unique(ids, return_index=True)[1]
-        known = spark.sparkContext.broadcast((ids[first], toxic[first].astype(np.int64)))
-        counted = docs.select("doc_id", "text").mapInArrow(vote_counts(sent, known), "mask long, label long, n long")
+        sent = sc.broadcast((strong[order], slot[order], np.sort(hash_words(weak))))
+        counted = docs.select("doc_id", "text").mapInArrow(vote_counts(sent, sc.broadcast((ids, toxic))), "mask long, label long, n long")
         counted = counted.groupBy("mask", "label").agg(F.sum("n").alias("n")).orderBy("mask", "label").toArrow()  # 3 * 2**len(VOTERS) rows at most
         model = LabelModel(counted["mask"].to_numpy(), counted["label"].to_numpy(), counted["n"].to_numpy().astype(float), len(VOTERS))
-        raw = [" ".join(x).encode() for x in words]
-        offsets = np.append(0, np.cumsum([len(x) for x in raw]))
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        # the words of a sample row carry all lexicon votes; shouting and marks abstain there
-        guess = model.posterior(votes(data, offsets, *tables))
-        _, _, row, hashes = words_of(data, offsets)
-        row, feature = features(hashes, row)
-        bounds = np.searchsorted(row, np.arange(len(words) + 1))
-        rows = [feature[i:j] for i, j in zip(bounds, bounds[1:])]
-        y = np.where(guess >= 0.5, 1, -1)
+        found = chosen.mapInArrow(sample_features(sent), "doc_id long, label int, mask long, features array<int>").toArrow().sort_by("doc_id")
+        y = np.where(model.posterior(found["mask"].to_numpy()) >= 0.5, 1, -1)
+        rows = [np.asarray(x.values) for x in found["features"]]
         use = [i for i in range(len(rows)) if len(rows[i])]
         if len(set(y[use].tolist())) == 2:
             w, a, b, ratio = fit([rows[i] for i in use], y[use], SIZE, seed=10, least=RARE)
-    model = spark.sparkContext.broadcast((w, a, b, ratio**2))
+    model = sc.broadcast((w, a, b, ratio**2))
     out = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(scores(model), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
