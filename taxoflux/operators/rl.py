@@ -43,14 +43,18 @@ def of_kind(chars: DataFrame, kind: str) -> DataFrame:
     return chars.where(c("kind") == kind).select("p")
 
 
-def functional_same(opa: DataFrame, chars: DataFrame) -> DataFrame:
+def functional_same(opa: DataFrame, chars: DataFrame, kinds: tuple[str, ...] = ("functional", "inverse_functional")) -> DataFrame:
     """prp-fp and prp-ifp: (a, b) that must be equal.  Each group is tied to its smallest value, not pairwise."""
     parts = []
-    for kind, key, value in (("functional", "s", "o"), ("inverse_functional", "o", "s")):
+    for kind in kinds:
+        key, value = ("s", "o") if kind == "functional" else ("o", "s")
         rows = opa.join(of_kind(chars, kind), "p")
         low = rows.groupBy("p", key).agg(F.min(value).alias("a"))
         parts.append(rows.join(low, ["p", key]).where(c(value) != c("a")).select("a", c(value).alias("b")))
-    return parts[0].unionByName(parts[1]).distinct()
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def key_same(facts: DataFrame, keys: list[str], individual: str = "ind") -> DataFrame:

@@ -43,6 +43,11 @@ def fixpoint(relations: dict[str, DataFrame], rules: list[Rule], scratch: Scratc
     only consequences of delta are derived (incremental maintenance for additions)."""
     heads = {r.head for r in rules}
     full = dict(relations)
+    # a rule over an empty relation that nothing derives can't fire: its joins need no plan
+    fixed = {n for r in rules for n in r.inputs} - heads - set(delta or ())
+    empty = {n for n in sorted(fixed) if relations[n].isEmpty()}
+    every = [r.name for r in rules]
+    rules = [r for r in rules if empty.isdisjoint(r.inputs)]
     fresh = {}
     for name in relations:
         start = relations[name].distinct() if delta is None else delta.get(name)
@@ -58,7 +63,7 @@ def fixpoint(relations: dict[str, DataFrame], rules: list[Rule], scratch: Scratc
         elif delta is not None:
             full[name] = relations[name].unionByName(start)
     traced = {h: [full[h].withColumns({"rule": F.lit(None).cast("string"), "round": F.lit(0)})] for h in heads} if trace else {}
-    counts: dict[str, int] = {r.name: 0 for r in rules}
+    counts: dict[str, int] = {name: 0 for name in every}
     rounds, total = 0, 0
     while fresh and rounds < max_rounds:
         rounds += 1

@@ -161,13 +161,8 @@ def rl_functional_sameas(spark, d):
 @register(f"WITH {TEXTS} SELECT DISTINCT rep AS a, doc AS b FROM texts WHERE doc <> rep")
 def rl_inverse_functional(spark, d):
     opa = src.texts(spark, d).select(c("doc").alias("s"), F.lit("hasText").alias("p"), c("content").alias("o"))
-    # both ends of prp-fp and prp-ifp share a column here: documents are numbers, contents strings
-    ifp = src.constants(spark, [("hasText", "inverse_functional")], "p string, kind string")
-    rows = rl.functional_same(opa.withColumn("s", c("s").cast("string")), ifp)
-    low = rows.select(c("a").cast("long").alias("a"), c("b").cast("long").alias("b"))
-    least = low.select(c("a").alias("x"), c("b").alias("y")).unionByName(low.select(c("a").alias("x"), c("a").alias("y"))).distinct()
-    first = least.groupBy("x").agg(F.min("y").alias("a"))
-    return least.join(first, "x").where("y <> a").select("a", c("y").alias("b")).distinct()
+    chars = src.constants(spark, [("hasText", "inverse_functional")], "p string, kind string")
+    return rl.functional_same(opa, chars, ("inverse_functional",))
 
 
 @register("WITH k AS (SELECT c_custkey AS ind, c_nationkey, c_mktsegment, floor(c_acctbal / 100)::BIGINT AS band FROM customer), m AS (SELECT *, min(ind) OVER (PARTITION BY c_nationkey, c_mktsegment, band) AS a FROM k) SELECT DISTINCT a, ind AS b FROM m WHERE ind <> a")
