@@ -81,7 +81,8 @@ def evaluate(query: str | list[Atom], rel: dict[str, DataFrame], answer: list[st
         else:
             raise QueryError("atoms share no variable")
         todo.pop(i)
-    return out.select(*(answer or out.columns)).distinct()
+    order = dict.fromkeys(t[1:] for a in atoms for t in (a.left, a.right) if t.startswith("?"))
+    return out.select(*(answer or order)).distinct()
 
 
 def instances_of(types: DataFrame, sub_class: DataFrame, cls: str) -> DataFrame:
