@@ -1,57 +1,4 @@
-"""Session helpers shared by the operators: written intermediates in the cluster's shared folder."""
-from __future__ import annotations
+"""Written intermediates and table access, as the rest of the library has them."""
+from taxoflux.plans.scratch import Scratch, shared_dir, table
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a fresh local one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="taxoflux-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-class Scratch:
-    """Intermediate tables of one query, as Parquet in the shared folder.
-
-    A written table cuts lineage, survives lost executors and is compressed, unlike an RDD checkpoint.
-    ``drop`` removes tables that nothing reads any more.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/taxoflux-{uuid.uuid4().hex}"
-        self.count = 0
-        self.paths: dict[int, str] = {}
-        self.tables: list[DataFrame] = []
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        self.tables.append(out)  # keeps its id from being given to another
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
-            path.getFileSystem(conf).delete(path, True)
-
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["Scratch", "shared_dir", "table"]
