@@ -303,7 +303,8 @@ def score(docs: DataFrame, held_out, scratch: Scratch, depth: int = DEPTH, block
             rows = mine.filter(pc.equal(mine["kind"], kind))
             keys = rows["key"].to_numpy().view(np.uint64)
             order = np.argsort(keys)
-            held.append((keys[order], rows["value"].to_numpy()[order].astype(np.float32)))
+            # prices may lose digits, counts must not
+            held.append((keys[order], rows["value"].to_numpy()[order].astype(np.float64 if kind else np.float32)))
         del mine, rows
         sent = spark.sparkContext.broadcast(tuple(held))
         del held
