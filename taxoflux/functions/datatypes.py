@@ -51,9 +51,9 @@ def in_value_space(lexical: Column, datatype: str) -> Column:
         value = lexical.try_cast("decimal(38,0)")
         ok = lexical.rlike(INTEGER)
         if low is not None:
-            ok = ok & F.coalesce(value >= F.lit(low).cast("decimal(38,0)"), F.lit(False))
+            ok = ok & F.coalesce(value >= F.lit(str(low)).cast("decimal(38,0)"), F.lit(False))
         if high is not None:
-            ok = ok & F.coalesce(value <= F.lit(high).cast("decimal(38,0)"), F.lit(False))
+            ok = ok & F.coalesce(value <= F.lit(str(high)).cast("decimal(38,0)"), F.lit(False))
         return ok
     if datatype == "decimal":
         return lexical.rlike(DECIMAL)

@@ -304,6 +304,7 @@ def role(r):
 
 def from_axioms(axioms: Iterable[tuple]) -> tuple[Knowledge, dict[str, list], list[str]]:
     """(knowledge, {"types", "facts", "different"}, constructs left out) of functional-syntax axioms."""
+    axioms = list(axioms)
     subs, roles, trans, inverses, left = [], [], [], [], []
     box: dict[str, list] = {"types": [], "facts": [], "different": []}
     for axiom in axioms:
@@ -347,6 +348,8 @@ def from_axioms(axioms: Iterable[tuple]) -> tuple[Knowledge, dict[str, list], li
                 left.append(op)
         except Incomplete:
             left.append(op)
+    if not any("Data" in repr(a) for a in axioms if a[0] != "DataPropertyAssertion"):
+        left = [x for x in left if x != "DataPropertyAssertion"]  # values that nothing restricts
     return knowledge(subs, roles, trans, inverses), box, sorted(set(left))
 
 
