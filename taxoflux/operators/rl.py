@@ -94,6 +94,8 @@ ABOX_RULES = [
     Rule("intersection", "type", ("type", "type", "conjunction"), lambda x, y, k: x.join(k, x["cls"] == k["left"]).select("ind", "right", c("conj").alias("out")).join(y.select("ind", c("cls").alias("right")), ["ind", "right"]).select("ind", c("out").alias("cls"))),
 ]
 
+#: Every individual gets a fact for each reflexive property, so these must be few.
+MAX_REFLEXIVE = 1_000
 #: Relations and their columns; all values are of one id type but for literals.
 SCHEMA = {
     "sub_class": ("sub", "sup"), "equiv_class": ("axiom_id", "members"), "disjoint": ("a", "b"), "sub_prop": ("sub", "sup"), "equiv_prop": ("axiom_id", "members"),
@@ -128,10 +130,12 @@ def materialize(rel: dict[str, DataFrame], scratch: Scratch, rules: list[Rule] |
     work = {k: v.select(*SCHEMA[k]) for k, v in tbox.items()}
     for kind in ("symmetric", "transitive"):
         work[kind] = of_kind(tbox["prop_char"], kind)
-    reflexive = of_kind(tbox["prop_char"], "reflexive")
-    if not reflexive.isEmpty():
+    reflexive = [r["p"] for r in of_kind(tbox["prop_char"], "reflexive").distinct().limit(MAX_REFLEXIVE + 1).collect()]
+    if len(reflexive) > MAX_REFLEXIVE:
+        raise ValueError(f"more than {MAX_REFLEXIVE} reflexive properties")
+    if reflexive:
         people = work["type"].select(c("ind").alias("x")).unionByName(work["opa"].select(c("s").alias("x"))).unionByName(work["opa"].select(c("o").alias("x"))).distinct()
-        work["opa"] = work["opa"].unionByName(people.join(F.broadcast(reflexive)).select(c("x").alias("s"), "p", c("x").alias("o"))).distinct()
+        work["opa"] = work["opa"].unionByName(people.select(c("x").alias("s"), F.explode(F.array(*map(F.lit, reflexive))).alias("p"), c("x").alias("o"))).distinct()
     same, counts, rounds = work["same"], {}, 0
     reps = None
     for _ in range(max_same_rounds):
