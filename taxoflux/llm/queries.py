@@ -59,4 +59,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_site_style_tree": op1_site_style_tree, "op2_quality_rules": op2_quality_rules, "op3_decontamination": op3_decontamination, "op4_context_tree": op4_context_tree, "op5_pii": op5_pii, "op6_quality_classifier": op6_quality_classifier, "op7_ngram_join": op7_ngram_join, "op8_mixing": op8_mixing, "op9_suffix_dedup": op9_suffix_dedup, "op10_toxicity": op10_toxicity}
 
-ORACLES = {"op2_quality_rules": sql.OP2, "op8_mixing": sql.OP8}
+ORACLES = {"op2_quality_rules": sql.OP2, "op7_ngram_join": sql.OP7, "op8_mixing": sql.OP8}
