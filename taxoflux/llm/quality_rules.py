@@ -122,4 +122,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, **sample) -> DataFrame:
     """The documents, all columns, that no rule rejects."""
     packed = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    return judge(packed, rules, keep=("__row",), **sample).where("kept").select("__row.*")
+    # Spark would move a filter below the metrics and evaluate them again inside it, many times over; it does
+    # not move one past a projection with an undetermined column that the filter reads
+    judged = judge(packed, rules, keep=("__row",), **sample).select("__row", "kept", F.monotonically_increasing_id().alias("__at"))
+    return judged.where(F.col("kept") & (F.col("__at") >= 0)).select("__row.*")
