@@ -42,6 +42,8 @@ SHINGLE = 5
 #: ORDERED of them at most, 12 bytes each, whatever the size of the input.
 ORDERED = 1_000_000
 BLOCK_SHINGLES = 1_000_000
+#: Documents to compare whose ids (40 bytes a row) may go to all tasks; beyond it texts are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def row_sets(batches, k: int):
@@ -221,7 +223,8 @@ def prefix_rows(shared: DataFrame) -> DataFrame:
 
     Of a set's ``rest`` shingles that aren't very common, those that are not here are its own alone
     and stand before all others."""
-    rows = shared.dropDuplicates(["set_id", "key", "place"])
+    # one shuffle, by set, serves both the removal of repeats and the windows
+    rows = shared.repartition(F.col("set_id")).dropDuplicates(["set_id", "key", "place"])
     mine = Window.partitionBy("set_id")
     common = F.sum((F.col("place") < LATE).cast("int")).over(mine)
     room = F.col("size") - F.floor((3 * F.col("size") + 3) / 4) + 1 - (F.col("rest") - F.col("common"))
@@ -382,7 +385,7 @@ def links_in_groups(batches):
     yield from close(ids, sets, blocks, cross)
 
 
-def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: int = ORDERED, block: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: int = ORDERED, block: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, set_id; links between different sets: a, b)."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
@@ -411,7 +414,9 @@ def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: i
     chosen = scratch.save(chosen.join(groups.withColumnRenamed("node", "set_id"), "set_id"))
     blocks = chosen.groupBy("label").agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks")).where("sets > 1")
     own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    chosen = chosen.join(blocks, "label").select("doc_id", "set_id", "label", "blocks", own.alias("own"))
+    chosen = scratch.save(chosen.join(blocks, "label").select("doc_id", "set_id", "label", "blocks", own.alias("own")))
+    if chosen.count() <= broadcast_rows:  # else texts are shuffled to meet them
+        chosen = F.broadcast(chosen)
     sets = texts.join(chosen, "doc_id").select("text", "label", "own", "blocks", "set_id")
     dealt = sets.mapInArrow(member_sets(k), "label long, own int, blocks int, set_id long, shingles binary")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
