@@ -30,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxoflux.llm.components import components
@@ -178,15 +178,32 @@ def prefix(n):
 LATE = 1 << 40
 
 
-def shared_keys(batches):
-    """Packed rows sorted by part -> (set_id, size, rest, key, place) of keys that two sets have.
-    place orders keys: the number of sets, or LATE + rank."""
-    schema = pa.schema([("set_id", pa.int64()), ("size", pa.int32()), ("rest", pa.int32()), ("key", pa.int64()), ("place", pa.int64())])
+SHARED = pa.schema([(c, pa.int32() if c in ("bucket", "n", "sets") else pa.binary()) for c in ("bucket", "n", "sets", "ids", "sizes", "rests", "owners", "keys", "places")])
+
+
+def shared_keys(buckets: int):
+    """Packed rows sorted by part -> keys that two sets have, packed by bucket of sets.
+    A place orders keys: the number of sets, or LATE + rank."""
 
     def emit(ids, sizes, rests, keys, place):
-        for a in range(0, len(keys), 100_000):
-            cut = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[cut].view(np.int64)), pa.array(sizes[cut].astype(np.int32)), pa.array(rests[cut].astype(np.int32)), pa.array(keys[cut].view(np.int64)), pa.array(place[cut])], schema=schema)
+        bucket = (ids % np.uint64(buckets)).astype(np.int64)
+        at = np.lexsort((ids, bucket))
+        ids, sizes, rests, keys, place, bucket = (x[at] for x in (ids, sizes, rests, keys, place, bucket))
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        for b in range(buckets):
+            a, z = cuts[b], cuts[b + 1]
+            if a < z:
+                own, first, at = np.unique(ids[a:z], return_index=True, return_inverse=True)
+                columns = dict(ids=own, sizes=sizes[a:z][first], rests=rests[a:z][first], owners=np.diff(at, prepend=0), keys=keys[a:z], places=place[a:z])
+                yield pa.RecordBatch.from_pylist([dict(bucket=b, n=int(z - a), sets=len(own), **{k: packed(v) for k, v in columns.items()})], schema=SHARED)
+
+    def run(batches):
+        yield from _shared(batches, emit)
+
+    return run
+
+
+def _shared(batches, emit):
 
     def close(rows):
         if not rows:
@@ -218,18 +235,41 @@ def shared_keys(batches):
     yield from close(rows)
 
 
-def prefix_rows(shared: DataFrame) -> DataFrame:
-    """(set_id, size, rest, key, place) -> (key, set_id, size) of the keys in a set's prefix.
+def prefix_rows(batches):
+    """Packed rows sorted by bucket -> (key, set_id, size) of the keys in a set's prefix.
 
     Of a set's ``rest`` shingles that aren't very common, those that are not here are its own alone
     and stand before all others."""
-    # one shuffle, by set, serves both the removal of repeats and the windows
-    rows = shared.repartition(F.col("set_id")).dropDuplicates(["set_id", "key", "place"])
-    mine = Window.partitionBy("set_id")
-    common = F.sum((F.col("place") < LATE).cast("int")).over(mine)
-    room = F.col("size") - F.floor((3 * F.col("size") + 3) / 4) + 1 - (F.col("rest") - F.col("common"))
-    rows = rows.withColumns({"common": common, "nth": F.row_number().over(mine.orderBy("place", "key"))})
-    return rows.where(F.col("nth") <= room).select("key", "set_id", "size")
+    schema = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("size", pa.int32())])
+
+    def close(rows):
+        if not rows:
+            return
+        ids, sizes, rests, keys, places = (np.concatenate([r[i] for r in rows]) for i in range(5))
+        at = np.lexsort((keys, places, ids))
+        ids, keys, places, sizes, rests = (x[at] for x in (ids, keys, places, sizes, rests))
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])  # sent by two tasks
+        ids, keys, places, sizes, rests = (x[fresh] for x in (ids, keys, places, sizes, rests))
+        start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        length = np.diff(np.append(start, len(ids)))
+        nth = np.arange(len(ids)) - np.repeat(start, length)
+        common = np.repeat(np.add.reduceat((places < LATE).astype(np.int64), start), length)
+        sizes, rests = sizes.astype(np.int64), rests.astype(np.int64)
+        keep = nth < prefix(sizes) - (rests - common)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(ids[keep].view(np.int64)), pa.array(sizes[keep].astype(np.int32))], schema=schema)
+
+    bucket, rows = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["bucket"] != bucket:
+                yield from close(rows)
+                bucket, rows = r["bucket"], []
+            ids, sizes, rests = (unpacked(r[c], r["sets"]) for c in ("ids", "sizes", "rests"))
+            own = np.cumsum(unpacked(r["owners"], r["n"])).astype(np.int64)
+            rows.append((ids[own], sizes[own], rests[own], unpacked(r["keys"], r["n"]), unpacked(r["places"], r["n"])))
+    yield from close(rows)
 
 
 def chain(batches):
@@ -399,8 +439,9 @@ def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: i
     order = spark.sparkContext.broadcast((keys[place], (len(keys) - place).astype(np.int32)))  # ORDERED rows at most
     parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = texts.mapInArrow(deal(k, order, parts), ", ".join(f"{f.name} {'int' if pa.types.is_int32(f.type) else 'boolean' if pa.types.is_boolean(f.type) else 'binary'}" for f in DEALT))
-    shared = dealt.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(shared_keys, "set_id long, size int, rest int, key long, place long")
-    heads = scratch.save(prefix_rows(shared))
+    shared = dealt.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(shared_keys(parts), ", ".join(f"{f.name} {'int' if pa.types.is_int32(f.type) else 'binary'}" for f in SHARED))
+    heads = shared.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(prefix_rows, "key long, set_id long, size int")
+    heads = scratch.save(heads)
     scratch.release()
     runs = heads.repartition(F.col("key")).sortWithinPartitions("key", "size", "set_id")
     near = scratch.save(runs.mapInArrow(chain, "a long, b long").distinct())
