@@ -1,14 +1,17 @@
 """Operator 1: main text of web pages by site style trees.
 
 All pages of a host are merged into one tree whose nodes are style paths (tag and class from the body
-down).  A node's importance is the entropy of what it shows over the host's pages: presentation, the
-sequences of children it is built of; and content, the texts of leaves.  A branch that shows the same few things
-everywhere (menus, notices, adverts) has an entropy near 0 and is cut from each page; articles are
-near 1.  A second tree over all hosts stands in where a host has too few pages to tell.  What the
+down).  A leaf's importance is the entropy of its texts over the host's pages.  That of an inner node is
+(1 - FADE ** k) x entropy of its k presentations (the sequences of children it is built of) + FADE ** k x the
+importance of its children, weighed by the text they hold; a node that only wraps one child is worth what the child is.
+A branch that shows the same few things everywhere (menus, notices, adverts) is near 0 and is cut from each page
+with all below it, unless it holds the page's article or most of its text; articles are near 1.  A box of fixed shape
+whose texts differ on every page looks like an article, and stays.  A second tree over all hosts stands in where a host has too few pages to tell.  What the
 markup itself names as no article (nav, footer, form, class="comments", ...) needs no statistics.
 
-1. Every page is parsed once and gives, per task, counts of (host, path, content) and of (host, path,
-   presentation); Spark sums them and takes entropies.  No host's pages meet in one task.
+1. Every page is parsed once and gives its nodes with what they show; Spark counts and takes entropies, then
+   importances level by level, one small join a level of the tree (as deep as nodes on HOST_PAGES pages are).
+   No host's pages meet in one task.
 2. The paths to cut, a small part of all, are joined to pages by host, or sent to all tasks while they are
    at most TABLE_ROWS; pages are parsed again and lose those branches.
 
@@ -22,10 +25,11 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxoflux.llm.runtime import Scratch
@@ -38,6 +42,10 @@ HOST_PAGES = 8
 HOST_PAGES_INSIDE = 20
 ALL_PAGES = 50
 TABLE_ROWS = 200_000
+#: What k different presentations leave to the importance of the children: FADE ** k.
+FADE = 0.9
+#: Host of the tree over all hosts, and the part of a path for the texts right in a node; no host or tag holds "/" or "#".
+EVERY, OWN = "/", "/#"
 
 # HTML element names by their role.
 RAW = frozenset("script style noscript template textarea svg math iframe select option button object video audio canvas title".split())
@@ -58,6 +66,7 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 NAME_PART = re.compile(r"[a-z]+")
+INSIDE = re.compile(r"/(?:article|main)(?:[./]|$)")
 
 
 def named(attributes: str) -> tuple[str, bool]:
@@ -66,7 +75,7 @@ def named(attributes: str) -> tuple[str, bool]:
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "class" and value.split():
-            style = value.split()[0]
+            style = value.split()[0].replace("/", "|")
         if key == "hidden" or key == "aria-hidden" and value == "true":
             out = True
         out = out or not NAMES.isdisjoint(NAME_PART.findall(value))
@@ -160,55 +169,104 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def style_counts(batches):
-    """Pages -> (host, path, inside, kind, shown, n): kind 0 content, 1 presentation; shown is a hash."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("inside", pa.bool_()), ("kind", pa.int32()), ("shown", pa.int64()), ("n", pa.int64())])
-    counts: Counter = Counter()
+@lru_cache(maxsize=1 << 16)
+def branches(path: str) -> tuple[str, ...]:
+    """The nodes above and at a path, outermost first."""
+    parts = path.split("/")
+    return tuple("/".join(parts[:k]) for k in range(2, len(parts) + 1))
 
-    def flush():
-        keys = list(zip(*counts))
-        out = pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(keys, schema)), pa.array(counts.values(), pa.int64())], schema=schema)
-        counts.clear()
-        return out
 
+def style_nodes(batches):
+    """Pages -> (host, digest of what the page shows, nodes).  A node (path, or path + OWN for texts right in it)
+    comes once with shown null and the part of its parent's text it holds, and once for each thing shown."""
+    one = pa.struct([("node", pa.string()), ("shown", pa.int64()), ("part", pa.float64())])
+    schema = pa.schema([("host", pa.string()), ("digest", pa.binary()), ("nodes", pa.list_(one))])
     for batch in batches:
+        hosts, digests, rows = [], [], []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            host = host_of(url)
             blocks, shapes = parse(page or "")
-            within = {p: i for p, _, i in blocks}
-            for path, text, inside in blocks:
-                counts[host, path, inside, 0, xxhash.xxh3_64_intdigest(text) >> 1] += 1
-            for path, children in shapes:
-                counts[host, path, within.get(path, False), 1, xxhash.xxh3_64_intdigest(children) >> 1] += 1
-            if len(counts) > 50_000:
-                yield flush()
-    if counts:
-        yield flush()
-
-
-def entropy(grouped: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of what a node shows -> its entropy over log of its count, 0 (always the same) to 1."""
-    shown = grouped.groupBy(*keys, "kind", "shown").agg(F.sum("n").alias("n"))
-    e = F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")
-    return shown.groupBy(*keys, "kind").agg(F.sum("n").alias("pages"), e.alias("bits")).withColumn("share", F.when(F.col("pages") > 1, F.col("bits") / F.log("pages")).otherwise(1.0))
+            if not blocks:
+                continue
+            size: Counter = Counter()
+            for path, text, _ in blocks:
+                size[path + OWN] += len(text)
+                for node in branches(path):
+                    size[node] += len(text)
+            total = sum(len(text) for _, text, _ in blocks)
+            nodes = [(node, None, n / size.get(node.rpartition("/")[0], total)) for node, n in size.items()]
+            nodes += [(path + OWN, shown, None) for path, shown in dict.fromkeys((p, xxhash.xxh3_64_intdigest(t) >> 1) for p, t, _ in blocks)]
+            nodes += [(path, shown, None) for path, shown in dict.fromkeys((p, xxhash.xxh3_64_intdigest(c) >> 1) for p, c in shapes) if path in size]
+            hosts.append(host_of(url))
+            digests.append(xxhash.xxh3_128_digest(repr((blocks, shapes))))
+            rows.append([dict(zip(("node", "shown", "part"), x)) for x in nodes])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(one))], schema=schema)
+
+
+def within(node) -> Column:
+    return node.rlike("/(?:article|main)(?:[./]|$)")
+
+
+def importances(votes: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, node, shown, part -> host, node, pages, importance, from the deepest nodes up."""
+    shown = votes.groupBy("host", "node", "shown").agg(F.count("*").alias("n"), F.sum("part").alias("part"))
+    known, n = F.col("shown").isNotNull(), F.col("n")
+    total = F.sum(F.when(known, n))
+    e = F.log(total) - F.sum(F.when(known, n * F.log(n))) / total
+    nodes = shown.groupBy("host", "node").agg(
+        F.sum(F.when(~known, n)).alias("pages"), F.sum("part").alias("part"), F.when(total > 1, e / F.log(total)).otherwise(1.0).alias("share"), F.count("shown").alias("kinds")
+    )
+    parent = F.regexp_replace("node", "/[^/]*$", "")
+    nodes = scratch.save(nodes.withColumns({"parent": parent, "depth": F.size(F.split("node", "/")), "told": F.col("pages") >= HOST_PAGES}))
+    deepest = nodes.where("told").agg(F.max("depth")).first()[0] or 1
+    tree, above = [], None
+    # a node on too few pages to be cut counts as important to the one above, whatever it holds
+    for depth in range(deepest + 1, 1, -1):
+        level = nodes.where(F.col("depth") == depth)
+        if above is None:
+            level = level.withColumn("importance", F.when(F.col("told"), F.col("share")).otherwise(1.0))
+        else:
+            below = above.groupBy(F.col("host"), F.col("parent").alias("node")).agg((F.sum(F.col("part") * F.col("importance")) / F.sum("part")).alias("inner"), F.count("*").alias("children"))
+            level = level.join(below, ["host", "node"], "left")
+            fade = F.when(F.col("children") == 1, 1.0).otherwise(F.pow(F.lit(FADE), F.col("kinds")))
+            whole = F.when(F.col("inner").isNull(), F.col("share")).otherwise((1 - fade) * F.col("share") + fade * F.col("inner"))
+            level = level.withColumn("importance", F.when(F.col("told"), whole).otherwise(1.0))
+        above = scratch.save(level.select("host", "node", "parent", "part", "pages", "importance"))
+        tree.append(above)
+    return reduce(DataFrame.unionByName, tree).select("host", "node", "pages", "importance")
 
 
 def branches_to_cut(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, path) of low importance; host "*" stands for hosts with too few pages of their own."""
-    counts = scratch.save(pages.select("url", "html").mapInArrow(style_counts, "host string, path string, inside boolean, kind int, shown long, n long").groupBy("host", "path", "inside", "kind", "shown").agg(F.sum("n").alias("n")))
-    # a node with texts of its own is judged by content, else by presentation; few shapes are no
-    # sign of noise by themselves, so presentation only counts against nodes that hold no text
-    own = entropy(counts, ["host", "path", "inside"]).where("kind = 0")
-    need = F.when(F.col("inside"), HOST_PAGES_INSIDE).otherwise(HOST_PAGES)
-    least = F.when(F.col("inside"), LEAST_INSIDE).otherwise(LEAST)
-    every = entropy(counts, ["path", "inside"]).where("kind = 0").where(F.col("pages") >= ALL_PAGES).where(F.col("share") < least)
-    cut = own.where(F.col("pages") >= need).where(F.col("share") < least).select("host", "path")
-    return scratch.save(cut.unionByName(every.select(F.lit("*").alias("host"), "path")).distinct())
+    """(host, node) of low importance; host EVERY stands for hosts with too few pages of their own."""
+    seen = scratch.save(pages.select("url", "html").mapInArrow(style_nodes, "host string, digest binary, nodes array<struct<node: string, shown: long, part: double>>"))
+    own = seen.select("host", F.inline("nodes"))
+    tree = importances(own.unionByName(seen.select(F.lit(EVERY).alias("host"), F.inline("nodes"))), scratch)
+    inside = within(F.col("node"))
+    need = F.when(F.col("host") == EVERY, ALL_PAGES).when(inside, HOST_PAGES_INSIDE).otherwise(HOST_PAGES)
+    least = F.when(inside, LEAST_INSIDE).otherwise(LEAST)
+    return scratch.save(tree.where((F.col("pages") >= need) & (F.col("importance") < least)).select("host", F.col("node").alias("path")))
+
+
+def kept(blocks, gone) -> list[str]:
+    """Texts of blocks in no cut branch.  A branch that holds the page's article or most of its text stays,
+    and what is in it is judged for itself."""
+    if not gone:
+        return [t for _, t, _ in blocks]
+    size: Counter = Counter()
+    holds = set()
+    for path, text, inside in blocks:
+        for node in branches(path):
+            if node in gone:
+                size[node] += len(text)
+                if inside and not INSIDE.search(node):
+                    holds.add(node)
+    total = sum(len(t) for _, t, _ in blocks)
+    cut = {node for node, n in size.items() if 2 * n <= total and node not in holds}
+    return [t for p, t, _ in blocks if p + OWN not in gone and cut.isdisjoint(branches(p))]
 
 
 def main_texts(cuts):
     """Pages (page_id, url, html[, own]) -> (page_id, url, text).  cuts: {host: paths} or, for pages
-    joined with their host's paths in ``own``, {"*": paths}."""
+    joined with their host's paths in ``own``, {EVERY: paths}."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches):
@@ -218,8 +276,8 @@ def main_texts(cuts):
             own = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(urls)
             texts = []
             for url, page, mine in zip(urls, batch.column(2).to_pylist(), own):
-                gone = set(mine or ()) | table.get("*", set()) | table.get(host_of(url), set())
-                texts.append("\n".join(t for p, t, _ in parse(page or "")[0] if p not in gone))
+                gone = set(mine or ()) | table.get(EVERY, set()) | table.get(host_of(url), set())
+                texts.append("\n".join(kept(parse(page or "")[0], gone)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
     return run
@@ -230,13 +288,13 @@ def extract(pages: DataFrame, scratch: Scratch, table_rows: int = TABLE_ROWS) ->
     sc = pages.sparkSession.sparkContext
     rows = pages.select("page_id", "url", "html")
     cut = branches_to_cut(pages, scratch)
-    everywhere = cut.where("host = '*'")
+    everywhere = cut.where(F.col("host") == EVERY)
     small = cut.limit(table_rows + 1).count() <= table_rows
     table: dict[str, set[str]] = {}
     for host, path in (cut if small else everywhere.limit(table_rows)).collect():
         table.setdefault(host, set()).add(path)
     if not small:
-        per_host = cut.where("host <> '*'").groupBy("host").agg(F.collect_set("path").alias("own"))
+        per_host = cut.where(F.col("host") != EVERY).groupBy("host").agg(F.collect_set("path").alias("own"))
         host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
         rows = rows.withColumn("host", host).join(per_host, "host", "left").select("page_id", "url", "html", "own")
     return rows.mapInArrow(main_texts(sc.broadcast(table)), "page_id long, url string, text string")

@@ -392,6 +392,13 @@ def test_pages(spark, scratch):
     assert joined[3] == got[3][0]
 
 
+def test_pages_lose_whole_branches(spark, scratch):
+    page = '<body><div class="q1/2"><p>Text %d of this page, and more of it to read here</p></div><div class="z7"><div class="k">The same words here</div><div class="d">Day %d</div></div></body>'
+    df = spark.createDataFrame([(i, "http://h.example/", page % (i, i)) for i in range(30)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(df, scratch).collect()}
+    assert got == {i: f"Text {i} of this page, and more of it to read here" for i in range(30)}
+
+
 def test_pages_without_rows(spark, scratch):
     assert site_style_tree.extract(spark.createDataFrame([], "page_id long, url string, html string"), scratch).count() == 0
 
