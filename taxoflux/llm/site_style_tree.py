@@ -7,7 +7,8 @@ importance of its children, weighed by the text they hold; a node that only wrap
 A branch that shows the same few things everywhere (menus, notices, adverts) is near 0 and is cut from each page
 with all below it, unless it holds the page's article or most of its text; articles are near 1.  A box of fixed shape
 whose texts differ on every page looks like an article, and stays.  A second tree over all hosts stands in where a host has too few pages to tell.  What the
-markup itself names as no article (nav, footer, form, class="comments", ...) needs no statistics.
+markup itself names as no article (nav, footer, form, class="comments", ...) needs no statistics, unless it is
+around the page's article or most of its text.
 
 1. Every page is parsed once and gives its nodes with what they show; Spark counts and takes entropies, then
    importances level by level, one small join a level of the tree (as deep as nodes on HOST_PAGES pages are).
@@ -52,6 +53,7 @@ RAW = frozenset("script style noscript template textarea svg math iframe select
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NO_ARTICLE = frozenset("head nav footer aside form menu dialog fieldset".split())
+WRAPPERS = frozenset("form fieldset".split())  # of these, some are wrapped around whole pages
 #: Words of class, id and role that name what is no article.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner banners "
@@ -64,55 +66,61 @@ CLOSES_P = BLOCK - {"html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAME_PART = re.compile(r"[a-z]+")
 INSIDE = re.compile(r"/(?:article|main)(?:[./]|$)")
 
 
-def named(attributes: str) -> tuple[str, bool]:
-    """(first class, whether class, id or role names something that is no article)"""
-    style, out = "", False
+def named(attributes: str) -> tuple[str, bool, bool]:
+    """(first class, whether class, id or role names something that is no article, whether it is hidden)"""
+    style, out, hidden = "", False, False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
         if key == "class" and value.split():
             style = value.split()[0].replace("/", "|")
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            out = True
+            hidden = True
         out = out or not NAMES.isdisjoint(NAME_PART.findall(value))
-    return style, out
+    return style, out, hidden
 
 
 def parse(page: str):
     """(blocks, shapes): blocks are (path, text, inside an article) of what isn't ruled out by name, in
-    page order; shapes are (path, children) of their elements."""
-    stack: list[list] = []  # [tag, path, ruled out, inside, children]
-    blocks: list[tuple[str, str, bool]] = []
-    shapes: list[tuple[str, str]] = []
+    page order; shapes are (path, children) of their elements.
+
+    A name rules its element out with all below it, but not where it would take the page's article: not
+    over an article or main that has none around it, and, by class, id, role or form, not over most of the page's
+    text unless an article around it holds a good part.  What stays is left to the statistics."""
+    stack: list[list] = []  # [tag, path, innermost named element, inside, children]
+    blocks: list[tuple[str, str, bool, int]] = []
+    shapes: list[tuple[str, str, int]] = []
     words: list[str] = []
-    path, out, inside = "", False, False
+    above, kinds = [-1], [""]  # of named elements: the named one around it (0: none); hidden, tag or name
+    path, out, inside = "", 0, False
 
     def end_block():
         if words:
-            if not out and (text := " ".join("".join(words).split())):
-                blocks.append((path, text, inside))
+            if text := " ".join("".join(words).split()):
+                blocks.append((path, text, inside, out))
             words.clear()
 
     def close(depth):
         nonlocal path, out, inside
         while len(stack) > depth:
             tag, node, ruled, _, children = stack.pop()
-            if not ruled and tag in BLOCK:
-                shapes.append((node, ",".join(dict.fromkeys(children))))
-        path, out, inside = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", False, False)
+            if tag in BLOCK:
+                shapes.append((node, ",".join(dict.fromkeys(children)), ruled))
+        path, out, inside = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", 0, False)
 
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         if m is None:
-            if not out:
-                words.append(entities.unescape(page[at:]))
+            words.append(entities.unescape(page[at:]))
             break
-        if m.start() > at and not out:
+        if m.start() > at:
             piece = page[at : m.start()]
             words.append(entities.unescape(piece) if "&" in piece else piece)
         at = m.end()
@@ -151,17 +159,39 @@ def parse(page: str):
         close(depth)
         if tag == "hr":
             continue
-        style, ruled = named(m[3] or m[6] or "")
+        style, ruled, hidden = named(m[3] or m[6] or "")
         if stack:
             stack[-1][4].append(tag)
         inside = inside or tag in ("article", "main")
-        ruled = out or tag in NO_ARTICLE or (ruled and tag not in ("html", "body", "article", "main")) or (tag == "header" and not inside)
+        body = tag in ("html", "body", "article", "main")
+        if tag in NO_ARTICLE or (hidden or ruled) and not body or (tag == "header" and not inside):
+            above.append(out)
+            kinds.append("hidden" if hidden or tag == "head" else "tag" if tag in NO_ARTICLE - WRAPPERS or tag == "header" else "name")
+            out = len(above) - 1
         path = f"{path}/{tag}.{style}" if style else f"{path}/{tag}"
-        out = ruled
         stack.append([tag, path, out, inside, []])
     end_block()
     close(0)
-    return blocks, shapes
+    if len(above) == 1:
+        return [x[:3] for x in blocks], [x[:2] for x in shapes]
+    gone = [kind == "hidden" for kind in kinds]
+    for k in range(1, len(above)):  # elements come after those around them
+        gone[k] |= gone[above[k]]
+    own, articles, under = [0] * len(above), [0] * len(above), [0] * len(above)  # characters, hidden ones aside
+    for _, text, inside, k in blocks:
+        if not gone[k]:
+            under[k] += len(text)
+            own[k] += inside and len(text)
+            articles[k] = own[k]
+    for k in range(len(above) - 1, 0, -1):
+        under[above[k]] += under[k]
+        articles[above[k]] += articles[k]
+    around = [0] * len(above)  # characters of articles around a named element that no name rules out
+    for k in range(1, len(above)):
+        around[k] = around[above[k]] + own[above[k]]
+        whole = articles[k] and not around[k] or kinds[k] == "name" and 2 * under[k] > under[0] and 4 * around[k] < under[k]
+        gone[k] |= gone[above[k]] or not whole
+    return [x[:3] for x in blocks if not gone[x[3]]], [x[:2] for x in shapes if not gone[x[2]]]
 
 
 def host_of(url: str | None) -> str:

@@ -399,6 +399,17 @@ def test_pages_lose_whole_branches(spark, scratch):
     assert got == {i: f"Text {i} of this page, and more of it to read here" for i in range(30)}
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<div class="content-sidebar-wrap"><article><p>A long text</p><div class="comments"><article>me too, and at great length</article></div></article><div class="widget">W</div></div>', "A long text"),
+    ('<body><form id="aspnetForm"><div id="menu">M</div><p>A long text</p></form></body>', "A long text"),
+    ('<div style="overflow:hidden" title="Hidden gems" data-role="menu"><p>A long text</p></div><p>b</p>', "A long text|b"),
+    ('<div hidden><p>A long text</p></div><nav>menu with many words</nav><p>b</p>', "b"),
+    ('<div class="layout has-sidebar"><main><p>A long text</p></main></div>', "A long text"),
+])
+def test_names_spare_the_article(page, want):
+    assert "|".join(t for _, t, _ in site_style_tree.parse(page)[0]) == want
+
+
 def test_pages_without_rows(spark, scratch):
     assert site_style_tree.extract(spark.createDataFrame([], "page_id long, url string, html string"), scratch).count() == 0
 
