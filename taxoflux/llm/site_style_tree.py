@@ -10,8 +10,8 @@ whose texts differ on every page looks like an article, and stays.  A second tre
 markup itself names as no article (nav, footer, form, class="comments", ...) needs no statistics, unless it is
 around the page's article or most of its text.
 
-1. Every page is parsed once and gives its nodes with what they show; Spark counts and takes entropies, then
-   importances level by level, one small join a level of the tree (as deep as nodes on HOST_PAGES pages are).
+1. Every page is parsed once and gives its nodes with what they show; pages that show the same count once
+   a host.  Spark counts pages and takes entropies, then importances level by level, one small join a level of the tree (as deep as nodes on HOST_PAGES pages are).
    No host's pages meet in one task.
 2. The paths to cut, a small part of all, are joined to pages by host, or sent to all tasks while they are
    at most TABLE_ROWS; pages are parsed again and lose those branches.
@@ -38,7 +38,7 @@ from taxoflux.llm.runtime import Scratch
 #: A node below this importance goes; inside <article> or <main> only one that hardly changes at all.
 LEAST = 0.3
 LEAST_INSIDE = 0.05
-#: Pages that a host's own node needs; below it the tree over all hosts decides, from ALL_PAGES on.
+#: Different pages that a host's own node needs; below it the tree over all hosts decides, from ALL_PAGES on.
 HOST_PAGES = 8
 HOST_PAGES_INSIDE = 20
 ALL_PAGES = 50
@@ -267,9 +267,11 @@ def importances(votes: DataFrame, scratch: Scratch) -> DataFrame:
 
 def branches_to_cut(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, node) of low importance; host EVERY stands for hosts with too few pages of their own."""
-    seen = scratch.save(pages.select("url", "html").mapInArrow(style_nodes, "host string, digest binary, nodes array<struct<node: string, shown: long, part: double>>"))
-    own = seen.select("host", F.inline("nodes"))
-    tree = importances(own.unionByName(seen.select(F.lit(EVERY).alias("host"), F.inline("nodes"))), scratch)
+    seen = pages.select("url", "html").mapInArrow(style_nodes, "host string, digest binary, nodes array<struct<node: string, shown: long, part: double>>")
+    # copies of a page have one vote a host, and one in all
+    own = scratch.save(seen.groupBy("host", "digest").agg(F.first("nodes").alias("nodes")))
+    every = own.groupBy("digest").agg(F.first("nodes").alias("nodes"))
+    tree = importances(own.select("host", F.inline("nodes")).unionByName(every.select(F.lit(EVERY).alias("host"), F.inline("nodes"))), scratch)
     inside = within(F.col("node"))
     need = F.when(F.col("host") == EVERY, ALL_PAGES).when(inside, HOST_PAGES_INSIDE).otherwise(HOST_PAGES)
     least = F.when(inside, LEAST_INSIDE).otherwise(LEAST)

@@ -410,6 +410,13 @@ def test_names_spare_the_article(page, want):
     assert "|".join(t for _, t, _ in site_style_tree.parse(page)[0]) == want
 
 
+def test_copies_of_a_page_vote_once(spark, scratch):
+    many = "<h1>Headline</h1><article><h1>Title</h1></article>" + "".join(f"<p>Paragraph {k} of the article</p>" for k in range(10))
+    df = spark.createDataFrame([(i, "http://h.example/", many if i < 200 else f"<p>Unique {i}</p>") for i in range(204)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_style_tree.extract(df, scratch).collect()}
+    assert got[0].split("\n") == ["Headline", "Title", *(f"Paragraph {k} of the article" for k in range(10))] and got[201] == "Unique 201"
+
+
 def test_pages_without_rows(spark, scratch):
     assert site_style_tree.extract(spark.createDataFrame([], "page_id long, url string, html string"), scratch).count() == 0
 
