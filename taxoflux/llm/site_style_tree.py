@@ -13,8 +13,8 @@ around the page's article or most of its text.
 1. Every page is parsed once and gives its nodes with what they show; pages that show the same count once
    a host.  Spark counts pages and takes entropies, then importances level by level, one small join a level of the tree (as deep as nodes on HOST_PAGES pages are).
    No host's pages meet in one task.
-2. The paths to cut, a small part of all, are joined to pages by host, or sent to all tasks while they are
-   at most TABLE_ROWS; pages are parsed again and lose those branches.
+2. Each host gets its own list of paths to cut.  The lists are joined to pages by host and SALTS parts of it, or
+   sent to all tasks while they are at most TABLE_ROWS paths; pages are parsed again and lose those branches.
 
 Defined cases: null or empty html gives an empty text; a null or odd url makes its page part of the
 host ""; broken markup is read as far as it goes (open comments and scripts end with the page);
@@ -43,6 +43,7 @@ HOST_PAGES = 8
 HOST_PAGES_INSIDE = 20
 ALL_PAGES = 50
 TABLE_ROWS = 200_000
+SALTS = 32
 #: What k different presentations leave to the importance of the children: FADE ** k.
 FADE = 0.9
 #: Host of the tree over all hosts, and the part of a path for the texts right in a node; no host or tag holds "/" or "#".
@@ -265,17 +266,21 @@ def importances(votes: DataFrame, scratch: Scratch) -> DataFrame:
     return reduce(DataFrame.unionByName, tree).select("host", "node", "pages", "importance")
 
 
-def branches_to_cut(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, node) of low importance; host EVERY stands for hosts with too few pages of their own."""
+def branches_to_cut(pages: DataFrame, scratch: Scratch, table_rows: int = TABLE_ROWS) -> DataFrame:
+    """(host, path) of low importance, by the host's own pages or, where it has too few, by those of all hosts."""
     seen = pages.select("url", "html").mapInArrow(style_nodes, "host string, digest binary, nodes array<struct<node: string, shown: long, part: double>>")
     # copies of a page have one vote a host, and one in all
     own = scratch.save(seen.groupBy("host", "digest").agg(F.first("nodes").alias("nodes")))
     every = own.groupBy("digest").agg(F.first("nodes").alias("nodes"))
     tree = importances(own.select("host", F.inline("nodes")).unionByName(every.select(F.lit(EVERY).alias("host"), F.inline("nodes"))), scratch)
     inside = within(F.col("node"))
-    need = F.when(F.col("host") == EVERY, ALL_PAGES).when(inside, HOST_PAGES_INSIDE).otherwise(HOST_PAGES)
-    least = F.when(inside, LEAST_INSIDE).otherwise(LEAST)
-    return scratch.save(tree.where((F.col("pages") >= need) & (F.col("importance") < least)).select("host", F.col("node").alias("path")))
+    need, least = F.when(inside, HOST_PAGES_INSIDE).otherwise(HOST_PAGES), F.when(inside, LEAST_INSIDE).otherwise(LEAST)
+    mine, low = tree.where(F.col("host") != EVERY), F.col("importance") < least
+    common = scratch.save(tree.where((F.col("host") == EVERY) & (F.col("pages") >= ALL_PAGES) & low).select("node"))
+    if common.limit(table_rows + 1).count() <= table_rows:
+        common = F.broadcast(common)
+    cut = mine.where((F.col("pages") >= need) & low).unionByName(mine.where(F.col("pages") < need).join(common, "node", "left_semi").select(mine.columns))
+    return scratch.save(cut.select("host", F.col("node").alias("path")))
 
 
 def kept(blocks, gone) -> list[str]:
@@ -297,36 +302,39 @@ def kept(blocks, gone) -> list[str]:
 
 
 def main_texts(cuts):
-    """Pages (page_id, url, html[, own]) -> (page_id, url, text).  cuts: {host: paths} or, for pages
-    joined with their host's paths in ``own``, {EVERY: paths}."""
+    """Pages (page_id, url, html[, own]) -> (page_id, url, text).  cuts: {host: paths}; pages joined with
+    their host's paths have them in ``own``."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches):
         table = cuts.value
         for batch in batches:
             urls = batch.column(1).to_pylist()
-            own = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(urls)
-            texts = []
-            for url, page, mine in zip(urls, batch.column(2).to_pylist(), own):
-                gone = set(mine or ()) | table.get(EVERY, set()) | table.get(host_of(url), set())
-                texts.append("\n".join(kept(parse(page or "")[0], gone)))
+            own = batch.column(3).to_pylist() if batch.num_columns > 3 else [table.get(host_of(url), ()) for url in urls]
+            texts = ["\n".join(kept(parse(page or "")[0], set(gone or ()))) for page, gone in zip(batch.column(2).to_pylist(), own)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
     return run
 
 
+def hosts_of(batches):
+    for batch in batches:
+        hosts = pa.array([host_of(url) for url in batch.column(1).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, hosts], names=[*batch.schema.names, "host"])
+
+
 def extract(pages: DataFrame, scratch: Scratch, table_rows: int = TABLE_ROWS) -> DataFrame:
     """One row a page: page_id, url, text."""
     sc = pages.sparkSession.sparkContext
     rows = pages.select("page_id", "url", "html")
-    cut = branches_to_cut(pages, scratch)
-    everywhere = cut.where(F.col("host") == EVERY)
-    small = cut.limit(table_rows + 1).count() <= table_rows
+    cut = branches_to_cut(pages, scratch, table_rows)
     table: dict[str, set[str]] = {}
-    for host, path in (cut if small else everywhere.limit(table_rows)).collect():
-        table.setdefault(host, set()).add(path)
-    if not small:
-        per_host = cut.where(F.col("host") != EVERY).groupBy("host").agg(F.collect_set("path").alias("own"))
-        host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-        rows = rows.withColumn("host", host).join(per_host, "host", "left").select("page_id", "url", "html", "own")
+    if cut.limit(table_rows + 1).count() <= table_rows:
+        for host, path in cut.collect():
+            table.setdefault(host, set()).add(path)
+    else:  # pages of one host are dealt over SALTS tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        per_host = cut.groupBy("host").agg(F.collect_set("path").alias("own")).select("host", "own", salts)
+        rows = rows.mapInArrow(hosts_of, "page_id long, url string, html string, host string").withColumn("salt", F.pmod(F.xxhash64("html", "page_id"), F.lit(SALTS)).cast("int"))
+        rows = rows.join(per_host, ["host", "salt"], "left").select("page_id", "url", "html", "own")
     return rows.mapInArrow(main_texts(sc.broadcast(table)), "page_id long, url string, text string")

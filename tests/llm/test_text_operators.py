@@ -417,6 +417,20 @@ def test_copies_of_a_page_vote_once(spark, scratch):
     assert got[0].split("\n") == ["Headline", "Title", *(f"Paragraph {k} of the article" for k in range(10))] and got[201] == "Unique 201"
 
 
+def test_paths_of_all_hosts_stand_in_only_where_pages_are_few(spark, scratch):
+    # "p" repeats on the hosts with few pages and on one hot host, "own" has different ones on as many pages as it needs
+    same = [(f"http://h{k}.example/", "<p>Same line</p>") for k in range(5)]
+    hot = [("http://hot.example/", f"<p>Same line</p><h2>Cut</h2><div>Story {i} told at length, so that it is most of the text</div>") for i in range(400)]
+    story = "<div>Story %d told at length, so that it is most of the text</div>"
+    few = [(f"http://few{k}.example/", f"<h2>Cut</h2>{story % k}") for k in range(5)]
+    own = [("http://own.example/", f"<p>Line {i}</p>") for i in range(10)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(same + hot + few + own)], "page_id long, url string, html string")
+    for table_rows in (site_style_tree.TABLE_ROWS, 1):
+        got = {r["url"]: r["text"] for r in site_style_tree.extract(df, scratch, table_rows=table_rows).collect()}
+        assert got["http://own.example/"].startswith("Line ") and got["http://h0.example/"] == ""
+        assert "Cut" not in got["http://few3.example/"] and "Story 3" in got["http://few3.example/"]
+
+
 def test_pages_without_rows(spark, scratch):
     assert site_style_tree.extract(spark.createDataFrame([], "page_id long, url string, html string"), scratch).count() == 0
 
