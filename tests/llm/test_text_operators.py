@@ -287,6 +287,19 @@ def test_decontamination(spark, scratch):
     assert {(r[0], r[1]) for r in big.select("doc_id", "item_id").collect()} == set(found)
 
 
+def test_decontamination_finds_items_with_other_names_and_number_words(spark, scratch):
+    item = "Each day John bakes four cakes. Mary sells three of them and keeps the rest."
+    rows = [
+        (1, item.replace("Mary", "Anna")), (2, item.replace("four", "five").replace("three", "two")), (3, "Well then. " + item.replace("John", "Mary Ann")), (4, item.replace("sells", "sells about")),
+        (5, item.replace("sells", "gives")), (6, "Each day we went to the sea. Mary sells shells and keeps dogs."), (7, "and 5 6 7 is"), (8, "and 5 6 8 is"), (9, item),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    items = spark.createDataFrame([(10, item), (13, "5 6 7")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, items, scratch).collect()}
+    assert set(found) == {(1, 10), (2, 10), (3, 10), (4, 10), (5, 10), (7, 13), (9, 10)}
+    assert found[3, 10]["n_changed"] > 0 and found[9, 10]["n_changed"] == 0
+
+
 def test_decontamination_finds_every_verbatim_item(spark, docs, scratch):
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
     low = {i: " ".join(t.lower().split()) for i, t in texts(docs)}
