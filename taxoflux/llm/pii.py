@@ -1,7 +1,7 @@
 """Operator 5: personal data by a semi-Markov conditional random field, beside fixed patterns.
 
 Fixed patterns give base spans, which always stay.  The rest of a text is cut into zones of tokens
-around digits and @ signs; there the field scores whole candidate segments (digit counts, checksums,
+(runs of ASCII without spaces, quotes, commas, braces or the like) around digits and @ signs; there the field scores whole candidate segments (digit counts, checksums,
 shape, separators, the word before) and a dynamic program over segments of at most MAX_TOKENS tokens
 chooses boundaries and types together.  Types: the base kinds in other spellings (email with
 "(at)" and "dot", telephone numbers without +, cards with other separators, IPv6).
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 5
+#: Longer segments are none of the kinds (an address of an email has at most 254 characters).
+MAX_CHARS = 320
 #: A segment is taken if the field gives it at least this share of all readings of its zone.
 CERTAIN = 0.9
 
@@ -36,7 +38,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+# white space, quotes, brackets, commas and other scripts end a token, as does the colon after a word
+TOKEN = re.compile(r"""(?=[A-Fa-f]*+[G-Zg-z])[A-Za-z]++:|(?:\[(?:at|dot)\]|[^\x00-\x20,;"'`{}\[\]<>|=\x7F-\U0010FFFF])+""")
 DIGITS = re.compile(r"[0-9]")
 
 
@@ -80,18 +83,15 @@ def zones(text: str, taken: list[tuple[int, int, int]]) -> list[list[tuple[int,
     """Runs of neighbouring tokens around triggers outside base spans; tokens without their outer marks."""
     hot: list[list[tuple[int, int]]] = []
     end, k = -1, 0
-    for m in TRIGGER.finditer(text):
-        if m.start() < end:
+    for m in TOKEN.finditer(text):
+        trigger = TRIGGER.search(text, m.start(), m.end())
+        if not trigger:
             continue
-        while k < len(taken) and taken[k][2] <= m.start():
+        start, stop = m.span()
+        while k < len(taken) and taken[k][2] <= start:
             k += 1
-        if k < len(taken) and taken[k][0] <= m.start():
+        if k < len(taken) and taken[k][0] <= trigger.start() and taken[k][2] >= stop:
             continue
-        start = m.start()
-        while start > 0 and start > end and text[start - 1] not in " \t\n\v\f\r" and m.start() - start < 80:
-            start -= 1
-        token = TOKEN.match(text, start)
-        stop = min(token.end(), m.start() + 80)
         if hot and start - end <= 1:
             hot[-1].append((start, stop))
         elif hot and start - end <= 6 and text[end:start].strip() in ("at", "dot", "(dot)", "[dot]"):
@@ -136,7 +136,7 @@ def span_features(s: str, before: str, tokens: int) -> list[str]:
         out.append(f"hex_groups={min(s.count(':'), 8)}:{max(map(len, s.split(':'))) <= 4}")
     if re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(@|\(at\)|\[at\]) ?[A-Za-z0-9-]+( ?(\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+", s):
         out.append("spelled_email")
-    if (word := before.strip(".,:;()").lower()) in ("tel", "phone", "call", "fax", "mobile", "card", "ip", "mail", "email"):
+    if (word := before.strip(".,:;()\"'{}[]=").lower()) in ("tel", "phone", "call", "fax", "mobile", "card", "ip", "mail", "email"):
         out.append(f"before={word}")
     return out
 
@@ -145,6 +145,8 @@ def segments(text: str, zone: list[tuple[int, int]], tokens_before) -> dict[tupl
     found = {}
     for i in range(len(zone)):
         for j in range(i + 1, min(len(zone), i + MAX_TOKENS) + 1):
+            if zone[j - 1][1] - zone[i][0] > MAX_CHARS:
+                break
             found[i, j] = span_features(text[zone[i][0] : zone[j - 1][1]], tokens_before(i), j - i)
     return found
 

@@ -262,6 +262,12 @@ def test_field_adds_other_spellings_and_no_lookalikes():
     assert found > 10 * missed and extra <= found // 50
 
 
+def test_field_finds_spans_glued_to_other_text():
+    weights = pii.train()
+    for text in ("a,555-123-4567,b", "tel:555-123-4567", '{"phone":"555-123-4567"}', "电话555-123-4567号", "x," * 60 + "555-123-4567"):
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find(text, weights)[1]] == [("phone", "555-123-4567")], text
+
+
 def test_mask(spark):
     df = spark.createDataFrame([(1, "mail a@b.de now", 15), (2, None, None)], "doc_id long, text string, n_chars long")
     assert {tuple(r) for r in pii.mask(df).collect()} == {(1, "mail [EMAIL] now", 16), (2, None, None)}
