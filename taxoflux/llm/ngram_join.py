@@ -3,30 +3,31 @@
 Two documents link when the Jaccard similarity of their sets of five-word shingles is 0.75 or more.
 
 1. Every document's shingle set is hashed; equal sets form one class and are compared once.
-2. Prefix filter: shingles are ordered by the number of sets that have them, rarest first; sets that link
-   share one among their first n - ceil(3n/4) + 1.  To count, every set's shingles are dealt out by
-   value, packed (about four bytes each); what only one set has is never sent back, and it fills the
-   prefixes of all sets but those with near copies.  Shingles that are very common already in
-   single tasks are not dealt out; they come last in the order (a bounded table, see ORDERED).
-   Prefix shingles are dealt out and sorted; members of a run are chained by size.  Chaining, not
-   pairing, so a shingle shared by n sets gives n - 1 rows at most.
-3. Components of these chains hold every link.  The sets of a component go to one task, or, beyond
-   BLOCK_SHINGLES, in blocks whose pairs go to tasks of bounded size.
-4. There a compressed trie holds the sets in one order.  A set descends it once, sharing its partial
-   overlap along common prefixes; a subtree is left where the remaining lengths cannot reach the
-   threshold, or where all its sets are already in the same component.  What leaves a task is a
-   spanning forest of verified links.
+2. Prefix filter: sets that link share a shingle among their first n - ceil(3n/4) + 1 in any one order.  The
+   order here: even-valued shingles, rarest first; odd-valued ones by value; very common ones by rank (a
+   bounded table, see ORDERED).  Half of a set's shingles nearly always fill its prefix, so only these are
+   dealt out by value to count the sets that have them.  What only one set has is not sent back, and it
+   fills the prefixes of all sets but those with near copies.
+3. The sets of like size that have a prefix shingle are tied to the smallest of them: n - 1 rows for n.
+   Components of these ties hold every link.
+4. The sets of a component, cut into blocks of bounded size, each with the component's smallest set, go
+   to tasks.  There a compressed trie holds the sets in one order.  A set descends it once, sharing its
+   partial overlap along common prefixes; a subtree is left where the remaining lengths cannot reach
+   the threshold, or where all its sets are already in the same component.  What leaves a task is a
+   spanning forest of verified links.  In components of several blocks, the sets that are not yet
+   connected with the smallest set then meet all others, block by block, in the same tries.
 5. Components of verified links, with the classes, are the result.
 
 Defined cases: a document without words (or null text) has no set and links with nothing; with one to
-four words its whole sequence is its only shingle; repeated rows are equal sets; a null doc_id never
-names a component (component_id is the smallest doc_id that isn't null); other columns are ignored; an
+four words its whole sequence is its only shingle; repeated rows are equal sets; rows of a null doc_id are
+compared like others, but name no component (component_id is the smallest doc_id that isn't null); other columns are ignored; an
 empty table gives no rows.  Shingles are compared by 64-bit hashes and classes by 64 bits of a digest:
 under 1e9 different sets the chance of any mix-up stays below 3 percent, and of a wrong link far less.
 """
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxoflux.llm.components import components
-from taxoflux.llm.runtime import Scratch
+from taxoflux.llm.runtime import Scratch, unused
 from taxoflux.llm.textbytes import pieces, shingle_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
 #: Shingles with at least 1 / ORDERED of all repeated occurrences get a place at the end of the order:
 #: ORDERED of them at most, 12 bytes each, whatever the size of the input.
 ORDERED = 1_000_000
+#: Shingles in a trie: first blocks are small, so that a group of copies is many tasks; later ones meet in pairs.
+FIRST_BLOCK = 100_000
 BLOCK_SHINGLES = 1_000_000
-#: Documents to compare whose ids (40 bytes a row) may go to all tasks; beyond it texts are joined by shuffle.
+#: Sets to compare whose documents' ids (some 60 bytes a row) may go to all tasks; beyond it texts are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -60,7 +63,7 @@ def set_digest(shingles: np.ndarray) -> int:
 
 def classes_of(k: int):
     """Documents -> their set's size and digest; and, per task, shingles in two or more different sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("shingle", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("shingle", pa.int64()), ("times", pa.int64())])
 
     def often(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not parts:
@@ -80,7 +83,7 @@ def classes_of(k: int):
                     held += len(s)
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema
+                [rows.column("doc_id").cast(pa.int64()), rows.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema
             )
             if held > 2_000_000:
                 yield common(parts)
@@ -92,219 +95,171 @@ def classes_of(k: int):
         keys, counts = often(parts, [np.ones(len(p), np.int64) for p in parts])
         keys, counts = keys[counts > 1].view(np.int64), counts[counts > 1]
         n = len(keys)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 3 + [pa.array(keys), pa.array(counts)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.array(keys), pa.array(counts)], schema=schema)
 
     return run
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Whole numbers, byte plane by byte plane: leading zeros cost nothing."""
-    x = np.ascontiguousarray(x, np.uint64)
-    return pa.Codec("zstd").compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
-
+def prefix(n):
+    return n - (3 * n + 3) // 4 + 1
 
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, 8 * n, asbytes=True), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
+#: Kinds of dealt rows.  A SET row's key holds the set's size and its number of counted keys.
+SET, COUNTED, DIRECT = 0, 1, 2
+KEYS = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("set_id", pa.int64())])
 
-DEALT = pa.schema([(c, pa.int32() if c in ("part", "n", "sets") else pa.bool_() if c == "late" else pa.binary()) for c in ("part", "late", "n", "sets", "ids", "sizes", "rests", "keys", "owners")])
 
+def deal(k: int, order, flush: int = 1_000_000):
+    """Documents -> (kind, key, set_id), each different set of a task once.  A key is 48 bits of a shingle.
 
-def deal(k: int, order, parts: int, flush: int = 2_000_000):
-    """Documents -> packed (key, set) pairs by range of key.  Keys are the first 48 bits of a shingle.
+    The order of keys is: those of even shingles, by the number of sets that have them; those of odd ones, by
+    value; very common shingles, by rank.  Only the first kind needs counting, so only half of a set's shingles
+    are dealt; they fill its prefix, but for chance in short sets.  What the prefix needs of the other kinds
+    is known here: these keys go DIRECT."""
 
-    Very common shingles aren't dealt; where they reach into a set's prefix, the first of them are sent
-    along as ``late``, keys and then their ranks."""
+    def batch(rows):
+        kinds = np.concatenate([np.full(len(x), kind, np.int32) for kind, x, _ in rows])
+        keys = np.concatenate([x for _, x, _ in rows])
+        ids = np.repeat(np.array([i for _, _, i in rows], np.int64), [len(x) for _, x, _ in rows])
+        at = np.argsort(keys, kind="stable")  # neighbours of one set would make shuffled bytes depend on the number of partitions
+        for a in range(0, len(at), 100_000):
+            part = at[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[part]), pa.array(keys[part].view(np.int64)), pa.array(ids[part])], schema=KEYS)
 
     def run(batches):
         last, rank = order.value
         seen: set[int] = set()
-        held: list[tuple[int, int, np.ndarray]] = []
-        amount = 0
-
-        def out():
-            ids, sizes, rests = (np.array(c, np.int64).view(np.uint64) for c in zip(*((i, n, len(x)) for i, n, x in held)))
-            keys = np.concatenate([x for _, _, x in held])
-            owners = np.repeat(np.arange(len(held)), [len(x) for _, _, x in held])
-            at = np.argsort(keys, kind="stable")
-            keys, owners = keys[at], owners[at]
-            cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) * np.uint64((1 << 48) // parts))
-            cuts[-1] = len(keys)
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if a < b:
-                    used, own = np.unique(owners[a:b], return_inverse=True)
-                    yield row(p, False, ids[used], sizes[used], rests[used], np.diff(keys[a:b], prepend=np.uint64(0)), own)
-
-        def row(part, late, ids, sizes, rests, keys, owners):
-            return pa.RecordBatch.from_pylist([dict(part=part, late=late, n=len(owners), sets=len(ids), ids=packed(ids), sizes=packed(sizes), rests=packed(rests), keys=packed(keys), owners=packed(owners))], schema=DEALT)
-
+        held, amount = [], 0
         for _, sets in row_sets(batches, k):
-            late = []
             for s in sets:
                 if not len(s) or (i := set_digest(s)) in seen:
                     continue
                 seen.add(i)
-                n, rest = len(s), s
+                place = None
+                rest = s
                 if len(last):
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     common = last[at] == s
                     if common.any():
-                        rest = s[~common]
-                        if (more := prefix(n) - len(rest)) > 0:
-                            first = np.argsort(rank[at[common]], kind="stable")[:more]
-                            late.append((i, n, len(rest), s[common][first] >> np.uint64(16), rank[at[common]][first]))
-                held.append((i, n, rest >> np.uint64(16)))
-                amount += len(rest)
-            if late:
-                ids, sizes, rests = (np.array([x[c] for x in late], np.int64).view(np.uint64) for c in range(3))
-                keys = np.concatenate([x[3] for x in late] + [x[4].astype(np.uint64) for x in late])
-                yield row(int(ids[0] % np.uint64(parts)), True, ids, sizes, rests, keys, np.repeat(np.arange(len(late)), [len(x[3]) for x in late]))
+                        rest, place = s[~common], rank[at[common]]
+                even = (rest & np.uint64(1)) == 0
+                keys = rest[even] >> np.uint64(16)
+                keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+                held.append((SET, np.array([len(s) << 31 | len(keys)], np.uint64), i))
+                held.append((COUNTED, keys, i))
+                amount += len(keys)
+                more = prefix(len(s)) - len(keys)
+                if more > 0:
+                    odd = rest[~even][:more] >> np.uint64(16)
+                    held.append((DIRECT, odd | ODD, i))
+                    if more > len(odd) and place is not None:
+                        first = np.argsort(place, kind="stable")[: more - len(odd)]
+                        held.append((DIRECT, s[common][first] >> np.uint64(16) | LATE, i))
             if amount > flush:
-                yield from out()
+                yield from batch(held)
                 held, amount = [], 0
         if held:
-            yield from out()
+            yield from batch(held)
 
     return run
 
 
-def prefix(n):
-    return n - (3 * n + 3) // 4 + 1
-
-
-#: Where the order of very common shingles starts, above all counts.
-LATE = 1 << 40
-
-
-SHARED = pa.schema([(c, pa.int32() if c in ("bucket", "n", "sets") else pa.binary()) for c in ("bucket", "n", "sets", "ids", "sizes", "rests", "owners", "keys", "places")])
+ODD, LATE = np.uint64(1 << 48), np.uint64(2 << 48)  # keys of different kinds don't meet
 
 
-def shared_keys(buckets: int):
-    """Packed rows sorted by part -> keys that two sets have, packed by bucket of sets.
-    A place orders keys: the number of sets, or LATE + rank."""
+def shared_keys(batches):
+    """Rows (kind, key, set_id) sorted by kind, key, set_id -> (set_id, place, key): SET rows with place -1, keys that two
+    sets have with their number of sets, DIRECT keys with place null."""
+    schema = pa.schema([("set_id", pa.int64()), ("place", pa.int64()), ("key", pa.int64())])
 
-    def emit(ids, sizes, rests, keys, place):
-        bucket = (ids % np.uint64(buckets)).astype(np.int64)
-        at = np.lexsort((ids, bucket))
-        ids, sizes, rests, keys, place, bucket = (x[at] for x in (ids, sizes, rests, keys, place, bucket))
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in range(buckets):
-            a, z = cuts[b], cuts[b + 1]
-            if a < z:
-                own, first, at = np.unique(ids[a:z], return_index=True, return_inverse=True)
-                columns = dict(ids=own, sizes=sizes[a:z][first], rests=rests[a:z][first], owners=np.diff(at, prepend=0), keys=keys[a:z], places=place[a:z])
-                yield pa.RecordBatch.from_pylist([dict(bucket=b, n=int(z - a), sets=len(own), **{k: packed(v) for k, v in columns.items()})], schema=SHARED)
-
-    def run(batches):
-        yield from _shared(batches, emit)
-
-    return run
-
-
-def _shared(batches, emit):
-
-    def close(rows):
-        if not rows:
-            return
-        ids, sizes, rests, keys = (np.concatenate([r[i] for r in rows]) for i in range(4))
-        at = np.lexsort((ids, keys))
-        keys, ids = keys[at], ids[at]
+    def close(keys, ids):
         fresh = np.ones(len(keys), bool)
         fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])  # a set that two tasks have counts once
-        at, keys, ids = at[fresh], keys[fresh], ids[fresh]
+        keys, ids = keys[fresh], ids[fresh]
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         count = np.diff(np.append(start, len(keys)))
         count = np.repeat(count, count)
         two = count > 1
-        yield from emit(ids[two], sizes[at[two]], rests[at[two]], keys[two], count[two])
+        if two.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[two]), pa.array(count[two]), pa.array(keys[two])], schema=schema)
 
-    part, rows = None, []
+    held: list[tuple] = []
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["part"] != part:
-                yield from close(rows)
-                part, rows = r["part"], []
-            ids, sizes, rests = (unpacked(r[c], r["sets"]) for c in ("ids", "sizes", "rests"))
-            keys, own = unpacked(r["keys"], r["n"] * (1 + r["late"])), unpacked(r["owners"], r["n"]).astype(np.int64)
-            if r["late"]:
-                yield from emit(ids[own], sizes[own], rests[own], keys[: r["n"]], LATE + keys[r["n"] :].astype(np.int64))
-            else:
-                rows.append((ids[own], sizes[own], rests[own], np.cumsum(keys, dtype=np.uint64)))
-    yield from close(rows)
+        kind, keys, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for want, place in ((SET, -1), (DIRECT, None)):
+            mine = kind == want
+            if (n := int(mine.sum())):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[mine]), pa.nulls(n, pa.int64()) if place is None else pa.array(np.full(n, place)), pa.array(keys[mine])], schema=schema)
+        mine = kind == COUNTED
+        keys, ids = keys[mine], ids[mine]
+        if not len(keys):
+            continue
+        last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+        if last or (held and held[0][0][0] != keys[0]):
+            yield from close(*(np.concatenate(x) for x in zip(*held, (keys[:last], ids[:last]))))
+            held = []
+        held.append((keys[last:], ids[last:]))
+    if held:
+        yield from close(*(np.concatenate(x) for x in zip(*held)))
 
 
 def prefix_rows(batches):
-    """Packed rows sorted by bucket -> (key, set_id, size) of the keys in a set's prefix.
+    """Rows (set_id, place, key) sorted by set_id, place (null last), key -> (key, set_id, size) of the keys in a set's prefix.
 
-    Of a set's ``rest`` shingles that aren't very common, those that are not here are its own alone
-    and stand before all others."""
+    Of a set's counted keys, those that are not here are its own alone and stand before all others."""
     schema = pa.schema([("key", pa.int64()), ("set_id", pa.int64()), ("size", pa.int32())])
+    last, size, room = None, 0, 0  # of the set that the batch before ended in; room: keys that its prefix still takes
+    shared_before = 0
+    held: list = []
 
-    def close(rows):
-        if not rows:
-            return
-        ids, sizes, rests, keys, places = (np.concatenate([r[i] for r in rows]) for i in range(5))
-        at = np.lexsort((keys, places, ids))
-        ids, keys, places, sizes, rests = (x[at] for x in (ids, keys, places, sizes, rests))
-        fresh = np.ones(len(ids), bool)
-        fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])  # sent by two tasks
-        ids, keys, places, sizes, rests = (x[fresh] for x in (ids, keys, places, sizes, rests))
+    def close(ids, place, keys):
         start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         length = np.diff(np.append(start, len(ids)))
-        nth = np.arange(len(ids)) - np.repeat(start, length)
-        common = np.repeat(np.add.reduceat((places < LATE).astype(np.int64), start), length)
-        sizes, rests = sizes.astype(np.int64), rests.astype(np.int64)
-        keep = nth < prefix(sizes) - (rests - common)
+        packed = keys[start]  # the first row of a set is its SET row
+        sizes, counted = packed >> 31, packed & ((1 << 31) - 1)
+        key_row = place > 0
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])
+        key_row &= fresh
+        shared = np.add.reduceat((key_row & (place < LAST)).astype(np.int64), start)
+        run = np.cumsum(key_row) - key_row
+        nth = run - np.repeat(run[start], length)
+        keep = key_row & ((nth < np.repeat(prefix(sizes) - (counted - shared), length)) | (place == LAST))
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(ids[keep].view(np.int64)), pa.array(sizes[keep].astype(np.int32))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(np.repeat(sizes, length)[keep].astype(np.int32))], schema=schema)
 
-    bucket, rows = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["bucket"] != bucket:
-                yield from close(rows)
-                bucket, rows = r["bucket"], []
-            ids, sizes, rests = (unpacked(r[c], r["sets"]) for c in ("ids", "sizes", "rests"))
-            own = np.cumsum(unpacked(r["owners"], r["n"])).astype(np.int64)
-            rows.append((ids[own], sizes[own], rests[own], unpacked(r["keys"], r["n"]), unpacked(r["places"], r["n"])))
-    yield from close(rows)
-
-
-def chain(batches):
-    """Rows (key, set_id, size) sorted by key, size and set_id -> (a, b): each set of a run with the run's first set, or
-    with the one before it if the first is too small; a pair too unlike in size is left out."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    carry = None  # last row, and the first row of its run
     for batch in batches:
-        key, ids, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(key):
+        ids, place, keys = (c.fill_null(LAST).to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(ids):
             continue
-        size = size.astype(np.int64)
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = key[1:] != key[:-1]
-        if carry is not None and key[0] == carry[0]:
-            fresh[0] = False
-            key, ids, size = (np.concatenate([[c], x]) for c, x in zip((carry[0], carry[3], carry[4]), (key, ids, size)))
-            # row 0 stands for the run's first row; the row before row 1 is the carried last row
-            fresh = np.concatenate([[True], fresh])
-            before_ids, before_size = np.concatenate([[0, carry[1]], ids[1:-1]]), np.concatenate([[0, carry[2]], size[1:-1]])
-        else:
-            before_ids, before_size = np.concatenate([[0], ids[:-1]]), np.concatenate([[0], size[:-1]])
-        first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-        near = 4 * size[first] >= 3 * size
-        other, other_size = np.where(near, ids[first], before_ids), np.where(near, size[first], before_size)
-        ok = ~fresh & (other != ids) & (4 * other_size >= 3 * size)
-        carry = (key[-1], ids[-1], size[-1], ids[first[-1]], size[first[-1]])
-        if ok.any():
-            pairs = np.unique(np.stack([np.minimum(ids[ok], other[ok]), np.maximum(ids[ok], other[ok])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+        cut = int(np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))[-1])
+        if cut or (held and held[0][0][0] != ids[0]):
+            yield from close(*(np.concatenate(x) for x in zip(*held, (ids[:cut], place[:cut], keys[:cut]))))
+            held = []
+        held.append((ids[cut:], place[cut:], keys[cut:]))
+    if held:
+        yield from close(*(np.concatenate(x) for x in zip(*held)))
+
+
+LAST = (1 << 62)  # the place of DIRECT keys, which are known to be in the prefix
+
+
+def candidates(heads: DataFrame) -> DataFrame:
+    """(key, set_id, size) -> (a, b): of the sets that have a key, those of like size with the smallest of them, and these
+    smallest with those of the next sizes.  Sizes that link differ by one class at most.  A key of n sets gives
+    n + classes rows; its smallest sets are found by partial aggregates, so a frequent key is no hot group."""
+    sized = heads.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1.34))).cast("int"))
+    hubs = sized.groupBy("key", "class").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("other"))
+    inner = sized.join(hubs.where("hub < other").drop("other"), ["key", "class"]).where("set_id <> hub")
+    above = hubs.select("key", (F.col("class") - 1).alias("class"), F.col("hub").alias("above"))
+    across = hubs.join(above, ["key", "class"]).where("hub <> above")
+    pairs = inner.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).unionByName(across.select(F.col("hub").alias("a"), F.col("above").alias("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def member_sets(k: int):
-    """Documents chosen to stand for a set -> (label, own, blocks, set_id, shingles as bytes)."""
-    schema = pa.schema([("label", pa.int64()), ("own", pa.int32()), ("blocks", pa.int32()), ("set_id", pa.int64()), ("shingles", pa.binary())])
+    """Documents chosen to stand for a set -> (label, blocks, own, cluster, set_id, shingles as bytes)."""
+    schema = MEMBERS
 
     def run(batches):
         for rows, sets in row_sets(batches, k):
@@ -317,6 +272,10 @@ def member_sets(k: int):
     return run
 
 
+MEMBERS = pa.schema([("label", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("own", pa.int32()), ("cluster", pa.int64()), ("set_id", pa.int64()), ("shingles", pa.binary())])
+MEMBERS_SQL = "label long, low int, high int, own int, cluster long, set_id long, shingles binary"
+
+
 class PrefixTree:
     """A compressed trie over sets of small integers, each in ascending order.
 
@@ -353,9 +312,9 @@ class PrefixTree:
                         todo.append((a, b, end, me))
 
 
-def spanning_links(sets: list[np.ndarray], block: list[int] | None = None) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], block: list[int] | None = None, cluster: list[int] | None = None) -> list[tuple[int, int]]:
     """Index pairs of verified links, enough to connect all that links connect.  With blocks given,
-    only links between the two blocks are looked for."""
+    only links between the two blocks are looked for; sets of one cluster are known to be connected."""
     if len(sets) < 2:
         return []
     tokens, local, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -364,14 +323,15 @@ def spanning_links(sets: list[np.ndarray], block: list[int] | None = None) -> li
     local, cuts = rank[local], np.cumsum([0] + [len(s) for s in sets])
     local = [np.sort(local[a:b]) for a, b in zip(cuts, cuts[1:])]
     tree = PrefixTree(local)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets)) if cluster is None else np.unique([cluster[i] for i in tree.order], return_inverse=True)[1]
     side = None if block is None else np.array([block[i] for i in tree.order])
+    seekers = range(len(sets)) if side is None else np.flatnonzero(side == min(set(side.tolist()), key=lambda b: (np.count_nonzero(side == b), b)))
     mine = np.zeros(len(tokens), bool)
     links = []
-    for x in range(len(sets)):
+    for x in seekers:
         own = local[tree.order[x]]
         n = len(own)
-        if side is None and (label == label[0]).all():
+        if (label == label[0]).all():
             break
         mine[own] = True
         todo = [(r, 0) for r in tree.roots]
@@ -403,68 +363,93 @@ def spanning_links(sets: list[np.ndarray], block: list[int] | None = None) -> li
 
 
 def links_in_groups(batches):
-    """Rows sorted by (group, ...) -> (a, b) links between sets of a group."""
+    """Rows sorted by (label, low, high, set_id) -> (a, b) links between sets of a group."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def close(ids, sets, blocks, cross):
-        found = spanning_links(sets, blocks if cross else None)
+    def close(ids, sets, blocks, clusters, cross):
+        found = spanning_links(sets, blocks if cross and len(set(blocks)) > 1 else None, clusters) if not cross or len(set(blocks)) > 1 else []
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], schema=schema)
 
-    group, ids, sets, blocks, cross = None, [], [], [], False
+    group, ids, sets, blocks, clusters, cross = None, [], [], [], [], False
     for batch in batches:
-        for label, b1, b2, own, i, raw in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "b1", "b2", "own", "set_id", "shingles"))):
-            if (label, b1, b2) != group:
-                yield from close(ids, sets, blocks, cross)
-                group, ids, sets, blocks, cross = (label, b1, b2), [], [], [], b1 != b2
+        for label, low, high, own, cluster, i, raw in zip(*(batch.column(batch.schema.get_field_index(f.name)).to_pylist() for f in MEMBERS)):
+            if (label, low, high) != group:
+                yield from close(ids, sets, blocks, clusters, cross)
+                group, ids, sets, blocks, clusters, cross = (label, low, high), [], [], [], [], low != high
             if ids and ids[-1] == i:
-                continue  # the same set from another task
+                continue  # the same set from another row of that doc_id
             ids.append(i)
             sets.append(np.frombuffer(raw, np.uint64))
             blocks.append(own)
-    yield from close(ids, sets, blocks, cross)
+            clusters.append(cluster)
+    yield from close(ids, sets, blocks, clusters, cross)
+
+
+def tried(texts: DataFrame, chosen: DataFrame, k: int, broadcast_rows: int) -> DataFrame:
+    """Sets (rid, label, blocks: pairs of block numbers, own, cluster, set_id) -> (a, b) links found in the tries of their blocks."""
+    if chosen.count() <= broadcast_rows:  # else texts are shuffled to meet them
+        chosen = F.broadcast(chosen)
+    sets = texts.join(chosen, "rid").withColumn("pair", F.explode("blocks")).select("text", "label", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "own", "cluster", "set_id")
+    dealt = sets.mapInArrow(member_sets(k), MEMBERS_SQL).repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "set_id")
+    return dealt.mapInArrow(links_in_groups, "a long, b long").distinct()
+
+
+def pairs_of_blocks(own, others):
+    return F.transform(others, lambda x: F.struct(F.least(own, x).alias("low"), F.greatest(own, x).alias("high")))
 
 
-def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: int = ORDERED, block: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: int = ORDERED, block: int = BLOCK_SHINGLES, first_block: int = FIRST_BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, set_id; links between different sets: a, b)."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    first = scratch.save(texts.mapInArrow(classes_of(k), "doc_id long, n_shingles long, set_id long, shingle long, times long"))
-    classes = first.where("shingle is null").select("doc_id", "n_shingles", "set_id")
+    # rid finds a text again; rows of a null doc_id are told apart by their text
+    texts = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"))
+    first = scratch.save(texts.mapInArrow(classes_of(k), "doc_id long, rid long, n_shingles long, set_id long, shingle long, times long"))
+    classes = first.where("shingle is null").select("doc_id", "rid", "n_shingles", "set_id")
     often = scratch.save(first.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")))
     total = often.agg(F.sum("times")).first()[0] or 0
     often = often.where(F.col("times") * F.lit(ordered) >= F.lit(total)).orderBy(F.desc("times"), "shingle").toArrow().to_pandas()
     keys = often["shingle"].to_numpy(np.int64).view(np.uint64)
     place = np.argsort(keys)
     order = spark.sparkContext.broadcast((keys[place], (len(keys) - place).astype(np.int32)))  # ORDERED rows at most
-    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = texts.mapInArrow(deal(k, order, parts), ", ".join(f"{f.name} {'int' if pa.types.is_int32(f.type) else 'boolean' if pa.types.is_boolean(f.type) else 'binary'}" for f in DEALT))
-    shared = dealt.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(shared_keys(parts), ", ".join(f"{f.name} {'int' if pa.types.is_int32(f.type) else 'binary'}" for f in SHARED))
-    heads = shared.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(prefix_rows, "key long, set_id long, size int")
-    heads = scratch.save(heads)
+    dealt = texts.select("text").mapInArrow(deal(k, order), "kind int, key long, set_id long")
+    dealt = dealt.repartition(F.when(F.col("kind") == COUNTED, F.col("key")).otherwise(F.col("set_id"))).sortWithinPartitions("key", "set_id")
+    shared = dealt.mapInArrow(shared_keys, "set_id long, place long, key long")
+    shared = shared.repartition("set_id").sortWithinPartitions("set_id", F.col("place").asc_nulls_last(), "key")
+    heads = scratch.save(shared.mapInArrow(prefix_rows, "key long, set_id long, size int"))
     scratch.release()
-    runs = heads.repartition(F.col("key")).sortWithinPartitions("key", "size", "set_id")
-    near = scratch.save(runs.mapInArrow(chain, "a long, b long").distinct())
+    near = scratch.save(candidates(heads))
+    scratch.drop(heads)
     scratch.release()
     groups = components(near, scratch)
     scratch.drop(near)
-    scratch.release()
-    scratch.drop(heads)
     # one document stands for each set that is to be compared; only these narrow rows are grouped
-    chosen = classes.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
+    chosen = classes.where("set_id is not null").groupBy("set_id").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("n"))
     chosen = scratch.save(chosen.join(groups.withColumnRenamed("node", "set_id"), "set_id"))
-    blocks = chosen.groupBy("label").agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks")).where("sets > 1")
-    own = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    chosen = scratch.save(chosen.join(blocks, "label").select("doc_id", "set_id", "label", "blocks", own.alias("own")))
-    if chosen.count() <= broadcast_rows:  # else texts are shuffled to meet them
-        chosen = F.broadcast(chosen)
-    sets = texts.join(chosen, "doc_id").select("text", "label", "own", "blocks", "set_id")
-    dealt = sets.mapInArrow(member_sets(k), "label long, own int, blocks int, set_id long, shingles binary")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "set_id", "shingles")
-    dealt = dealt.repartition("label", "b1", "b2").sortWithinPartitions("label", "b1", "b2", "set_id")
-    links = scratch.save(dealt.mapInArrow(links_in_groups, "a long, b long").distinct())
+    sizes = scratch.save(chosen.groupBy("label").agg(F.ceil(F.sum("n") / F.lit(first_block)).cast("int").alias("parts")))
+    chosen = scratch.save(chosen.join(sizes, "label"))
+    # first each block for itself, with the smallest set of the group in all of them
+    own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
+    alone = F.when(F.col("set_id") == F.col("label"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    blocks = F.transform(alone, lambda x: F.struct(x.alias("low"), x.alias("high")))
+    links = scratch.save(tried(texts, chosen.select("rid", "label", blocks.alias("blocks"), own.alias("own"), F.col("set_id").alias("cluster"), "set_id"), k, broadcast_rows))
     scratch.release()
+    # then, in groups of several blocks, what is not connected with the smallest set against all others
+    several = scratch.save(chosen.where("parts > 1").drop("parts"))
+    if not several.isEmpty():
+        known = components(links, scratch).select(F.col("node").alias("set_id"), F.col("label").alias("cluster"))
+        several = scratch.save(several.join(known, "set_id", "left").withColumn("cluster", F.coalesce("cluster", "set_id")))
+        hubs = several.where("set_id = label").select("label", F.col("cluster").alias("hub"))
+        several = several.join(scratch.save(hubs), "label").withColumn("open", F.col("cluster") != F.col("hub"))
+        size = lambda which: F.ceil(F.sum(F.when(which, F.col("n")).otherwise(0)) / F.lit(block)).cast("int")
+        counts = several.groupBy("label").agg(size(F.col("open")).alias("opens"), size(~F.col("open")).alias("rest")).where("opens > 0")
+        several = several.join(scratch.save(counts), "label")
+        own = F.when(F.col("open"), F.pmod(F.xxhash64("set_id"), F.col("opens"))).otherwise(F.col("opens") + F.pmod(F.xxhash64("set_id"), F.col("rest"))).cast("int")
+        several = several.withColumn("own", own)
+        others = F.when(F.col("open"), F.sequence(F.lit(0), F.col("opens") + F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("opens") - 1))
+        several = scratch.save(several.select("rid", "label", pairs_of_blocks(F.col("own"), others).alias("blocks"), "own", "cluster", "set_id"))
+        if not several.isEmpty():
+            links = scratch.save(links.unionByName(tried(texts, several, k, broadcast_rows)))
     return classes, links
 
 
@@ -486,5 +471,6 @@ def representatives(docs: DataFrame, scratch: Scratch, **limits) -> DataFrame:
     doc_id.  Documents without words, or without a doc_id, link with nothing here and stay."""
     named = docs.where(F.col("doc_id").isNotNull())
     joined = join(named, scratch, **limits)
-    gone = joined.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(scratch.save(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = unused(docs, "gone")
+    dropped = joined.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(scratch.save(dropped), F.col("doc_id") == F.col(gone), "left_anti")

@@ -1,4 +1,14 @@
 """Written intermediates and table access, as the rest of the library has them."""
+from pyspark.sql import DataFrame
+
 from taxoflux.plans.scratch import Scratch, shared_dir, table
 
-__all__ = ["Scratch", "shared_dir", "table"]
+__all__ = ["Scratch", "shared_dir", "table", "unused"]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name

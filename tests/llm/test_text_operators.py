@@ -30,7 +30,7 @@ def docs(spark):
 
 @pytest.fixture
 def odd(spark):
-    extra = {c: F.lit("clash") for c in ("n_words", "score", "kept", "size", "label", "set_id", "copies", "uid", "seed", "__row", "held_out")}
+    extra = {c: F.lit("clash") for c in ("n_words", "score", "kept", "size", "label", "set_id", "copies", "uid", "seed", "__row", "held_out", "gone", "copy", "leak", "rid", "part")}
     return spark.createDataFrame(ODD, SCHEMA).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(0).cast("long")} | extra)
 
 
@@ -111,10 +111,22 @@ def near_copies(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("which", ["docs", "odd", "near"])
+def drifting_copies(spark):
+    """Each row differs a little from the one before it, so most of a chain's links do not touch its smallest set."""
+    rng = np.random.default_rng(5)
+    rows, words = [], [f"w{i}" for i in range(90)]
+    for i in range(70):
+        words = list(words)
+        words[int(rng.integers(len(words)))] = f"n{i}"
+        rows.append((None if i % 9 == 4 else i, " ".join(words)))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("which", ["docs", "odd", "near", "drift", "drift shuffled", "drift with ranks"])
 def test_ngram_join(which, request, spark, scratch):
-    df = near_copies(spark) if which == "near" else request.getfixturevalue(which)
-    limits = {"ordered": 20, "block": 500} if which == "near" else {}  # forces late shingles and block pairs
+    df = near_copies(spark) if which == "near" else drifting_copies(spark) if "drift" in which else request.getfixturevalue(which)
+    # forces late shingles, blocks and block pairs
+    limits = {"near": {"ordered": 20, "block": 500, "first_block": 200}, "drift": {"block": 900, "first_block": 600}, "drift shuffled": {"block": 300, "first_block": 300, "broadcast_rows": 0}, "drift with ranks": {"ordered": 100_000, "first_block": 400}}.get(which, {})
     got = ngram_join.join(df, scratch, **limits).select("doc_id", "n_shingles", "component_id").collect()
     assert collections.Counter(tuple(r) for r in got) == brute_components(texts(df))
 
