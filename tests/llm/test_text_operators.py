@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from taxoflux.llm import components as connected
 from taxoflux.llm import context_tree, decontaminate, mixing, ngram_join, pii, quality_classifier, quality_rules, site_style_tree, suffix_dedup, toxicity
 from taxoflux.llm.linear import hinge_by_dual_descent, platt
 from taxoflux.llm.runtime import Scratch
@@ -484,3 +485,13 @@ def test_words_are_cut_on_ascii_separators_only():
     data, offsets = bytes_of(pa.array(rows))
     starts, ends, row = word_bounds(data, offsets)
     assert [(int(r), bytes(data[a:b]).decode()) for a, b, r in zip(starts, ends, row)] == [(0, "a"), (0, "b"), (3, "é ü"), (4, "x")]
+
+
+# ---- components ----------------------------------------------------------------------------------
+@pytest.mark.parametrize("flush", [3, 1_000_000])
+def test_components(spark, scratch, monkeypatch, flush):
+    monkeypatch.setattr(connected, "FLUSH", flush)
+    rng = np.random.default_rng(flush)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(i, i + 1) for i in range(100, 130)]
+    got = {r["node"]: r["label"] for r in connected.components(spark.createDataFrame(pairs, "a long, b long").repartition(3), scratch).collect()}
+    assert got == {i: min(_reach(i, pairs)) for i in {x for p in pairs if p[0] != p[1] for x in p}}
