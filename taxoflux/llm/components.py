@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each task first turns the edges it holds into a forest of stars, so a graph that fits one task is done
-there and a large one enters the steps with fewer edges.  The steps are DataFrame functions; each
+Each task first turns the edges it holds into a forest of stars.  If no more than FLUSH edges are left, one
+task joins these; a larger graph enters the steps with fewer edges.  The steps are DataFrame functions; each
 pre-aggregates the minimum of a node's neighbours and joins it back, so a node with very many
 neighbours is split by adaptive skew joins.  The graph never reaches the driver: only counts and
 checksums do, to see that all are stars or that a round changed nothing.
@@ -59,12 +59,18 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _is_stars(e: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one, or is such a smaller one, never both."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) links -> (node, label): label is the smallest node of the component, for every node with a link."""
     e = scratch.save(edges.where("a != b").select("a", "b").mapInArrow(forests, "u long, v long").distinct())
-    # stars: a node has one edge to a smaller one, or is such a smaller one, never both
-    ends = e.select(F.col("u").alias("n"), F.lit(2).alias("w")).unionByName(e.select(F.col("v").alias("n"), F.lit(1).alias("w")).distinct())
-    if not ends.groupBy("n").agg(F.sum("w").alias("w")).where("w > 2").isEmpty():
+    if e.count() <= FLUSH:  # what one task may hold
+        e = scratch.save(e.coalesce(1).mapInArrow(forests, "u long, v long"))
+    elif not _is_stars(e):
         state = _state(e)
         for _ in range(MAX_ROUNDS):
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -244,17 +244,16 @@ def prefix_rows(batches):
 LAST = (1 << 62)  # the place of DIRECT keys, which are known to be in the prefix
 
 
-def candidates(heads: DataFrame) -> DataFrame:
-    """(key, set_id, size) -> (a, b): of the sets that have a key, those of like size with the smallest of them, and these
-    smallest with those of the next sizes.  Sizes that link differ by one class at most.  A key of n sets gives
-    n + classes rows; its smallest sets are found by partial aggregates, so a frequent key is no hot group."""
-    sized = heads.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1.34))).cast("int"))
-    hubs = sized.groupBy("key", "class").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("other"))
-    inner = sized.join(hubs.where("hub < other").drop("other"), ["key", "class"]).where("set_id <> hub")
-    above = hubs.select("key", (F.col("class") - 1).alias("class"), F.col("hub").alias("above"))
-    across = hubs.join(above, ["key", "class"]).where("hub <> above")
-    pairs = inner.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).unionByName(across.select(F.col("hub").alias("a"), F.col("above").alias("b")))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def candidates(heads: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, set_id, size) -> (a, b): the sets that have a key and are of like size with the smallest of them.  A set is
+    in two classes of sizes, its own and the next, and sizes that link differ by one class at most.  A key of n sets
+    gives 2n rows at most; its smallest sets are found by partial aggregates and joined back, so a frequent key is
+    no hot group."""
+    own = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(1.34))).cast("int")
+    sized = heads.select("key", "set_id", F.explode(F.array(own, own + 1)).alias("class"))
+    hubs = scratch.save(sized.groupBy("key", "class").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("other")).where("hub < other").drop("other"))
+    pairs = sized.join(hubs, ["key", "class"]).where("set_id <> hub")
+    return pairs.select(F.col("hub").alias("a"), F.col("set_id").alias("b"))
 
 
 def member_sets(k: int):
@@ -279,37 +278,64 @@ MEMBERS_SQL = "label long, low int, high int, own int, cluster long, set_id long
 class PrefixTree:
     """A compressed trie over sets of small integers, each in ascending order.
 
-    Node i is (segment, depth of its end, children, first leaf, last leaf + 1, least size, most size);
-    leaves are numbered in the order of the sets, so a subtree is a range of leaves.
+    A node has a segment of tokens, the depth of its end, the path's last token, children, first leaf, last leaf + 1 and the
+    least and most size below it.  Leaves are numbered in the order of the sets, so a subtree is a range of
+    leaves.  Nodes are numbered level by level, so children are a range of nodes and a whole level is searched at once.
     """
 
     def __init__(self, sets: list[np.ndarray]):
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        self.sizes = np.array([len(sets[i]) for i in self.order])
         ordered = [sets[i] for i in self.order]
+        sizes = np.array([len(s) for s in ordered])
         shared = np.zeros(len(sets) + 1, np.int64)  # common prefix of leaf i with leaf i - 1
         for i in range(1, len(ordered)):
             a, b = ordered[i - 1], ordered[i]
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             shared[i] = differ[0] if len(differ) else n
-        self.nodes: list[list] = []
-        todo = [(0, len(ordered), 0, -1)]
-        self.roots: list[int] = []
-        while todo:
-            lo, hi, start, parent = todo.pop()
-            end = int(shared[lo + 1 : hi].min()) if hi - lo > 1 else len(ordered[lo])
-            me = len(self.nodes)
-            self.nodes.append([ordered[lo][start:end], end, [], lo, hi, int(self.sizes[lo:hi].min()), int(self.sizes[lo:hi].max())])
-            (self.nodes[parent][2] if parent >= 0 else self.roots).append(me)
-            if hi - lo > 1:
-                cuts = [lo, *(lo + 1 + np.flatnonzero(shared[lo + 1 : hi] == end)).tolist(), hi]
-                for a, b in zip(cuts, cuts[1:]):
-                    if b - a == 1 and len(ordered[a]) == end:
-                        self.nodes.append([ordered[a][end:], end, [], a, b, end, end])
-                        self.nodes[me][2].append(len(self.nodes) - 1)
-                    else:
-                        todo.append((a, b, end, me))
+        nodes, segments = [], []  # (depth, last token, first child, last child + 1, first leaf, last leaf + 1, least, most)
+        level = [(0, len(ordered), 0)]
+        while level:
+            below = []
+            first = len(nodes) + len(level)
+            for lo, hi, start in level:
+                inner = hi - lo > 1
+                end = int(shared[lo + 1 : hi].min()) if inner else len(ordered[lo])
+                segments.append(ordered[lo][start:end])
+                children = first + len(below)
+                if inner:
+                    cuts = [lo, *(lo + 1 + np.flatnonzero(shared[lo + 1 : hi] == end)).tolist(), hi]
+                    below += [(a, b, end) for a, b in zip(cuts, cuts[1:])]
+                nodes.append((end, int(ordered[lo][end - 1]) if end else -1, children, first + len(below), lo, hi, int(sizes[lo:hi].min()), int(sizes[lo:hi].max())))
+            level = below
+        self.depth, self.last, self.first, self.end, self.lo, self.hi, self.least, self.most = np.array(nodes, np.int64).T
+        self.tokens = np.concatenate(segments)
+        self.stop = np.cumsum([len(x) for x in segments])
+        self.start = np.append(0, self.stop[:-1])
+
+    def search(self, own: np.ndarray, mine: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Leaves among those wanted that link with the set ``own``, whose tokens ``mine`` marks.  Sets with a common path share
+        the overlap along it."""
+        n, at, overlap, found = len(own), np.zeros(1, np.int64), np.zeros(1, np.int64), []
+        until = np.append(0, np.cumsum(wanted))
+        while len(at):
+            ok = (until[self.hi[at]] > until[self.lo[at]]) & (3 * n <= 4 * self.most[at]) & (3 * self.least[at] <= 4 * n)
+            at, overlap = at[ok], overlap[ok]
+            size = self.stop[at] - self.start[at]
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + size, size)
+            hits = np.append(0, np.cumsum(mine[self.tokens[place]]))
+            overlap = overlap + hits[ends] - hits[ends - size]
+            rest, depth = n - np.searchsorted(own, self.last[at], "right"), self.depth[at]
+            whole = np.clip(rest + depth, self.least[at], self.most[at])  # the size that leaves most room
+            ok = 7 * (overlap + np.minimum(rest, whole - depth)) >= 3 * (n + whole)
+            leaf = self.first[at] == self.end[at]
+            found.append(self.lo[at[ok & leaf]])
+            at, overlap = at[ok & ~leaf], overlap[ok & ~leaf]
+            size = self.end[at] - self.first[at]
+            ends = np.cumsum(size)
+            at, overlap = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - ends + size, size), np.repeat(overlap, size)
+        return np.concatenate(found)
 
 
 def spanning_links(sets: list[np.ndarray], block: list[int] | None = None, cluster: list[int] | None = None) -> list[tuple[int, int]]:
@@ -329,36 +355,21 @@ def spanning_links(sets: list[np.ndarray], block: list[int] | None = None, clust
     mine = np.zeros(len(tokens), bool)
     links = []
     for x in seekers:
+        wanted = label != label[x]
+        if side is not None:
+            wanted &= side != side[x]
+        if not wanted.any():
+            if side is None:
+                break
+            continue
         own = local[tree.order[x]]
-        n = len(own)
-        if (label == label[0]).all():
-            break
         mine[own] = True
-        todo = [(r, 0) for r in tree.roots]
-        while todo:
-            at, overlap = todo.pop()
-            segment, depth, children, lo, hi, least, most = tree.nodes[at]
-            if 3 * n > 4 * most or 3 * least > 4 * n:
-                continue
-            skip = label[lo:hi] == label[x]
-            if side is not None:
-                skip = skip | (side[lo:hi] == side[x])
-            if skip.all():
-                continue
-            if len(segment):
-                overlap += int(np.count_nonzero(mine[segment]))
-                rest = n - int(np.searchsorted(own, segment[-1], "right"))
-            else:
-                rest = n
-            size = min(max(rest + depth, least), most)  # the size that leaves most room
-            if 7 * (overlap + min(rest, size - depth)) < 3 * (n + size):
-                continue
-            if children:
-                todo += [(c, overlap) for c in children]
-            elif 7 * overlap >= 3 * (n + depth):
-                links.append((tree.order[x], tree.order[lo]))
-                label[label == label[lo]] = label[x]
+        hits = tree.search(own, mine, wanted)
         mine[own] = False
+        hits = hits[wanted[hits]]
+        labels, first = np.unique(label[hits], return_index=True)
+        links += [(tree.order[x], tree.order[y]) for y in hits[first].tolist()]
+        label[np.isin(label, labels)] = label[x]
     return links
 
 
@@ -408,7 +419,7 @@ def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: i
     classes = first.where("shingle is null").select("doc_id", "rid", "n_shingles", "set_id")
     often = scratch.save(first.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")))
     total = often.agg(F.sum("times")).first()[0] or 0
-    often = often.where(F.col("times") * F.lit(ordered) >= F.lit(total)).orderBy(F.desc("times"), "shingle").toArrow().to_pandas()
+    often = often.where(F.col("times") * F.lit(ordered) >= F.lit(total)).toArrow().sort_by([("times", "descending"), ("shingle", "ascending")]).to_pandas()
     keys = often["shingle"].to_numpy(np.int64).view(np.uint64)
     place = np.argsort(keys)
     order = spark.sparkContext.broadcast((keys[place], (len(keys) - place).astype(np.int32)))  # ORDERED rows at most
@@ -418,11 +429,9 @@ def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: i
     shared = shared.repartition("set_id").sortWithinPartitions("set_id", F.col("place").asc_nulls_last(), "key")
     heads = scratch.save(shared.mapInArrow(prefix_rows, "key long, set_id long, size int"))
     scratch.release()
-    near = scratch.save(candidates(heads))
+    groups = components(candidates(heads, scratch), scratch)
     scratch.drop(heads)
     scratch.release()
-    groups = components(near, scratch)
-    scratch.drop(near)
     # one document stands for each set that is to be compared; only these narrow rows are grouped
     chosen = classes.where("set_id is not null").groupBy("set_id").agg(F.min("rid").alias("rid"), F.min("n_shingles").alias("n"))
     chosen = scratch.save(chosen.join(groups.withColumnRenamed("node", "set_id"), "set_id"))
@@ -435,7 +444,7 @@ def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: i
     links = scratch.save(tried(texts, chosen.select("rid", "label", blocks.alias("blocks"), own.alias("own"), F.col("set_id").alias("cluster"), "set_id"), k, broadcast_rows))
     scratch.release()
     # then, in groups of several blocks, what is not connected with the smallest set against all others
-    several = scratch.save(chosen.where("parts > 1").drop("parts"))
+    several = chosen.where("parts > 1").drop("parts")
     if not several.isEmpty():
         known = components(links, scratch).select(F.col("node").alias("set_id"), F.col("label").alias("cluster"))
         several = scratch.save(several.join(known, "set_id", "left").withColumn("cluster", F.coalesce("cluster", "set_id")))
@@ -458,11 +467,10 @@ def join(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, **limits) -> DataF
     classes, links = link_classes(docs, scratch, k, **limits)
     labels = components(links, scratch)
     least = classes.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    named = scratch.save(named)
-    smallest = named.groupBy("label").agg(F.min("least").alias("component"))
-    by_set = named.join(smallest, "label").select(F.col("set_id").alias("own_set"), "component")
-    out = classes.join(by_set, F.col("set_id") == F.col("own_set"), "left")
+    named = scratch.save(least.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left"))
+    smallest = named.where("label is not null").groupBy("label").agg(F.min("least").alias("component"))
+    by_set = named.join(smallest, "label", "left").select(F.col("set_id").alias("own_set"), F.coalesce("component", "least").alias("component"))
+    out = classes.join(scratch.save(by_set), F.col("set_id") == F.col("own_set"), "left")
     return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
