@@ -7,18 +7,19 @@ and half with the product of its children, so all depths take part, weighted by
 the training text.  After training the weights stand still, and a byte's log probability depends on its
 context and itself alone: one number for each (DEPTH + 1)-byte string that the corpus has.
 
-1. Each task counts its strings and words; Spark sums them.
+1. Texts are dealt into chunks of about CHUNK_BYTES.  Each chunk counts its strings and words; Spark sums
+   them over chunks.
 2. Strings that share the two bytes before the last meet in one group, which weighs its trees
    down to depth 2.  What remains, the nodes of depth 1 and 0, is at most 256 * 255 rows.
 3. Groups are weighed again, now with those top levels, and give each string its log probability.
-4. Texts look their strings up.  The table goes out in blocks of at most BLOCK_ROWS; with more blocks
-   than one, texts are read once a block and the parts are added.  No block depends on the input's size.
+4. Log probabilities are joined to the chunks that have the string and sent there, with the texts.  A task
+   holds the strings of one chunk, whatever the size of the corpus, and every text is read twice.
 
-The base score (add-one unigrams) is made in the same passes.  Words and sets are keyed by 64-bit hashes.
+The base score (add-one unigrams) is made in the same passes.  Words are keyed by 64-bit hashes.
 
 Defined cases: null, empty or word-less text is the end mark alone; a null doc_id is neither hashed nor
 held out (it trains); repeated rows count each time; an empty table gives no rows; other columns are
-ignored; without training text all counts are 0 and every bit costs one bit.
+ignored; without training text all counts are 0 and every bit costs one bit.  Rows of one doc_id and text share a chunk.
 """
 from __future__ import annotations
 
@@ -27,15 +28,16 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxoflux.llm.chunks import TEXTS, Chunks, by_chunk, column, values
 from taxoflux.llm.runtime import Scratch
 from taxoflux.llm.textbytes import lower_table, pieces, word_bounds, word_hashes
 
 DEPTH = 5
-BLOCK_ROWS = 8_000_000
+CHUNK_BYTES = 48_000_000
+STRINGS, WORDS = 0, 1
 END, GAP = 10, 32
 END_TOKEN = 0x0E4D  # stands for the end token among word hashes
 PIECE = 1 << 22
@@ -96,38 +98,48 @@ def strings_of(stream: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray
 
 
 def counts_of(depth: int):
-    """Documents -> (kind, key, trained, held): kind 0 strings, kind 1 words."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("trained", pa.int64()), ("held", pa.int64())])
+    """Documents sorted by chunk -> (chunk, kind, key, trained): kind 0 strings, kind 1 words; trained is 0 where only
+    held-out texts have the key.  A chunk gives a key once, or now and then again if it has millions."""
+    schema = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("trained", pa.int64())])
 
     def fold(parts):
         keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return [(keys, *(np.bincount(at, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (1, 2)))]
+        return [(keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64))]
 
-    def batch(kind, part):
-        keys, trained, held = part
+    def batch(chunk, kind, part):
+        keys, trained = part
         for a in range(0, len(keys), 100_000):
             k = keys[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(trained[a : a + 100_000]), pa.array(held[a : a + 100_000])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk, np.int32)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(trained[a : a + 100_000])], schema=schema)
 
     def run(batches):
-        kept: dict[int, list] = {0: [], 1: []}
-        for rows, data, offsets in pieces(batches, limit=PIECE):
-            held_out = rows.column(rows.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
-            starts, ends, row = word_bounds(data, offsets)
-            stream, bounds = read_stream(data, offsets, starts, ends, row)
-            words = np.concatenate([word_hashes(data, starts, ends), np.full(rows.num_rows, END_TOKEN, np.uint64)])
-            by = (held_out[np.repeat(np.arange(rows.num_rows), np.diff(bounds))], held_out[np.concatenate([row, np.arange(rows.num_rows)])])
-            for kind, keys, out in ((0, strings_of(stream, bounds, depth), by[0]), (1, words, by[1])):
-                at, found = pd.factorize(keys)
-                kept[kind].append((found, np.bincount(at[~out], minlength=len(found)), np.bincount(at[out], minlength=len(found))))
-                if sum(len(p[0]) for p in kept[kind]) > 3_000_000:
-                    kept[kind] = fold(kept[kind])
-                    if len(kept[kind][0][0]) > 2_000_000:
-                        yield from batch(kind, kept[kind][0])
-                        kept[kind] = []
-        for kind in kept:
-            if kept[kind]:
-                yield from batch(kind, fold(kept[kind])[0])
+        chunk, kept = None, {0: [], 1: []}
+
+        def close():
+            for kind in kept:
+                if kept[kind]:
+                    yield from batch(chunk, kind, fold(kept[kind])[0])
+                kept[kind] = []
+
+        for number, _, part in by_chunk(batches):
+            if number != chunk:
+                yield from close()
+                chunk = number
+            for rows, data, offsets in pieces([part], limit=PIECE):
+                trains = ~values(rows, "held_out").astype(bool)
+                starts, ends, row = word_bounds(data, offsets)
+                stream, bounds = read_stream(data, offsets, starts, ends, row)
+                words = np.concatenate([word_hashes(data, starts, ends), np.full(rows.num_rows, END_TOKEN, np.uint64)])
+                by = (trains[np.repeat(np.arange(rows.num_rows), np.diff(bounds))], trains[np.concatenate([row, np.arange(rows.num_rows)])])
+                for kind, keys, own in ((0, strings_of(stream, bounds, depth), by[0]), (1, words, by[1])):
+                    at, found = pd.factorize(keys)
+                    kept[kind].append((found, np.bincount(at[own], minlength=len(found))))
+                    if sum(len(p[0]) for p in kept[kind]) > 4_000_000:
+                        kept[kind] = fold(kept[kind])
+                        if len(kept[kind][0][0]) > 3_000_000:
+                            yield from batch(chunk, kind, kept[kind][0])
+                            kept[kind] = []
+        yield from close()
 
     return run
 
@@ -225,100 +237,80 @@ def prices(depth: int, top):
     return run
 
 
-def scores(depth: int, block, first: bool, train_tokens: int, train_words: int):
-    """Documents -> their part of the sums from one block of the tables.
-
-    A word that no block has was seen once if its document trains, else never: the first block's pass
-    assumes so for every word, and the block that has the word makes up the difference."""
-    schema = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def scores(depth: int, train_tokens: int, train_words: int):
+    """By chunk its strings and words with their values, then its texts -> scores."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
     space = math.log10(train_tokens + train_words + 1)
 
+    def table(parts):
+        keys, values = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
     def found(table, keys):
-        known, values = table
-        if not len(known):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[at] == keys
-        return hit, np.where(hit, values[at], 0)
+        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+        if (table[0][at] != keys).any():
+            raise RuntimeError("a chunk's texts have changed between two reads")
+        return table[1][at]
+
+    def of(rows, data, offsets, strings, words):
+        n = rows.num_rows
+        starts, ends, row = word_bounds(data, offsets)
+        stream, bounds = read_stream(data, offsets, starts, ends, row)
+        at, keys = pd.factorize(strings_of(stream, bounds, depth))
+        sums = np.concatenate([[0], np.cumsum(found(strings, keys)[at])])
+        # a fresh sum for each row would be as exact; differences of one running sum lose nothing at 2**-52
+        score = sums[bounds[1:]] - sums[bounds[:-1]]
+        at, keys = pd.factorize(np.concatenate([word_hashes(data, starts, ends), np.full(n, END_TOKEN, np.uint64)]))
+        owner = np.concatenate([row, np.arange(n)])
+        count = found(words, keys)[at]
+        return pa.RecordBatch.from_arrays(
+            [
+                column(rows, "doc_id"), column(rows, "held_out"), pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, count > 0, n).astype(np.int64)),
+                pa.array(np.bincount(owner, np.log10(count + 1) - space, n)), pa.array(score), pa.array(-score / math.log10(2) / np.diff(bounds)),
+            ],
+            schema=schema,
+        )
 
     def run(batches):
-        strings, words = block.value
-        for rows, data, offsets in pieces(batches, limit=PIECE):
-            col = lambda c: rows.column(rows.schema.get_field_index(c))
-            n = rows.num_rows
-            held_out = col("held_out").to_numpy(zero_copy_only=False)
-            starts, ends, row = word_bounds(data, offsets)
-            stream, bounds = read_stream(data, offsets, starts, ends, row)
-            at, keys = pd.factorize(strings_of(stream, bounds, depth))
-            price = found(strings, keys)[1][at]
-            sums = np.concatenate([[0], np.cumsum(price)])
-            # a fresh sum for each row would be as exact; differences of one running sum lose nothing at 2**-52
-            score = sums[bounds[1:]] - sums[bounds[:-1]]
-            tokens = np.concatenate([word_hashes(data, starts, ends), np.full(n, END_TOKEN, np.uint64)])
-            owner = np.concatenate([row, np.arange(n)])
-            assumed = np.where(held_out, 0, 1)[owner]
-            at, keys = pd.factorize(tokens)
-            hit, count = found(words, keys)
-            hit, count = hit[at], count[at]
-            base = np.where(hit, np.log10(count + 1) - np.log10(assumed + 1), 0)
-            known = np.where(hit, 1 - assumed, 0)
-            if first:
-                base += np.log10(assumed + 1) - space
-                known += assumed
-            yield pa.RecordBatch.from_arrays(
-                [
-                    col("doc_id").cast(pa.int64()), col("rid"), col("held_out"),
-                    pa.array(np.bincount(owner, minlength=n) * first), pa.array(np.bincount(owner, known, n).astype(np.int64)), pa.array(np.bincount(owner, base, n)), pa.array(score),
-                ],
-                schema=schema,
-            )
+        chunk, parts, tables = None, None, None
+        for number, kind, rows in by_chunk(batches):
+            if number != chunk:
+                chunk, parts, tables = number, ([], []), None
+            if kind != TEXTS:
+                parts[kind].append((values(rows, "key").view(np.uint64), values(rows, "value")))
+                continue
+            if tables is None:
+                tables, parts = [table(p) for p in parts], None
+            for piece, data, offsets in pieces([rows], limit=PIECE):
+                yield of(piece, data, offsets, *tables)
 
     return run
 
 
-def score(docs: DataFrame, held_out, scratch: Scratch, depth: int = DEPTH, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def score(docs: DataFrame, held_out, scratch: Scratch, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (code length).
     ``held_out``: a condition on the row; its texts don't train."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text"))
-    counted = texts.select("held_out", "text").mapInArrow(counts_of(depth), "kind int, key long, trained long, held long")
-    counts = scratch.save(counted.groupBy("kind", "key").agg(F.sum("trained").alias("trained"), F.sum("held").alias("held")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text"))
+    chunks = Chunks(texts, chunk_bytes)
+    asked = scratch.save(chunks.meet(columns=("held_out", "text")).mapInArrow(counts_of(depth), "chunk int, kind int, key long, trained long"))
     scratch.release()
-    words = counts.where("kind = 1")
+    counts = scratch.save(asked.groupBy("kind", "key").agg(F.sum("trained").alias("trained")))
+    scratch.release()
+    words = counts.where(F.col("kind") == WORDS)
     totals = words.where("trained > 0").agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count("*")).first()
     group = F.col("key").bitwiseAND(F.lit(0xFFFF00))
-    strings = counts.where("kind = 0").select(F.shiftright(group, 8).alias("group"), "key", "trained")
+    strings = counts.where(F.col("kind") == STRINGS).select(F.shiftright(group, 8).alias("group"), "key", "trained")
     strings = strings.repartition(F.col("group")).sortWithinPartitions("group")
     low = strings.mapInArrow(summaries(depth), "byte int, node int, zeros double, ones double, log_pw double")
     low = low.groupBy("byte", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_pw")]).toArrow()  # 256 * 255 rows at most
     top = spark.sparkContext.broadcast(top_levels(low))
-    needed = words.where("trained > 1 or (trained = 1 and held > 0)").select("kind", "key", F.col("trained").cast("double").alias("value"))
-    tables = scratch.save(strings.mapInArrow(prices(depth, top), "kind int, key long, value double").unionByName(needed))
-    blocks = max(1, math.ceil(tables.count() / block_rows))
-    parts = None
-    for b in range(blocks):
-        mine = (tables if blocks == 1 else tables.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b)).toArrow()
-        held = []
-        for kind in (0, 1):
-            rows = mine.filter(pc.equal(mine["kind"], kind))
-            keys = rows["key"].to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            # prices may lose digits, counts must not
-            held.append((keys[order], rows["value"].to_numpy()[order].astype(np.float64 if kind else np.float32)))
-        del mine, rows
-        sent = spark.sparkContext.broadcast(tuple(held))
-        del held
-        named = texts.withColumn("rid", F.lit(0).cast("long") if blocks == 1 else F.xxhash64("doc_id", "text"))
-        part = named.mapInArrow(scores(depth, sent, b == 0, int(totals[0]), int(totals[1])), "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-        part = part.withColumn("pass", F.lit(b))
-        if blocks > 1:
-            part = scratch.save(part)
-            sent.unpersist()
-        parts = part if parts is None else parts.unionByName(part)
-    sums = ("n_tokens", "n_known", "base_score", "score")
-    if blocks > 1:
-        # equal rows have equal parts: divide by how often a row stands in one pass
-        whole = parts.groupBy("doc_id", "rid", "held_out").agg(*[F.sum(c).alias(c) for c in sums], F.sum((F.col("pass") == 0).cast("long")).alias("times"))
-        whole = whole.withColumns({c: F.col(c) / F.col("times") for c in ("base_score", "score")} | {c: (F.col(c) / F.col("times")).cast("long") for c in ("n_tokens", "n_known")})
-        parts = whole.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(totals[0])).cast("long").alias("train_tokens"), "base_score", "score")
+    valued = strings.mapInArrow(prices(depth, top), "kind int, key long, value double").unionByName(words.select("kind", "key", F.col("trained").cast("double").alias("value")))
+    valued = scratch.save(valued)
+    # a frequent string is a row for each chunk that has it; what joins is split by adaptive skew joins
+    sent = scratch.save(asked.select("chunk", "kind", "key").join(valued, ["kind", "key"]).select("chunk", "kind", "key", "value"))
+    scratch.drop(asked, counts, valued)
+    scratch.release()
+    scored = chunks.meet(sent, ("doc_id", "held_out", "text")).mapInArrow(scores(depth, int(totals[0]), int(totals[1])), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(totals[0])).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

@@ -134,20 +134,24 @@ def suffix_array(s: np.ndarray, sigma: int, depth: int = 1 << 60) -> np.ndarray:
     return _induce(s, s_type, found, sigma, sizes)
 
 
-def repeats_previous(s: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Whether each suffix of ``at`` (in suffix order) shares its first ``length`` bytes with the one
-    before it: permuted common prefixes, cut off at ``length``.  ``s`` holds bytes; all of at + length
-    lie inside it.  Suffixes are taken in text order, and eight bytes are compared at once."""
+def permuted_common_prefixes(s: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """How many of its first ``length`` bytes each suffix of ``at`` (in suffix order) shares with the one before it (the
+    first: none).  They are found in text order, as permuted common prefixes are, eight bytes at once.
+    ``s`` holds bytes; all of at + length lie inside it."""
+    shared = np.zeros(len(at), np.int64)
     if len(at) < 2:
-        return np.zeros(len(at), bool)
+        return shared
     words = np.zeros(len(s), np.uint64)
     for j in range(8):
         words[: len(s) - j] |= s[j:].astype(np.uint64) << np.uint64(8 * j)
-    shared = np.zeros(len(at), bool)
     order = np.argsort(at[1:], kind="stable")
     here, before = at[1:][order], at[:-1][order]
+    common = np.zeros(len(here), np.int64)  # by place in the text
     live = np.arange(len(here))
     for j in [*range(0, length - 8, 8), length - 8]:
-        live = live[words[here[live] + j] == words[before[live] + j]]
-    shared[order[live] + 1] = True
+        differ = words[here[live] + j] ^ words[before[live] + j]
+        low = differ & (~differ + np.uint64(1))  # the lowest bit that differs tells the first byte that does
+        common[live] = np.maximum(common[live], j + np.where(differ == 0, 8, np.floor(np.log2(np.maximum(low, 1).astype(float))).astype(np.int64) // 8))
+        live = live[differ == 0]
+    shared[order + 1] = common
     return shared

@@ -3,18 +3,23 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id; strings are
 judged on the input.  The corpus is cut into shards of bounded size so that equal strings meet:
 
-1. Minimizers: of the SEED-byte strings inside every 50-byte window, the one with the least hash is
-   emitted.  Equal windows have equal minimizers, so nothing is lost; one byte in sixteen gives a row.
+1. Texts are dealt into chunks.  Minimizers: of the SEED-byte strings inside every 50-byte window, the
+   one with the least hash is taken.  Equal windows have equal minimizers, so nothing is lost; one byte in
+   sixteen starts one.  A chunk gives each of its minimizers once, with its smallest and largest
+   document, so a frequent passage is a row a chunk, not a row a document.
 2. Rows are dealt by minimizer and sorted.  One that occurs in two documents gets the smallest
-   document as its leader and is sent back to its document.
-3. Each document cuts out the bytes around its repeated minimizers, merged per leader.  If two
+   document as its leader and goes back to its chunks.
+3. There each document cuts out the bytes around its repeated minimizers, merged per leader.  If two
    documents share a window, they share its minimizer, hence its leader: the window is in both cuts.
-4. The cuts of a leader make a shard; large ones are split in blocks, and every pair of blocks is a
-   shard.  A shard's suffix array is induced (see suffix_array), neighbours that share 50 bytes form
-   runs, and a run's windows in other than its smallest document are removed.
-5. The removed runs are merged per document and the rest is kept.
+4. The cuts of a leader make a shard.  A shard's suffix array is induced (see suffix_array), neighbours
+   whose permuted common prefixes reach 50 bytes form runs, and a run's windows in other than its smallest
+   document are removed.  A large leader's cuts make several shards.  Each gives every window that it has
+   once, by hash, with its smallest document; a shard whose smallest document of a window is not the
+   smallest of all loses that window everywhere.  Rows stay in proportion to the cuts' bytes.
+5. The removed runs go back to the texts' chunks, where they are merged and the rest is kept.
 
-Exact copies of an earlier text take no part in 1 to 4: all they hold is in the first copy.
+Exact copies of an earlier text take no part in 1 to 4: all they hold is in the first copy.  Minimizers and the
+windows of large leaders are compared by 48- and 64-bit hashes, what is removed within a shard by its bytes.
 
 Defined cases: null text is empty and loses nothing, like any text below 50 bytes; a null doc_id
 counts as larger than any other; rows of equal doc_id are one document's parts and don't remove
@@ -22,18 +27,23 @@ each other's bytes; an empty table gives no rows; other columns are ignored.
 """
 from __future__ import annotations
 
+import collections
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxoflux.llm.chunks import TEXTS, Chunks, by_chunk, column, values
 from taxoflux.llm.runtime import Scratch
-from taxoflux.llm.suffix_array import repeats_previous, suffix_array
+from taxoflux.llm.suffix_array import permuted_common_prefixes, suffix_array
 from taxoflux.llm.textbytes import mixed, pieces, powers
 
 LENGTH = 50
 SEED = 20
 BLOCK_BYTES = 1_000_000
+CHUNK_BYTES = 24_000_000
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -64,224 +74,328 @@ def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) ->
     return at, h[at]
 
 
-def seeds_of(length: int, seed: int):
-    schema = pa.schema([("seed", pa.int64()), ("uid", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64())])
+def by_text(batches):
+    """Rows by chunk, of kinds COPY, SIDE, TEXTS -> (chunk, side rows, texts that are no copies) piece by piece."""
+    chunk, copies, side = None, set(), []
+    for number, kind, rows in by_chunk(batches):
+        if number != chunk:
+            chunk, copies, side = number, set(), []
+        if kind == COPY:
+            copies.update(zip(values(rows, "uid").tolist(), values(rows, "doc").tolist()))
+        elif kind == SIDE:
+            side.append(rows)
+        else:
+            if copies:
+                rows = rows.filter(pa.array([x not in copies for x in zip(values(rows, "uid").tolist(), values(rows, "doc").tolist())]))
+            yield chunk, side, rows
+
+
+COPY, SIDE = 0, 1
+
+
+def seeds_of(length: int, seed: int, flush: int = 2_000_000):
+    """Copies and texts by chunk -> (seed, chunk, low, high): each minimizer with its smallest and largest document."""
+    schema = pa.schema([("seed", pa.int64()), ("chunk", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+
+    def out(chunk, parts):
+        h, doc = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        if len(h):
+            low, high = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+            for a in range(0, len(start), 100_000):
+                b = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(h[start[b]].view(np.int64)), pa.array(np.full(len(start[b]), chunk, np.int32)), pa.array(low[b]), pa.array(high[b])], schema=schema)
 
     def run(batches):
-        for rows, data, offsets in pieces(batches):
-            at, h = minimizers(data, offsets, length, seed)
-            row = np.searchsorted(offsets, at, "right") - 1
-            uid, doc = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("uid", "doc"))
-            for a in range(0, len(at), 50_000):
-                r = row[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 50_000].view(np.int64)), pa.array(uid[r]), pa.array(doc[r]), pa.array(at[a : a + 50_000] - offsets[r])], schema=schema)
+        chunk, parts, held = None, [], 0
+        for number, _, rows in by_text(batches):
+            if parts and (number != chunk or held > flush):
+                yield from out(chunk, parts)
+                parts, held = [], 0
+            chunk = number
+            for part, data, offsets in pieces([rows]):
+                at, h = minimizers(data, offsets, length, seed)
+                parts.append((h, values(part, "doc")[np.searchsorted(offsets, at, "right") - 1]))
+                held += len(h)
+        if parts:
+            yield from out(chunk, parts)
 
     return run
 
 
 def led(batches):
-    """Rows sorted by (seed, doc) -> (uid, doc, pos, leader) of seeds that two documents have.
-
-    A row is held back only until it is known whether its run has a second document."""
-    schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64()), ("leader", pa.int64())])
+    """Rows (seed, chunk, low, high) sorted by seed -> (chunk, kind, seed, leader) of seeds that two documents have."""
+    schema = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("seed", pa.int64()), ("leader", pa.int64())])
 
-    def out(uid, doc, pos, leader):
-        return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(doc), pa.array(pos), pa.array(leader)], schema=schema)
-
-    held: list[tuple] = []  # rows of the last run, all of one document
-    last = None  # (seed, leader, whether the run has a second document)
-    for batch in batches:
-        seed, uid, doc, pos = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+    def close(parts):
+        seed, chunk, low, high = (np.concatenate(x) for x in zip(*parts))
         if not len(seed):
+            return
+        start = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
+        leader, last = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
+        size = np.diff(np.append(start, len(seed)))
+        take = np.repeat(leader != last, size)
+        n = int(take.sum())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[take]), pa.array(np.full(n, SIDE, np.int32)), pa.array(seed[take]), pa.array(np.repeat(leader, size)[take])], schema=schema)
+
+    held: list[tuple] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not batch.num_rows:
             continue
-        if last is not None and seed[0] != last[0]:
-            held, last = [], None
-        fresh = np.ones(len(seed), bool)
-        fresh[1:] = seed[1:] != seed[:-1]
-        start = np.flatnonzero(fresh)
-        run = np.cumsum(fresh) - 1
-        leader = doc[start].copy()
-        stop = np.append(start[1:], len(seed)) - 1
-        many = doc[stop] != doc[start]
-        if last is not None:
-            leader[0] = last[1]
-            many[0] = last[2] or doc[stop[0]] != last[1]
-            if many[0] and held:
-                u, p = (np.concatenate(x) for x in zip(*held))
-                leads = np.full(len(u), last[1], np.int64)
-                yield out(u, leads, p, leads)
-                held = []
-        take = many[run]
-        if take.any():
-            yield out(uid[take], doc[take], pos[take], leader[run[take]])
-        same = last is not None and len(start) == 1
-        last = (seed[-1], leader[-1], bool(many[-1]))
-        if last[2]:
+        last = int(np.searchsorted(columns[0], columns[0][-1]))  # the last seed may go on in the next batch
+        if last or (held and held[0][0][0] != columns[0][0]):
+            yield from close([*held, tuple(c[:last] for c in columns)])
             held = []
-        else:
-            held = (held if same else []) + [(uid[start[-1] :], pos[start[-1] :])]
+        held.append(tuple(c[last:] for c in columns))
+    if held:
+        yield from close(held)
 
 
 def cuts_of(length: int, seed: int):
-    """Documents with their repeated seeds -> (leader, uid, doc, start, bytes) cuts."""
-    schema = pa.schema([("leader", pa.int64()), ("uid", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("cut", pa.binary())])
+    """Copies, repeated seeds with their leaders and texts by chunk -> (leader, chunk, uid, doc, start, bytes) cuts."""
+    schema = pa.schema([("leader", pa.int64()), ("chunk", pa.int32()), ("uid", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("cut", pa.binary())])
     before = length - seed
 
     def run(batches):
-        for batch in batches:
-            col = lambda c: batch.column(batch.schema.get_field_index(c))
-            out = []
-            for uid, doc, text, found in zip(col("uid").to_pylist(), col("doc").to_pylist(), col("text"), col("found")):
-                raw = text.as_buffer()
-                found = found.values
-                pos, leader = found.field("pos").to_numpy(), found.field("leader").to_numpy()
-                order = np.lexsort((pos, leader))
-                pos, leader = pos[order], leader[order]
-                lo, hi = np.maximum(0, pos - before), np.minimum(len(raw), pos + length)
+        chunk, known, leads = None, None, None
+        for number, side, rows in by_text(batches):
+            if number != chunk:
+                chunk = number
+                known, leads = (np.concatenate([values(r, c) for r in side]) if side else np.zeros(0, np.int64) for c in ("seed", "leader"))
+                order = np.argsort(known)
+                known, leads = known[order].view(np.uint64), leads[order]
+            if not len(known):
+                continue
+            for part, data, offsets in pieces([rows]):
+                pos, h = minimizers(data, offsets, length, seed)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                found = known[at] == h
+                pos, leader = pos[found], leads[at[found]]
+                if not len(pos):
+                    continue
+                row = np.searchsorted(offsets, pos, "right") - 1
+                order = np.lexsort((pos, leader, row))
+                pos, leader, row = pos[order], leader[order], row[order]
+                lo, hi = np.maximum(offsets[row], pos - before), np.minimum(offsets[row + 1], pos + length)
                 fresh = np.ones(len(pos), bool)
-                fresh[1:] = (leader[1:] != leader[:-1]) | (lo[1:] > hi[:-1])
+                fresh[1:] = (leader[1:] != leader[:-1]) | (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])
                 start = np.flatnonzero(fresh)
                 stop = np.append(start[1:], len(pos)) - 1
-                for a, b, c in zip(lo[start].tolist(), hi[stop].tolist(), leader[start].tolist()):
-                    if b - a >= length:
-                        out.append((c, uid, doc, a, raw[a:b].to_pybytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                whole = hi[stop] - lo[start] >= length
+                start, stop = start[whole], stop[whole]
+                a, b, row, leader = lo[start], hi[stop], row[start], leader[start]
+                cuts = pa.array([data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(leader), pa.array(np.full(len(a), chunk, np.int32)), pa.array(values(part, "uid")[row]), pa.array(values(part, "doc")[row]), pa.array(a - offsets[row]), cuts], schema=schema)
 
     return run
 
 
-def covered(cuts: list[tuple], length: int):
-    """[(uid, doc, start, bytes)] -> (uid, doc, start, stop) runs of bytes that a smaller document has."""
-    text = b"\x00".join(c[3] for c in cuts)
-    sizes = np.array([len(c[3]) for c in cuts])
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    raw = np.frombuffer(text, np.uint8)
-    s = np.zeros(len(raw) + 1, np.int32)
-    s[:-1] = raw
-    s[:-1] += 2
-    s[starts[1:] - 1] = 1  # between cuts
-    owner = np.repeat(np.arange(len(cuts)), np.append(sizes[:-1] + 1, sizes[-1]))
-    inside = np.zeros(len(s), bool)
-    room = np.arange(len(raw)) + length <= (starts + sizes)[owner]
-    inside[:-1] = room
-    sa = suffix_array(s, 258, length)
-    at = sa[inside[sa]].astype(np.int64)
-    if not len(at):
-        return
-    shared = repeats_previous(raw, at, length)
-    first = np.flatnonzero(~shared)
-    doc = np.array([c[1] for c in cuts], np.int64)[owner[at]]
-    least = np.minimum.reduceat(doc, first)[np.cumsum(~shared) - 1]
-    gone = np.sort(at[doc > least])
-    if not len(gone):
-        return
-    fresh = np.ones(len(gone), bool)
-    fresh[1:] = (gone[1:] > gone[:-1] + length) | (owner[gone[1:]] != owner[gone[:-1]])
-    a = np.flatnonzero(fresh)
-    b = np.append(a[1:], len(gone)) - 1
-    for lo, hi in zip(gone[a].tolist(), gone[b].tolist()):
-        uid, owned, start, _ = cuts[owner[lo]]
-        base = start - int(starts[owner[lo]])
-        yield uid, owned, lo + base, hi + length + base
+class Shard:
+    """The windows of some cuts (uid, doc, start, bytes, chunk): ``at`` in suffix order, ``run`` numbers equal ones."""
+
+    def __init__(self, cuts: list[tuple], length: int):
+        self.cuts, self.length = cuts, length
+        text = b"\x00".join(c[3] for c in cuts)
+        sizes = np.array([len(c[3]) for c in cuts])
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        self.raw = np.frombuffer(text, np.uint8)
+        s = np.zeros(len(self.raw) + 1, np.int32)
+        s[:-1] = self.raw
+        s[:-1] += 2
+        s[self.starts[1:] - 1] = 1  # between cuts
+        self.owner = np.repeat(np.arange(len(cuts)), np.append(sizes[:-1] + 1, sizes[-1]))
+        self.inside = np.arange(len(self.raw)) + length <= (self.starts + sizes)[self.owner]
+        self.text = s
+
+    def sort(self) -> None:
+        sa = suffix_array(self.text, 258, self.length)
+        sa = sa[sa < len(self.raw)]
+        self.at = sa[self.inside[sa]].astype(np.int64)
+        fresh = permuted_common_prefixes(self.raw, self.at, self.length) < self.length
+        self.first = np.flatnonzero(fresh)
+        self.run = np.cumsum(fresh) - 1
+        self.doc = np.array([c[1] for c in self.cuts], np.int64)[self.owner[self.at]]
+        self.least = np.minimum.reduceat(self.doc, self.first) if len(self.first) else np.zeros(0, np.int64)
+
+    def repeated(self) -> np.ndarray:
+        """Starts of the windows that a smaller document of the shard has."""
+        return np.sort(self.at[self.doc > self.least[self.run]])
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the strings of ``length`` bytes at every place; past the end they mean nothing."""
+        up, down = powers(len(self.raw) + 1)
+        sums = np.zeros(len(self.raw) + 1, np.uint64)
+        np.cumsum(mixed(np.arange(1, 257, dtype=np.uint64))[self.raw] * up[: len(self.raw)], out=sums[1:])
+        n = max(0, len(self.raw) - self.length + 1)
+        h = np.zeros(len(self.raw), np.uint64)
+        h[:n] = mixed((sums[self.length :] - sums[: n]) * down[:n])
+        return h
+
+    def spans(self, gone: np.ndarray):
+        """Window starts in order -> (chunk, uid, doc, start, stop) of the runs of bytes that they cover."""
+        if not len(gone):
+            return
+        fresh = np.ones(len(gone), bool)
+        fresh[1:] = (gone[1:] > gone[:-1] + self.length) | (self.owner[gone[1:]] != self.owner[gone[:-1]])
+        a = np.flatnonzero(fresh)
+        b = np.append(a[1:], len(gone)) - 1
+        for lo, hi in zip(gone[a].tolist(), gone[b].tolist()):
+            uid, doc, start, _, chunk = self.cuts[self.owner[lo]]
+            base = start - int(self.starts[self.owner[lo]])
+            yield chunk, uid, doc, lo + base, hi + self.length + base
+
+
+#: Removed runs; or, with a leader, windows (start: hash, stop: smallest document) of a large leader's block.
+GONE = pa.schema([("chunk", pa.int32()), ("uid", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("leader", pa.int64()), ("block", pa.int32())])
+GONE_SQL = "chunk int, uid long, doc long, start long, stop long, leader long, block int"
+
+
+def gone_rows(spans):
+    spans = list(spans)
+    if spans:
+        n = len(spans)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*spans), GONE)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=GONE)
+
+
+def shards_of(batches, block: int):
+    """Rows sorted by (leader, block) -> (leader, block, whether it is one of several, cuts).  Neighbouring leaders share a shard
+    up to ``block`` bytes, which adds nothing wrong: equal strings are equal in any shard."""
+    shard, several, cuts, held = None, False, [], 0
+    for batch in batches:
+        for leader, number, blocks, chunk, uid, doc, start, cut in zip(*(column(batch, c).to_pylist() for c in ("leader", "block", "blocks", "chunk", "uid", "doc", "start", "cut"))):
+            if (leader, number) != shard:
+                if cuts and (several or blocks > 1 or held > block // 2):
+                    yield *shard, several, cuts
+                    cuts, held = [], 0
+                shard, several = (leader, number), blocks > 1
+            cuts.append((uid, doc, start, cut, chunk))
+            held += len(cut)
+    if cuts:
+        yield *shard, several, cuts
 
 
 def removed_in_shards(length: int, block: int):
-    """Rows sorted by shard -> removed runs.  Neighbouring shards share a suffix array up to ``block``
-    bytes, which adds nothing wrong: equal strings are equal in any shard."""
-    schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+    """Cuts sorted by leader and block -> removed runs, and windows of large leaders."""
 
-    def flush(cuts):
-        out = list(covered(cuts, length)) if len(cuts) > 1 else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+    def run(batches):
+        for leader, number, several, cuts in shards_of(batches, block):
+            if len(cuts) < 2 and not several:
+                continue
+            shard = Shard(cuts, length)
+            shard.sort()
+            yield from gone_rows(shard.spans(shard.repeated()))
+            if several and len(shard.first):
+                hashes, n = shard.hashes()[shard.at[shard.first]], len(shard.first)
+                none = pa.nulls(n, pa.int64())
+                columns = [pa.nulls(n, pa.int32()), none, none, pa.array(hashes.view(np.int64)), pa.array(shard.least), pa.array(np.full(n, leader)), pa.array(np.full(n, number, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, schema=GONE)
+
+    return run
+
+
+def removed_in_blocks(length: int):
+    """Hashes of windows to remove, then cuts, sorted by leader and block -> removed runs."""
+
+    def close(hashes, cuts):
+        if hashes and cuts:
+            shard = Shard(cuts, length)
+            hit = shard.inside & np.isin(shard.hashes(), np.array(hashes, np.int64).view(np.uint64))
+            yield from gone_rows(shard.spans(np.flatnonzero(hit)))
 
     def run(batches):
-        shard, cuts, held = None, [], 0
+        shard, hashes, cuts = None, [], []
         for batch in batches:
-            col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-            for leader, b1, b2, uid, doc, start, cut in zip(*(col(c) for c in ("leader", "b1", "b2", "uid", "doc", "start", "cut"))):
-                if (leader, b1, b2) != shard:
-                    shard = (leader, b1, b2)
-                    if held > block // 2:
-                        yield from flush(cuts)
-                        cuts, held = [], 0
-                cuts.append((uid, doc, start, cut))
-                held += len(cut)
-        yield from flush(cuts)
+            for leader, number, h, chunk, uid, doc, start, cut in zip(*(column(batch, c).to_pylist() for c in ("leader", "block", "hash", "chunk", "uid", "doc", "start", "cut"))):
+                if (leader, number) != shard:
+                    yield from close(hashes, cuts)
+                    shard, hashes, cuts = (leader, number), [], []
+                if h is None:
+                    cuts.append((uid, doc, start, cut, chunk))
+                else:
+                    hashes.append(h)
+        yield from close(hashes, cuts)
 
     return run
 
 
-def kept_parts(batches):
-    """Documents with the runs to remove -> what is left."""
-    schema = pa.schema([("uid", pa.int64()), ("doc", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
-    for batch in batches:
-        col = lambda c: batch.column(batch.schema.get_field_index(c))
-        out = []
-        for uid, doc, text, runs in zip(col("uid").to_pylist(), col("doc").to_pylist(), col("text"), col("runs")):
-            raw = text.as_buffer().to_pybytes()
-            merged: list[list[int]] = []
-            for a, b in sorted(zip(runs.values.field("start").to_pylist(), runs.values.field("stop").to_pylist())):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            edges = [0, *(x for m in merged for x in m), len(raw)]
-            rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            out.append((uid, doc, len(raw) - len(rest), len(merged), rest))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-
-def removed_runs(texts: DataFrame, mine: DataFrame, scratch: Scratch, length: int = LENGTH, seed: int = SEED, block: int = BLOCK_BYTES) -> DataFrame:
-    """(uid, doc, text) and the (uid, doc) that take part -> (uid, doc, runs: array of start, stop)."""
-    seeds = texts.mapInArrow(seeds_of(length, seed), "seed long, uid long, doc long, pos long")
-    found = seeds.repartition(F.col("seed")).sortWithinPartitions("seed", "doc").mapInArrow(led, "uid long, doc long, pos long, leader long")
-    found = scratch.save(found)
+def kept_parts(with_text: bool):
+    """Copies (COPY), removed runs (SIDE) and texts by chunk -> what is left of each text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text)
+
+    def run(batches):
+        chunk, runs = None, {}
+        for number, kind, rows in by_chunk(batches):
+            if number != chunk:
+                chunk, runs = number, collections.defaultdict(list)
+            uids, docs = values(rows, "uid").tolist(), values(rows, "doc").tolist()
+            if kind != TEXTS:
+                for key, a, b in zip(zip(uids, docs), column(rows, "start").to_pylist(), column(rows, "stop").to_pylist()):
+                    runs[key].append((0, LAST) if kind == COPY else (a, b))
+                continue
+            out = []
+            for doc_id, key, text in zip(column(rows, "doc_id").to_pylist(), zip(uids, docs), column(rows, "text")):
+                raw = text.as_buffer().to_pybytes()
+                merged: list[list[int]] = []
+                for a, b in sorted(runs.get(key, ())):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, min(b, len(raw))])
+                edges = [0, *(x for m in merged for x in m), len(raw)]
+                rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if merged else raw
+                out.append((doc_id, len(raw), len(raw) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest)[: len(schema)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+def removed_runs(chunks: Chunks, copies: DataFrame, scratch: Scratch, length: int = LENGTH, seed: int = SEED, block: int = BLOCK_BYTES) -> DataFrame:
+    """Texts by chunk, and the (chunk, kind, uid, doc) of copies -> (chunk, kind, uid, doc, start, stop) removed runs."""
+    met = chunks.meet(copies, ("uid", "doc", "text"))
+    seeds = met.mapInArrow(seeds_of(length, seed), "seed long, chunk int, low long, high long")
+    found = scratch.save(seeds.repartition("seed").sortWithinPartitions("seed").mapInArrow(led, "chunk int, kind int, seed long, leader long"))
+    del met, seeds
     scratch.release()
-    per_row = found.join(mine, ["uid", "doc"], "left_semi").groupBy("uid", "doc").agg(F.collect_list(F.struct("pos", "leader")).alias("found"))
-    cuts = texts.join(per_row, ["uid", "doc"]).mapInArrow(cuts_of(length, seed), "leader long, uid long, doc long, start long, cut binary")
-    cuts = scratch.save(cuts)
+    met = chunks.meet(copies.unionByName(found, allowMissingColumns=True), ("uid", "doc", "text"))
+    cuts = scratch.save(met.mapInArrow(cuts_of(length, seed), "leader long, chunk int, uid long, doc long, start long, cut binary"))
+    del met
     scratch.drop(found)
     scratch.release()
     sizes = cuts.groupBy("leader").agg(F.ceil(F.sum(F.octet_length("cut")) / F.lit(block)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("uid", "start"), F.col("blocks")).cast("int")
-    dealt = cuts.join(sizes, "leader").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("leader", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "uid", "doc", "start", "cut")
-    dealt = dealt.repartition("leader", "b1", "b2").sortWithinPartitions("leader", "b1", "b2")
-    gone = scratch.save(dealt.mapInArrow(removed_in_shards(length, block), "uid long, doc long, start long, stop long"))
-    scratch.drop(cuts)
+    large = scratch.save(sizes.where("blocks > 1"))
+    cuts = cuts.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("uid", "doc", "start"), F.col("blocks")).cast("int"))
+    dealt = cuts.repartition("leader", "block").sortWithinPartitions("leader", "block")
+    gone = scratch.save(dealt.mapInArrow(removed_in_shards(length, block), GONE_SQL))
+    del dealt
     scratch.release()
-    return gone.groupBy("uid", "doc").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
-
-
-def dedup(docs: DataFrame, scratch: Scratch, length: int = LENGTH, with_text: bool = False, **limits) -> DataFrame:
+    runs = gone.where("leader is null").select("chunk", F.lit(SIDE).alias("kind"), "uid", "doc", "start", "stop")
+    if not large.isEmpty():
+        windows = gone.where("leader is not null").select("leader", "block", F.col("start").alias("hash"), F.col("stop").alias("least"))
+        first = windows.groupBy("hash").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").drop("high")
+        lost = windows.join(first, "hash").where("least > low").select("leader", "block", "hash")
+        met = lost.unionByName(cuts.where("blocks > 1").drop("blocks"), allowMissingColumns=True)
+        met = met.repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("hash").desc_nulls_last())
+        more = scratch.save(met.select("leader", "block", "hash", "chunk", "uid", "doc", "start", "cut").mapInArrow(removed_in_blocks(length), GONE_SQL))
+        runs = runs.unionByName(more.select("chunk", F.lit(SIDE).alias("kind"), "uid", "doc", "start", "stop"))
+    return runs
+
+
+def dedup(docs: DataFrame, scratch: Scratch, length: int = LENGTH, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, **limits) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes."""
     # uid tells apart rows of one doc_id; equal rows share it and fare alike
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("uid"))
-    rows = scratch.save(base.select("doc_id", "doc", "uid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
-    firsts = rows.groupBy("digest").agg(F.min("doc").alias("first_doc")).withColumnRenamed("digest", "same")
-    long = F.col("n_bytes") >= length
-    rows = rows.join(firsts, F.col("digest") == F.col("same")).withColumn("copy", long & (F.col("doc") > F.col("first_doc")))
-    rows = scratch.save(rows.select("doc_id", "doc", "uid", "n_bytes", "digest", "copy"))
-    texts = base.where(F.octet_length("text") >= length).select("uid", "doc", "text")
-    runs = removed_runs(texts, rows.where(long & ~F.col("copy")).select("uid", "doc").distinct(), scratch, length, **limits)
-    parts = texts.join(runs, ["uid", "doc"]).mapInArrow(kept_parts, "uid long, doc long, n_removed long, n_spans long, kept binary")
-    parts = parts.dropDuplicates(["uid", "doc"]).withColumn("kept_digest", F.sha2("kept", 256))
-    parts = parts if with_text else parts.drop("kept")
-    out = rows.join(parts, ["uid", "doc"], "left")
-    gone = F.col("copy")
-    columns = [
-        "doc_id",
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_digest", "digest")).alias("kept_sha256"),
-    ]
-    if with_text:
-        whole = base.select("uid", "doc", F.col("text").cast("binary").alias("whole")).dropDuplicates(["uid", "doc"])
-        out = out.join(whole, ["uid", "doc"])
-        columns.append(F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", "whole")).alias("kept"))
-    return out.select(*columns)
+    chunks = Chunks(base, chunk_bytes)
+    rows = scratch.save(chunks.texts.where(F.octet_length("text") >= length).select("chunk", "doc", "uid", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
+    firsts = scratch.save(rows.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
+    copies = rows.join(firsts, "digest").where("doc > first").select("chunk", F.lit(COPY).alias("kind"), "uid", "doc").distinct()
+    copies = scratch.save(copies)
+    runs = removed_runs(chunks, copies, scratch, length, **limits)
+    met = chunks.meet(copies.unionByName(runs, allowMissingColumns=True), ("doc_id", "uid", "doc", "text"))
+    kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    return met.mapInArrow(kept_parts(with_text), kept)

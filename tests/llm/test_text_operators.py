@@ -1,5 +1,6 @@
 """Each operator against a plain Python version, and its defined cases."""
 import collections
+import functools
 import hashlib
 import math
 import re
@@ -207,17 +208,68 @@ def unigram(rows):
     return [(i, h, len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)) for i, h, w in out]
 
 
-@pytest.mark.parametrize("which, blocks", [("docs", None), ("odd", None), ("odd", 40)])
-def test_context_tree(which, blocks, request, scratch):
+def context_tree_price(training, depth):
+    """log10 probabilities by the definition: each bit's KT estimates, mixed from the longest context up."""
+    counts = collections.defaultdict(lambda: [0, 0])
+    children = collections.defaultdict(set)
+
+    def bits(stream, i):
+        past = bytes(stream[i - 1 - j] if i - 1 - j >= 0 else 10 for j in range(depth))
+        return [((1 << k) | (stream[i] >> (8 - k)), past, (stream[i] >> (7 - k)) & 1) for k in range(8)]
+
+    for stream in training:
+        for i in range(len(stream)):
+            for node, past, bit in bits(stream, i):
+                for d in range(depth + 1):
+                    counts[node, past[:d]][bit] += 1
+                    if d < depth:
+                        children[node, past[:d]].add(past[: d + 1])
+
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def pw(node, past):
+        own = kt(*counts.get((node, past), (0, 0)))
+        if len(past) == depth:
+            return own
+        return float(np.logaddexp(own, sum(pw(node, c) for c in children.get((node, past), ()))) - math.log(2))
+
+    def probability(node, past, bit):
+        p = None
+        for d in range(depth, -1, -1):
+            n = counts.get((node, past[:d]), (0, 0))
+            estimate = (n[bit] + 0.5) / (sum(n) + 1)
+            share = 1 if p is None else math.exp(math.log(0.5) + kt(*n) - pw(node, past[:d]))
+            p = estimate if p is None else share * estimate + (1 - share) * p
+        return p
+
+    return lambda stream: sum(math.log10(probability(*b)) for i in range(len(stream)) for b in bits(stream, i))
+
+
+def streams(rows):
+    return [(i, " ".join(WORD.findall((t or "").translate(FOLD))).encode() + b"\n") for i, t in rows]
+
+
+@pytest.mark.parametrize("which, chunk", [("docs", None), ("docs", 20_000), ("odd", None), ("odd", 300)])
+def test_context_tree(which, chunk, request, scratch):
     df = request.getfixturevalue(which)
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    got = context_tree.score(df, held, scratch, **({"block_rows": blocks} if blocks else {})).collect()
+    got = context_tree.score(df, held, scratch, **({"chunk_bytes": chunk} if chunk else {})).collect()
     key = lambda r: (str(r[0]), *r[1:])
     have = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=key)
     want = sorted(unigram(texts(df)), key=key)
     assert [r[:5] for r in have] == [r[:5] for r in want]
     assert [r[5] for r in have] == pytest.approx([r[5] for r in want], rel=1e-9)
-    assert all(r["score"] < 0 for r in got)
+    assert all(r["score"] < 0 and r["bits_per_byte"] > 0 for r in got)
+
+
+def test_context_tree_equals_its_definition(spark, scratch):
+    rows = [(0, "abra cadabra abra"), (1, "Abra abra"), (2, None), (3, "cad ab \u00e9"), (4, "a new word"), (5, "abracad")]
+    depth = 3
+    price = context_tree_price([s for i, s in streams(rows) if i not in (4, 5)], depth)
+    got = context_tree.score(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") > 3, scratch, depth=depth, chunk_bytes=20).collect()
+    want = {i: (price(s), -price(s) / math.log10(2) / len(s)) for i, s in streams(rows)}
+    assert {r["doc_id"]: (r["score"], r["bits_per_byte"]) for r in got} == {i: pytest.approx(x, rel=1e-9) for i, x in want.items()}
 
 
 def test_context_tree_probabilities_sum_to_one():
