@@ -7,13 +7,13 @@ and half with the product of its children, so all depths take part, weighted by
 the training text.  After training the weights stand still, and a byte's log probability depends on its
 context and itself alone: one number for each (DEPTH + 1)-byte string that the corpus has.
 
-1. Texts are dealt into chunks of about CHUNK_BYTES.  Each chunk counts its strings and words; Spark sums
-   them over chunks.
+1. Texts are dealt into chunks of about CHUNK_BYTES.  Each chunk counts its strings and words.  The chunks of a
+   string meet, sorted: a row gets its total and the list of chunks, in parts of at most LIST.
 2. Strings that share the two bytes before the last meet in one group, which weighs its trees
    down to depth 2.  What remains, the nodes of depth 1 and 0, is at most 256 * 255 rows.
 3. Groups are weighed again, now with those top levels, and give each string its log probability.
-4. Log probabilities are joined to the chunks that have the string and sent there, with the texts.  A task
-   holds the strings of one chunk, whatever the size of the corpus, and every text is read twice.
+4. Log probabilities are joined to the lists of the chunks that have the string, and sent there, with the
+   texts.  A task holds the strings of one chunk, whatever the size of the corpus, and every text is read twice.
 
 The base score (add-one unigrams) is made in the same passes.  Words are keyed by 64-bit hashes.
 
@@ -40,7 +40,8 @@ CHUNK_BYTES = 48_000_000
 STRINGS, WORDS = 0, 1
 END, GAP = 10, 32
 END_TOKEN = 0x0E4D  # stands for the end token among word hashes
-PIECE = 1 << 22
+PIECE = 1 << 20
+LIST = 10_000  # chunks in a row; a string of more chunks has several rows
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -134,9 +135,9 @@ def counts_of(depth: int):
                 for kind, keys, own in ((0, strings_of(stream, bounds, depth), by[0]), (1, words, by[1])):
                     at, found = pd.factorize(keys)
                     kept[kind].append((found, np.bincount(at[own], minlength=len(found))))
-                    if sum(len(p[0]) for p in kept[kind]) > 4_000_000:
+                    if sum(len(p[0]) for p in kept[kind]) > 2_500_000:
                         kept[kind] = fold(kept[kind])
-                        if len(kept[kind][0][0]) > 3_000_000:
+                        if len(kept[kind][0][0]) > 1_500_000:
                             yield from batch(chunk, kind, kept[kind][0])
                             kept[kind] = []
         yield from close()
@@ -144,6 +145,49 @@ def counts_of(depth: int):
     return run
 
 
+def gathered(batches):
+    """Rows (kind, key, chunk, trained) sorted by key and kind -> (kind, key, trained, chunks): a key's total and chunks; beyond LIST
+    chunks further rows before, without a total."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("trained", pa.int64()), ("chunks", pa.list_(pa.int32()))])
+
+    def close(parts, total=0, part=False):
+        kind, key, chunk, trained = (np.concatenate(x) for x in zip(*parts))
+        if not len(key):
+            return
+        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])))
+        sums = np.add.reduceat(trained, start)
+        sums[0] += total
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), pa.array(chunk))
+        yield pa.RecordBatch.from_arrays([pa.array(kind[start]), pa.array(key[start]), pa.nulls(len(start), pa.int64()) if part else pa.array(sums), lists], schema=schema)
+
+    held, total = [], 0  # rows of the last key, and the count of those of its rows that are already out
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        kind, key = columns[:2]
+        if not len(key):
+            continue
+        fresh = (key != key[-1]) | (kind != kind[-1])
+        last = int(np.flatnonzero(fresh)[-1]) + 1 if fresh.any() else 0
+        if held and (last or held[0][1][0] != key[0] or held[0][0][0] != kind[0]):
+            if last and held[0][1][0] == key[0] and held[0][0][0] == kind[0]:
+                yield from close([*held, tuple(c[:last] for c in columns)], total)
+            else:
+                yield from close(held, total)
+                if last:
+                    yield from close([tuple(c[:last] for c in columns)])
+            held, total = [], 0
+        elif last:
+            yield from close([tuple(c[:last] for c in columns)])
+        held.append(tuple(c[last:] for c in columns))
+        if sum(len(h[0]) for h in held) > LIST:
+            total += int(sum(h[3].sum() for h in held))
+            yield from close([tuple(c[1:] for c in h) if i == 0 else h for i, h in enumerate(held)], part=True)
+            held = [tuple(c[:1] for c in held[0])]  # one row stays for the total
+            total -= int(held[0][3][0])
+    if held:
+        yield from close(held, total)
+
+
 class Trees:
     """The context trees below one pair of bytes (or below all, with top = 0)."""
 
@@ -243,13 +287,13 @@ def scores(depth: int, train_tokens: int, train_words: int):
     space = math.log10(train_tokens + train_words + 1)
 
     def table(parts):
-        keys, values = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys)
-        return keys[order], values[order]
+        keys, numbers = (np.concatenate(x) for x in zip(*parts))
+        keys, first = np.unique(keys, return_index=True)
+        return pd.Index(keys), numbers[first]
 
     def found(table, keys):
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        if (table[0][at] != keys).any():
+        at = table[0].get_indexer(keys)
+        if (at < 0).any():
             raise RuntimeError("a chunk's texts have changed between two reads")
         return table[1][at]
 
@@ -294,10 +338,11 @@ def score(docs: DataFrame, held_out, scratch: Scratch, depth: int = DEPTH, chunk
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text"))
     chunks = Chunks(texts, chunk_bytes)
-    asked = scratch.save(chunks.meet(columns=("held_out", "text")).mapInArrow(counts_of(depth), "chunk int, kind int, key long, trained long"))
-    scratch.release()
-    counts = scratch.save(asked.groupBy("kind", "key").agg(F.sum("trained").alias("trained")))
+    asked = chunks.meet(columns=("held_out", "text")).mapInArrow(counts_of(depth), "chunk int, kind int, key long, trained long")
+    asked = asked.select("kind", "key", "chunk", "trained").repartition("key").sortWithinPartitions("key", "kind")
+    lists = scratch.save(asked.mapInArrow(gathered, "kind int, key long, trained long, chunks array<int>"))
     scratch.release()
+    counts = lists.where("trained is not null").select("kind", "key", "trained")
     words = counts.where(F.col("kind") == WORDS)
     totals = words.where("trained > 0").agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count("*")).first()
     group = F.col("key").bitwiseAND(F.lit(0xFFFF00))
@@ -308,9 +353,7 @@ def score(docs: DataFrame, held_out, scratch: Scratch, depth: int = DEPTH, chunk
     top = spark.sparkContext.broadcast(top_levels(low))
     valued = strings.mapInArrow(prices(depth, top), "kind int, key long, value double").unionByName(words.select("kind", "key", F.col("trained").cast("double").alias("value")))
     valued = scratch.save(valued)
-    # a frequent string is a row for each chunk that has it; what joins is split by adaptive skew joins
-    sent = scratch.save(asked.select("chunk", "kind", "key").join(valued, ["kind", "key"]).select("chunk", "kind", "key", "value"))
-    scratch.drop(asked, counts, valued)
+    sent = lists.select("kind", "key", "chunks").join(valued, ["kind", "key"]).select(F.explode("chunks").alias("chunk"), "kind", "key", "value")
     scratch.release()
     scored = chunks.meet(sent, ("doc_id", "held_out", "text")).mapInArrow(scores(depth, int(totals[0]), int(totals[1])), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(totals[0])).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
