@@ -13,9 +13,9 @@ judged on the input.  The corpus is cut into shards of bounded size so that equa
    documents share a window, they share its minimizer, hence its leader: the window is in both cuts.
 4. The cuts of a leader make a shard.  A shard's suffix array is induced (see suffix_array), neighbours
    whose permuted common prefixes reach 50 bytes form runs, and a run's windows in other than its smallest
-   document are removed.  A large leader's cuts make several shards.  Each gives every window that it has
-   once, by hash, with its smallest document; a shard whose smallest document of a window is not the
-   smallest of all loses that window everywhere.  Rows stay in proportion to the cuts' bytes.
+   document are removed.  A large leader's cuts make several shards, its blocks.  Each gives every window
+   that it has once, by hash, with its smallest document, packed by range of hash; a block whose smallest document of a window
+   is not the smallest of all loses that window everywhere.  No two blocks are ever compared as such.
 5. The removed runs go back to the texts' chunks, where they are merged and the rest is kept.
 
 Exact copies of an earlier text take no part in 1 to 4: all they hold is in the first copy.  Minimizers and the
@@ -249,29 +249,30 @@ class Shard:
             yield chunk, uid, doc, lo + base, hi + self.length + base
 
 
-#: Removed runs; or, with a leader, windows (start: hash, stop: smallest document) of a large leader's block.
-GONE = pa.schema([("chunk", pa.int32()), ("uid", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("leader", pa.int64()), ("block", pa.int32())])
-GONE_SQL = "chunk int, uid long, doc long, start long, stop long, leader long, block int"
+#: Removed runs; or, with a leader, the windows of a block of it whose hashes begin with ``range``: their hashes in order, and the
+#: smallest document of each.
+GONE = pa.schema([("chunk", pa.int32()), ("uid", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("leader", pa.int64()), ("block", pa.int32()), ("range", pa.int32()), ("hashes", pa.binary()), ("least", pa.binary())])
+GONE_SQL = "chunk int, uid long, doc long, start long, stop long, leader long, block int, range int, hashes binary, least binary"
 
 
 def gone_rows(spans):
     spans = list(spans)
     if spans:
         n = len(spans)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*spans), GONE)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=GONE)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(zip(*spans), GONE)), *(pa.nulls(n, f.type) for f in list(GONE)[5:])], schema=GONE)
 
 
 def shards_of(batches, block: int):
-    """Rows sorted by (leader, block) -> (leader, block, whether it is one of several, cuts).  Neighbouring leaders share a shard
+    """Rows sorted by (leader, block) -> (leader, block, the leader's number of blocks, cuts).  Neighbouring leaders share a shard
     up to ``block`` bytes, which adds nothing wrong: equal strings are equal in any shard."""
-    shard, several, cuts, held = None, False, [], 0
+    shard, several, cuts, held = None, 1, [], 0
     for batch in batches:
         for leader, number, blocks, chunk, uid, doc, start, cut in zip(*(column(batch, c).to_pylist() for c in ("leader", "block", "blocks", "chunk", "uid", "doc", "start", "cut"))):
             if (leader, number) != shard:
-                if cuts and (several or blocks > 1 or held > block // 2):
+                if cuts and (several > 1 or blocks > 1 or held > block // 2):
                     yield *shard, several, cuts
                     cuts, held = [], 0
-                shard, several = (leader, number), blocks > 1
+                shard, several = (leader, number), blocks
             cuts.append((uid, doc, start, cut, chunk))
             held += len(cut)
     if cuts:
@@ -283,27 +284,65 @@ def removed_in_shards(length: int, block: int):
 
     def run(batches):
         for leader, number, several, cuts in shards_of(batches, block):
-            if len(cuts) < 2 and not several:
+            if len(cuts) < 2 and several == 1:
                 continue
             shard = Shard(cuts, length)
             shard.sort()
             yield from gone_rows(shard.spans(shard.repeated()))
-            if several and len(shard.first):
-                hashes, n = shard.hashes()[shard.at[shard.first]], len(shard.first)
-                none = pa.nulls(n, pa.int64())
-                columns = [pa.nulls(n, pa.int32()), none, none, pa.array(hashes.view(np.int64)), pa.array(shard.least), pa.array(np.full(n, leader)), pa.array(np.full(n, number, np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, schema=GONE)
+            if several > 1 and len(shard.first):
+                hashes = shard.hashes()[shard.at[shard.first]]
+                order = np.argsort(hashes)
+                hashes, least = hashes[order], shard.least[order]
+                bits = min(MOST_RANGES, max(LEAST_RANGES, several.bit_length() + 2))
+                ranges = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+                cuts_at = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])).tolist()
+                rows = [dict(leader=leader, block=number, range=int(ranges[a]), hashes=hashes[a:b].tobytes(), least=least[a:b].tobytes()) for a, b in zip(cuts_at, [*cuts_at[1:], len(hashes)])]
+                yield pa.RecordBatch.from_pylist(rows, schema=GONE)
 
     return run
 
 
+#: The windows of a block go out in 2 ** bits ranges of hash, more for leaders of more blocks.
+LEAST_RANGES, MOST_RANGES = 6, 12
+
+
+def lost_windows(batches):
+    """Windows sorted by (leader, range) -> (leader, block, hash: hashes of the windows that another block has in a smaller document)."""
+    schema = pa.schema([("leader", pa.int64()), ("block", pa.int32()), ("hash", pa.binary())])
+
+    def close(rows):
+        if len(rows) < 2:
+            return
+        hashes, least = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in ((1, np.uint64), (2, np.int64)))
+        owner = np.repeat(np.arange(len(rows)), [len(r[1]) // 8 for r in rows])
+        order = np.lexsort((least, hashes))
+        hashes, least, owner = hashes[order], least[order], owner[order]
+        start = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+        lost = least > np.repeat(least[start], np.diff(np.append(start, len(hashes))))
+        hashes, owner = hashes[lost], owner[lost]
+        order = np.argsort(owner, kind="stable")
+        bounds = np.searchsorted(owner[order], np.arange(len(rows) + 1))
+        out = [dict(leader=group[0], block=r[0], hash=hashes[order[a:b]].tobytes()) for r, a, b in zip(rows, bounds, bounds[1:]) if b > a]
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    group, rows = None, []
+    for batch in batches:
+        for leader, number, block, hashes, least in zip(*(column(batch, c).to_pylist() for c in ("leader", "range", "block", "hashes", "least"))):
+            if (leader, number) != group:
+                yield from close(rows)
+                group, rows = (leader, number), []
+            rows.append((block, hashes, least))
+    yield from close(rows)
+
+
 def removed_in_blocks(length: int):
     """Hashes of windows to remove, then cuts, sorted by leader and block -> removed runs."""
 
     def close(hashes, cuts):
         if hashes and cuts:
             shard = Shard(cuts, length)
-            hit = shard.inside & np.isin(shard.hashes(), np.array(hashes, np.int64).view(np.uint64))
+            hit = shard.inside & np.isin(shard.hashes(), np.frombuffer(b"".join(hashes), np.uint64))
             yield from gone_rows(shard.spans(np.flatnonzero(hit)))
 
     def run(batches):
@@ -375,11 +414,10 @@ def removed_runs(chunks: Chunks, copies: DataFrame, scratch: Scratch, length: in
     scratch.release()
     runs = gone.where("leader is null").select("chunk", F.lit(SIDE).alias("kind"), "uid", "doc", "start", "stop")
     if not large.isEmpty():
-        windows = gone.where("leader is not null").select("leader", "block", F.col("start").alias("hash"), F.col("stop").alias("least"))
-        first = windows.groupBy("hash").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").drop("high")
-        lost = windows.join(first, "hash").where("least > low").select("leader", "block", "hash")
-        met = lost.unionByName(cuts.where("blocks > 1").drop("blocks"), allowMissingColumns=True)
-        met = met.repartition("leader", "block").sortWithinPartitions("leader", "block", F.col("hash").desc_nulls_last())
+        windows = gone.where("leader is not null").select("leader", "range", "block", "hashes", "least").repartition("leader", "range").sortWithinPartitions("leader", "range")
+        lost = windows.mapInArrow(lost_windows, "leader long, block int, hash binary")
+        met = lost.unionByName(cuts.where("blocks > 1").drop("blocks"), allowMissingColumns=True).withColumn("last", F.col("hash").isNull())
+        met = met.repartition("leader", "block").sortWithinPartitions("leader", "block", "last")
         more = scratch.save(met.select("leader", "block", "hash", "chunk", "uid", "doc", "start", "cut").mapInArrow(removed_in_blocks(length), GONE_SQL))
         runs = runs.unionByName(more.select("chunk", F.lit(SIDE).alias("kind"), "uid", "doc", "start", "stop"))
     return runs
