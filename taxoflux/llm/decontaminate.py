@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxoflux.llm.runtime import Scratch
+from taxoflux.llm.runtime import Scratch, unused
 
 WINDOW = 8
 PLAIN = 4
@@ -189,6 +189,9 @@ def near_lines(keyed: DataFrame, items: DataFrame, scratch: Scratch, covered: fl
 def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WINDOW, plain: int = PLAIN, covered: float = COVERED, inconsistent: float = INCONSISTENT, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row a leaked pair: doc_id, row_hash (of id and text), item_id, n_matched, n_windows, doc_pos, n_slots, n_changed."""
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
+    # each text of an item_id is an item of its own; the best of them speaks for the id
+    named = items.where(F.col("item_id").isNotNull()).select(F.xxhash64("item_id", "text").alias("key"), F.col("item_id").alias("name"), "text").distinct()
+    names, items = scratch.save(named.select("key", "name")), named.select(F.col("key").alias("item_id"), "text")
     known = scratch.save(item_windows(items, window, plain))
     found = spark_empty(docs)
     for size, own, hits in matches(keyed, known, canonical, broadcast_windows):
@@ -218,7 +221,8 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, window: in
     columns = ["doc_id", "row_hash", "item_id", "n_matched", "n_windows", "doc_pos", "n_slots", "n_changed"]
     pairs = pairs.select(*columns, F.lit(1).alias("__way")).unionByName(near.select(*columns, F.lit(0).alias("__way")))
     best = F.max_by(F.struct("n_matched", "n_windows", "doc_pos", "n_slots", "n_changed"), F.struct("__way", "n_matched", -F.col("doc_pos"))).alias("b")
-    return pairs.groupBy("doc_id", "row_hash", "item_id").agg(best).select("doc_id", "row_hash", "item_id", "b.*")
+    pairs = pairs.join(names, F.col("item_id") == F.col("key"))
+    return pairs.groupBy("doc_id", "row_hash", "name").agg(best).select("doc_id", "row_hash", F.col("name").alias("item_id"), "b.*")
 
 
 def spark_empty(docs: DataFrame) -> DataFrame:
@@ -228,5 +232,6 @@ def spark_empty(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, scratch: Scratch, **rules) -> DataFrame:
     """The documents, all columns, that hold no item."""
-    leaked = scratch.save(contaminated(docs, items, scratch, **rules).select(F.col("doc_id").alias("__leak_id"), F.col("row_hash").alias("__leak")).distinct())
-    return docs.join(leaked, (F.xxhash64("doc_id", "text") == F.col("__leak")) & docs["doc_id"].eqNullSafe(F.col("__leak_id")), "left_anti")
+    leak, leak_id = unused(docs, "leak"), unused(docs, "leak_id")
+    leaked = scratch.save(contaminated(docs, items, scratch, **rules).select(F.col("doc_id").alias(leak_id), F.col("row_hash").alias(leak)).distinct())
+    return docs.join(leaked, (F.xxhash64("doc_id", "text") == F.col(leak)) & docs["doc_id"].eqNullSafe(F.col(leak_id)), "left_anti")

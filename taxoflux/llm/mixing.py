@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxoflux.llm.runtime import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -81,7 +83,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, seed=SEED, save
 
 
 def emit(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, seed=SEED, save=lambda df: df, broadcast_sources: int = 100_000) -> DataFrame:
-    """The mix itself: every document, all columns, once for each of its copies, with ``copy`` from 1.
+    """The mix itself: every document, all columns, once for each of its copies, with ``copy`` from 1
+    (``copy_`` where the documents have that column).
 
     Texts stay where they are while sources number at most ``broadcast_sources`` (counted first); beyond,
     the join is by shuffle, which splits large sources."""
@@ -93,4 +96,4 @@ def emit(docs: DataFrame, weights=WEIGHTS, max_repeat=MAX_REPEAT, seed=SEED, sav
     rate, whole = F.col("__rate"), F.floor(F.col("__rate"))
     copies = (whole + (unit_hash(F.col("__id"), seed) < rate - whole).cast("long")).cast("int")
     joined = packed.join(rates, F.col("__source").eqNullSafe(rates["source"])).where(copies > 0)
-    return joined.select("__row", F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).select("__row.*", F.col("__copy").alias("copy"))
+    return joined.select("__row", F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).select("__row.*", F.col("__copy").alias(unused(docs, "copy")))

@@ -469,9 +469,12 @@ def join(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, **limits) -> DataF
     least = classes.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = scratch.save(least.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left"))
     smallest = named.where("label is not null").groupBy("label").agg(F.min("least").alias("component"))
-    by_set = named.join(smallest, "label", "left").select(F.col("set_id").alias("own_set"), F.coalesce("component", "least").alias("component"))
-    out = classes.join(scratch.save(by_set), F.col("set_id") == F.col("own_set"), "left")
-    return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    # sets without a label, and rows without a set, must not meet in one task
+    named = named.select(F.col("set_id").alias("own_set"), "least", F.coalesce("label", "set_id").alias("label"))
+    by_set = scratch.save(named.join(smallest, "label", "left").select("own_set", F.coalesce("component", "least").alias("component")))
+    columns = lambda component: ["doc_id", "n_shingles", "set_id", F.col(component).alias("component_id")]
+    out = classes.where("set_id is not null").join(by_set, F.col("set_id") == F.col("own_set"), "left").select(*columns("component"))
+    return out.unionByName(classes.where("set_id is null").select(*columns("doc_id")))
 
 
 def representatives(docs: DataFrame, scratch: Scratch, **limits) -> DataFrame:

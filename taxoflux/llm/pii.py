@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PART, OVERLAP = 1_000, 64  # tokens of a zone that are read together, and those around them
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 5
 #: Longer segments are none of the kinds (an address of an email has at most 254 characters).
@@ -266,16 +267,30 @@ def find(text: str, weights: dict[tuple[str, int], float], certain: float = CERT
     if not text or not TRIGGER.search(text):
         return [], []
     base = base_spans(text)
-    added = []
-    for zone in zones(text, base):
-        found = segments(text, zone, lambda i: word_before(text, zone[i][0]))
-        ahead, behind, score = field(len(zone), found, weights)
-        for i, j, k in best_reading(len(zone), score):
-            if np.exp(ahead[i] + score[i, j, k] + behind[j] - ahead[-1]) >= certain and not near(base, (zone[i][0], zone[j - 1][1])):
-                added.append((zone[i][0], k, zone[j - 1][1]))
+    added, last = [], 0
+    for whole in zones(text, base):
+        for zone, first, stop in parts(whole):
+            found = segments(text, zone, lambda i: word_before(text, zone[i][0]))
+            ahead, behind, score = field(len(zone), found, weights)
+            for i, j, k in best_reading(len(zone), score):
+                if first <= i < stop and zone[i][0] >= last and np.exp(ahead[i] + score[i, j, k] + behind[j] - ahead[-1]) >= certain and not near(base, (zone[i][0], zone[j - 1][1])):
+                    added.append((zone[i][0], k, zone[j - 1][1]))
+                    last = zone[j - 1][1]
     return base, sorted(base + added)
 
 
+def parts(zone: list) -> list[tuple[list, int, int]]:
+    """A long zone in parts that overlap: (tokens, first, stop), segments that begin at first <= i < stop are taken from it.
+    What is more than OVERLAP tokens away has no bearing on a segment, and memory follows PART, not the text."""
+    if len(zone) <= PART:
+        return [(zone, 0, len(zone))]
+    out = []
+    for a in range(0, len(zone), PART):
+        low, high = max(0, a - OVERLAP), min(len(zone), a + PART + OVERLAP)
+        out.append((zone[low:high], a - low, min(a + PART, len(zone)) - low))
+    return out
+
+
 def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 

@@ -27,6 +27,7 @@ SHAPES = PAIRS + (1 << 16)
 SHAPE_VALUES = 4 * 11  # each of two shares as "at least" steps, for word counts below and from 50
 SIZE = SHAPES + SHAPE_VALUES
 PIECE = 1 << 18
+PIECE_ROWS = 256  # a piece has a byte for each row and feature
 
 
 def repeated_share(x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -72,7 +73,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def sample_features(batches):
     """Documents with a label -> (label, features)."""
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.list_(pa.int32()))])
-    for rows, data, offsets in pieces(batches, limit=PIECE):
+    for rows, data, offsets in pieces(batches, limit=PIECE, most_rows=PIECE_ROWS):
         row, found = features(data, offsets)
         bounds = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(found.astype(np.int32)))
@@ -117,7 +118,7 @@ def scores(model):
 
     def run(batches):
         w, a, b, squares = model.value
-        for rows, data, offsets in pieces(batches, limit=PIECE):
+        for rows, data, offsets in pieces(batches, limit=PIECE, most_rows=PIECE_ROWS):
             row, found = features(data, offsets)
             n = rows.num_rows
             length = np.sqrt(np.bincount(row, squares[found], n))
@@ -128,13 +129,13 @@ def scores(model):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, rows: int) -> DataFrame:
-    """(doc_id, label, text) of at most ``rows`` labelled documents outside ``held_out``."""
+    """(doc_id, label, text) of at most ``rows`` labelled documents outside ``held_out``; of several texts of one id the least."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out)
     usable = usable.groupBy("doc_id").agg(F.min(column).cast("int").alias("label"))
     # labels that have a document: only ids travel
     usable = usable.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:

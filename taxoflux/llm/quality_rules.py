@@ -1,11 +1,12 @@
 """Operator 2: quality rules as a short-circuit cascade.  DataFrame functions only.
 
 Each rule names the metrics it needs, a rejecting condition and the work it does (elements visited).
-On a sample the operator estimates each rule's selectivity and cost, orders the rules by rejections
-per unit of cost, and evaluates them as one CASE: a row stops at the first rule that rejects it.  The
-order changes which rule is reported and how much work is done, never the verdict.
+On a sample the operator estimates each rule's selectivity and cost and orders the rules by rejections
+per unit of cost.  ``passing`` runs them in that order, each on the rows that the ones before have left, and
+computes a rule's metrics only then.  ``judge`` reports all metrics of every row, so there the order decides only which
+rule is named.  The order never changes the verdict.
 
-Metrics (words are ``[^\\x20\\x09-\\x0D]+``) are computed once per row, in the row: no shuffle.
+Metrics (words are ``[^\\x20\\x09-\\x0D]+``) are computed in the row: no shuffle.
 Windows of three words are compared by the 64-bit hash of their words; a row's windows are sorted, so
 a long text costs n log n and never a task of its own.
 
@@ -27,9 +28,10 @@ SYMBOLS = r"[#*$%&|<>]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """reject: when a row goes.  work: elements that evaluating the rule visits, for its cost."""
+    """needs: metrics that the rule reads.  reject: when a row goes.  work: elements that evaluating the rule visits, for its cost."""
 
     name: str
+    needs: tuple[str, ...]
     reject: Callable[[], Column]
     work: Callable[[], Column]
     base: bool = False
@@ -40,12 +42,12 @@ def _c(name: str) -> Column:
 
 
 RULES = (
-    Rule("few_words", lambda: _c("n_words") < 50, lambda: _c("n_words"), base=True),
-    Rule("repeated_windows", lambda: 100 * _c("n_repeat_words") > 50 * _c("n_words"), lambda: 12 * _c("n_words"), base=True),
+    Rule("few_words", ("n_words",), lambda: _c("n_words") < 50, lambda: _c("n_words"), base=True),
+    Rule("repeated_windows", ("n_words", "n_repeat_words"), lambda: 100 * _c("n_repeat_words") > 50 * _c("n_words"), lambda: 12 * _c("n_words"), base=True),
     # Thresholds below are far above what ordinary prose shows (a symbol or capital every few words).
-    Rule("symbols", lambda: 100 * _c("n_symbols") > 5 * _c("word_chars"), lambda: _c("word_chars")),
-    Rule("shouting", lambda: 100 * _c("n_upper") > 50 * _c("word_chars"), lambda: _c("word_chars")),
-    Rule("repeated_lines", lambda: (_c("n_dup_lines") >= 3) & (100 * _c("n_dup_lines") > 40 * _c("n_lines")), lambda: _c("word_chars") + 4 * _c("n_lines")),
+    Rule("symbols", ("n_symbols", "word_chars"), lambda: 100 * _c("n_symbols") > 5 * _c("word_chars"), lambda: _c("word_chars")),
+    Rule("shouting", ("n_upper", "word_chars"), lambda: 100 * _c("n_upper") > 50 * _c("word_chars"), lambda: _c("word_chars")),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda: (_c("n_dup_lines") >= 3) & (100 * _c("n_dup_lines") > 40 * _c("n_lines")), lambda: _c("word_chars") + 4 * _c("n_lines")),
 )
 
 
@@ -53,26 +55,27 @@ def _removed(text: Column, pattern: str) -> Column:
     return (F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def metrics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs -> keep columns + n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words."""
+METRICS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def metrics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), wanted: tuple[str, ...] = METRICS) -> DataFrame:
+    """docs -> keep columns + the metrics that are wanted."""
     text = F.coalesce(F.col("__text"), F.lit(""))
     df = docs.select(*keep, F.col("text").alias("__text")).withColumn("__text", text)
     lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: x.rlike(NON_SPACE))
-    df = df.withColumns({
-        "__words": F.array_remove(F.split(F.col("__text"), SPACE), ""),
-        "__lines": lines,
-        "n_symbols": _removed(F.col("__text"), SYMBOLS),
-        "n_upper": _removed(F.col("__text"), r"\p{Lu}+"),
-    })
-    words = F.col("__words")
-    hashes = F.col("__hash")
-    df = df.withColumns({
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "__hash": F.transform(words, lambda w: F.xxhash64(w)),
-    }).drop("__text", "__lines", "__words")
+    words, hashes = F.col("__words"), F.col("__hash")
+    by_words = {"n_words", "word_chars", "n_repeat_words"}.intersection(wanted)
+    first = {"n_symbols": lambda: _removed(F.col("__text"), SYMBOLS), "n_upper": lambda: _removed(F.col("__text"), r"\p{Lu}+")}
+    df = df.withColumns({k: f() for k, f in first.items() if k in wanted} | ({"__words": F.array_remove(F.split(F.col("__text"), SPACE), "")} if by_words else {}) | ({"__lines": lines} if {"n_lines", "n_dup_lines"}.intersection(wanted) else {}))
+    second = {
+        "n_lines": lambda: F.size("__lines").cast("long"),
+        "n_dup_lines": lambda: (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "word_chars": lambda: F.char_length(F.array_join(words, "")).cast("long"),
+    }
+    df = df.withColumns({k: f() for k, f in second.items() if k in wanted} | ({"n_words": F.size(words).cast("long")} if by_words else {}) | ({"__hash": F.transform(words, lambda w: F.xxhash64(w))} if "n_repeat_words" in wanted else {}))
+    df = df.drop("__text", "__lines", "__words")
+    if "n_repeat_words" not in wanted:
+        return df.select(*keep, *wanted)
     n = F.col("n_words").cast("int")
     pairs = F.zip_with(F.slice(hashes, F.lit(1), n - 2), F.slice(hashes, F.lit(2), n - 2), lambda a, b: F.xxhash64(a, b))
     triples = F.zip_with(pairs, F.slice(hashes, F.lit(3), n - 2), lambda ab, c: F.xxhash64(ab, c))
@@ -90,7 +93,7 @@ def metrics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     starts = F.filter(marked, lambda i: i.isNotNull())
     covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
     df = df.withColumn("n_repeat_words", F.when(r.isNull(), 0).otherwise(covered).cast("long"))
-    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
+    return df.select(*keep, *wanted)
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, fraction: float = 0.2, seed: int = 2) -> list[tuple[Rule, float, float]]:
@@ -120,9 +123,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, **sample) -> DataFrame:
-    """The documents, all columns, that no rule rejects."""
-    packed = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    # Spark would move a filter below the metrics and evaluate them again inside it, many times over; it does
-    # not move one past a projection with an undetermined column that the filter reads
-    judged = judge(packed, rules, keep=("__row",), **sample).select("__row", "kept", F.monotonically_increasing_id().alias("__at"))
-    return judged.where(F.col("kept") & (F.col("__at") >= 0)).select("__row.*")
+    """The documents, all columns, that no rule rejects: rule by rule, each on what is left."""
+    left = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    for rule, _, _ in order_rules(docs, rules, **sample):
+        # Spark would move a filter below the metrics and evaluate them again inside it, many times over; it does
+        # not move one past a projection with an undetermined column that the filter reads
+        judged = metrics(left.withColumn("__whole", F.col("text")), ("__row", "__whole"), rule.needs).select("__row", "__whole", rule.reject().alias("__gone"), F.monotonically_increasing_id().alias("__at"))
+        left = judged.where(~F.col("__gone") & (F.col("__at") >= 0)).select("__row", F.col("__whole").alias("text"))
+    return left.select("__row.*")

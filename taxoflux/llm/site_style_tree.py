@@ -46,6 +46,8 @@ TABLE_ROWS = 200_000
 SALTS = 32
 #: What k different presentations leave to the importance of the children: FADE ** k.
 FADE = 0.9
+#: Nesting that paths tell apart; what is deeper belongs to the node at this depth, so paths stay short on any page.
+MAX_DEPTH = 100
 #: Host of the tree over all hosts, and the part of a path for the texts right in a node; no host or tag holds "/" or "#".
 EVERY, OWN = "/", "/#"
 
@@ -116,8 +118,9 @@ def parse(page: str):
         path, out, inside = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", 0, False)
 
     at, n = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends after it, and an open comment ends with the page
     while at < n:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at, n if page.find("<!--", max(at, last)) >= 0 else last) if at < last or "<!--" in page[at:] else None
         if m is None:
             words.append(entities.unescape(page[at:]))
             break
@@ -169,7 +172,8 @@ def parse(page: str):
             above.append(out)
             kinds.append("hidden" if hidden or tag == "head" else "tag" if tag in NO_ARTICLE - WRAPPERS or tag == "header" else "name")
             out = len(above) - 1
-        path = f"{path}/{tag}.{style}" if style else f"{path}/{tag}"
+        if len(stack) < MAX_DEPTH:
+            path = f"{path}/{tag}.{style[:100]}" if style else f"{path}/{tag}"
         stack.append([tag, path, out, inside, []])
     end_block()
     close(0)

@@ -66,14 +66,15 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES):
-    """(rows, bytes, offsets) of runs of whole rows, about ``limit`` bytes each; a longer text is a piece of its own."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES, most_rows: int = 1 << 30):
+    """(rows, bytes, offsets) of runs of whole rows, about ``limit`` bytes and at most ``most_rows`` each; a longer text is a
+    piece of its own."""
     for batch in batches:
         data, offsets = bytes_of(batch.column(batch.schema.get_field_index(text)))
         start, n = 0, batch.num_rows
         while start < n:
             stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-            stop = min(n, max(stop, start + 1))
+            stop = min(n, start + most_rows, max(stop, start + 1))
             yield batch.slice(start, stop - start), data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
             start = stop
 
