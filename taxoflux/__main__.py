@@ -1,5 +1,5 @@
 """python -m taxoflux COMMAND FILE [ARG...]: profile, classify, materialize, explain, query, instances,
-consistent, entail, subproperties, property-values over a document in OWL functional syntax."""
+consistent, entail, subproperties, property-values over a document in functional syntax, OWL/XML, RDF/XML, Turtle or N-Triples."""
 from __future__ import annotations
 
 import argparse
@@ -19,10 +19,10 @@ def answer(r: Reasoner, command: str, args: list[str]):
         return {"profile": route.profile, "engine": route.engine, "violations": route.violations}
     if command == "classify":
         t = r.classify()
-        return {"subsumptions": rows(t.direct), "equivalent": rows(t.equivalent), "unsatisfiable": [x for (x,) in rows(t.unsatisfiable)]}
+        return {"complete": t.complete, "subsumptions": rows(t.direct), "equivalent": rows(t.equivalent), "unsatisfiable": [x for (x,) in rows(t.unsatisfiable)]}
     if command == "materialize":
         done = r.materialize()
-        return {"counts": done.counts, "rounds": done.rounds, "types": rows(done.relations["type"]), "facts": rows(done.relations["opa"])}
+        return {"counts": done.counts, "rounds": done.rounds, "types": rows(r._types()), "facts": rows(done.expanded("opa"))}
     if command == "consistent":
         return dict(zip(("consistent", "complete", "reason"), r.consistency()))
     if command == "explain":
@@ -38,12 +38,12 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("command", choices=COMMANDS)
     parser.add_argument("file")
     parser.add_argument("args", nargs="*")
+    parser.add_argument("--lenient", action="store_true", help="skip what cannot be read")
     given = parser.parse_args(argv)
     if len(given.args) != COMMANDS[given.command]:
         parser.error(f"{given.command} takes {COMMANDS[given.command]} arguments")
     spark = SparkSession.builder.appName("taxoflux").getOrCreate()
-    with open(given.file, encoding="utf-8") as f:
-        r = Reasoner.of_text(spark, f.read())
+    r = Reasoner.load(spark, given.file, lenient=given.lenient)
     print(json.dumps(answer(r, given.command, given.args), indent=1, ensure_ascii=False))
 
 

@@ -95,6 +95,58 @@ def equal(a: Column, a_type: Column, b: Column, b_type: Column) -> Column:
     )
 
 
+def canonical(lexical: Column, datatype: Column) -> Column:
+    """One string for each value, so that equal literals compare equal as strings.  Numbers and instants are told by value,
+    all else by lexical form and datatype; numbers beyond 38 digits by lexical form."""
+    kind = F.regexp_replace(datatype, "^xsd:", "")
+    num = number(lexical)
+    zoned = lexical.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$")
+    return (
+        F.when(kind.isin(*INTEGERS, "decimal") & num.isNotNull(), F.concat(F.lit("number "), num.cast("string")))
+        .when(kind.isin("float", "double"), F.concat(kind, F.lit(" "), F.coalesce(lexical.try_cast("double").cast("string"), lexical)))
+        .when(kind == "boolean", F.concat(F.lit("boolean "), F.when(lexical.isin("true", "1"), "true").otherwise("false")))
+        .when(kind.startswith("dateTime") & zoned, F.concat(F.lit("instant "), F.coalesce(F.unix_micros(lexical.try_cast("timestamp")).cast("string"), lexical)))
+        .when(kind.isin("string", "PlainLiteral") | (datatype == "rdf:PlainLiteral"), F.concat(F.lit("string "), lexical))
+        .otherwise(F.concat(kind, F.lit(" "), lexical))
+    )
+
+
+#: Datatypes whose value spaces in_value_space knows.
+KNOWN = (*INTEGERS, "decimal", "float", "double", "boolean", "dateTime", "dateTimeStamp", "hexBinary", "base64Binary", *STRINGS)
+
+
+def in_space_of(lexical: Column, kind: Column) -> Column:
+    """in_value_space for a datatype that is a column (without xsd:); null for datatypes that are not known.  Bounds are looked up, so
+    the expression stays small."""
+    value = lexical.try_cast("decimal(38,0)")
+
+    def bound(i):
+        known = [(k, v[i]) for k, v in INTEGERS.items() if v[i] is not None]
+        return F.try_element_at(F.create_map(*[F.lit(x) for k, v in known for x in (k, str(v))]), kind).cast("decimal(38,0)")
+
+    low, high = bound(0), bound(1)
+    whole = lexical.rlike(INTEGER) & F.coalesce(value >= low, low.isNull()) & F.coalesce(value <= high, high.isNull())
+    out = F.when(kind.isin(*INTEGERS), whole)
+    for name in ("decimal", "double", "boolean", "dateTime", "dateTimeStamp", "hexBinary", "base64Binary"):
+        out = out.when(kind.isin("float", "double") if name == "double" else kind == name, in_value_space(lexical, name))
+    return out.when(kind.isin(*STRINGS), F.lit(True))
+
+
+def ill_typed(lexical: Column, datatype: Column) -> Column:
+    """Whether a literal's lexical form denotes no value of its own datatype; unknown datatypes take any."""
+    return F.coalesce(~in_space_of(lexical, F.regexp_replace(datatype, "^xsd:", "")), F.lit(False))
+
+
+def value_in(lexical: Column, datatype: Column, wanted: Column) -> Column:
+    """Whether a literal's value is one of the datatype ``wanted``.  Numbers, floats, strings and the rest have disjoint value spaces;
+    an unknown datatype may be anything."""
+    own, want = F.regexp_replace(datatype, "^(xsd|rdf):", ""), F.regexp_replace(wanted, "^(xsd|rdf):", "")
+    family = lambda k: F.when(k.isin(*INTEGERS, "decimal"), "number").when(k.isin(*STRINGS), "string").when(k.startswith("dateTime"), "instant").otherwise(k)
+    plain = F.when(want.isin(*INTEGERS), F.regexp_replace(lexical, r"\.0*$", "")).otherwise(lexical)
+    known = own.isin(*KNOWN) & want.isin(*KNOWN)
+    return F.when(known, (family(own) == family(want)) & F.coalesce(in_space_of(plain, want), F.lit(True))).otherwise(True)
+
+
 @dataclass(frozen=True)
 class Range:
     """A data range: a datatype cut down by facets, or a combination of ranges.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoflux.operators.rl import SCHEMA
+from taxoflux.plans.scratch import is_empty, nothing
 
 c = F.col
 # Caps on what one document may hold, and the schemes an IRI may have.
@@ -48,7 +49,7 @@ class Ontology:
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Ontology:
-        return cls(spark, {r: spark.createDataFrame([], ddl(r)) for r in SCHEMA}, spark.createDataFrame([], "iri string, kind string"))
+        return cls(spark, {r: nothing(spark, ddl(r)) for r in SCHEMA}, nothing(spark, "iri string, kind string"))
 
     @classmethod
     def of_rows(cls, spark: SparkSession, rows: dict[str, list[tuple]], entities: list[tuple[str, str]] = ()) -> Ontology:
@@ -57,7 +58,7 @@ class Ontology:
             raise OntologyError("too many axioms")
         if len(entities) > LIMITS["entities"]:
             raise OntologyError("too many entities")
-        relations = {r: spark.createDataFrame(normalized(r, rows.get(r, [])), ddl(r)) for r in SCHEMA}
+        relations = {r: spark.createDataFrame(normalized(r, rows[r]), ddl(r)) if rows.get(r) else nothing(spark, ddl(r)) for r in SCHEMA}
         return cls(spark, relations, spark.createDataFrame(sorted(set(entities)), "iri string, kind string"))
 
     def replace(self, **relations: DataFrame) -> Ontology:
@@ -123,16 +124,32 @@ class Ontology:
             allowed = allowed | (c("roles") == F.array(*[F.lit(x) for x in sorted(p)]))
         return sets.where(~allowed)
 
-    def construct_names(self) -> set[str]:
-        """Constructs in use, for profile detection."""
-        names = {
-            "equiv_class": "EquivalentClasses", "disjoint": "DisjointClasses", "sub_class": "SubClassOf", "exists_super": "SubClassOfExistential", "defined_by_some": "SomeValuesFrom", "only": "AllValuesFrom",
-            "value": "HasValue", "conjunction": "SubClassOfIntersection", "chain": "PropertyChain", "type": "ClassAssertion", "opa": "ObjectPropertyAssertion", "dpa": "DataPropertyAssertion",
-            "same": "IndividualEquality", "different": "IndividualEquality", "inverse": "Inverse", "equiv_prop": "EquivalentObjectProperties",
-        }
-        found = {v for k, v in names.items() if not self.relations[k].isEmpty()}
-        kinds = self.relations["prop_char"].select("kind").distinct().collect()  # at most seven
-        return found | {"".join(w.capitalize() for w in r["kind"].split("_")) for r in kinds}
+    def samples(self) -> list[tuple]:
+        """An axiom for each kind of axiom in use, for profile detection."""
+        from taxoflux.operators.profile import SAMPLES
+        from taxoflux.sources.normal import CHARACTERISTICS
+
+        found = [SAMPLES[k] for k in SAMPLES if not is_empty(self.relations[k])]
+        if not is_empty(self.relations["prop_char"]):
+            kinds = {r["kind"] for r in self.relations["prop_char"].select("kind").distinct().collect()}  # at most seven
+            found += [(name, "p") for name, kind in CHARACTERISTICS.items() if kind in kinds and name != "FunctionalDataProperty"]
+        return found
+
+    def axioms(self, limit: int) -> list[tuple] | None:
+        """All rows as axioms of the functional syntax, or None if there are more than ``limit``; for tests on one machine."""
+        out = []
+        for name in SCHEMA:
+            if is_empty(self.relations[name]):
+                continue
+            rows = self.relations[name].select(*SCHEMA[name]).limit(limit + 1 - len(out)).collect()
+            if len(out) + len(rows) > limit:
+                return None
+            out += [axiom_of(name, tuple(r)) for r in rows]
+        return out
+
+    def told(self) -> set[str]:
+        """The relations that hold rows."""
+        return {k for k, v in self.relations.items() if not is_empty(v)}
 
     # ---- snapshots ------------------------------------------------------------------------------
     def to_json(self) -> str:
@@ -188,9 +205,19 @@ class Ontology:
         add(r["different"], "a", "owl:differentFrom", "b")
         return out.distinct()
 
+    @staticmethod
+    def structural(triples: DataFrame) -> DataFrame:
+        """The triples that of_triples does not read: restrictions, lists, chains, keys and the like.  A document
+        that has any is read whole by sources.documents."""
+        read = ["rdfs:subClassOf", "rdfs:subPropertyOf", "rdfs:domain", "rdfs:range", "owl:inverseOf", "owl:disjointWith", "owl:sameAs", "owl:differentFrom", "owl:equivalentClass", "owl:equivalentProperty", "owl:imports", "rdfs:label", "rdfs:comment", "rdfs:seeAlso", "rdfs:isDefinedBy", "owl:versionInfo", "rdf:type"]
+        special = c("p").startswith("owl:") | c("p").startswith("rdf:") | c("p").startswith("rdfs:")
+        blank = c("p").isin("rdfs:subClassOf", "owl:equivalentClass", "rdfs:domain", "rdfs:range", "owl:disjointWith") & (c("s").startswith("_:") | c("o").startswith("_:"))
+        return triples.where(special & ~c("p").isin(read) | blank | c("o").isin("owl:Restriction", "owl:AllDifferent", "owl:AllDisjointClasses", "owl:AllDisjointProperties", "owl:NegativePropertyAssertion"))
+
     @classmethod
     def of_triples(cls, spark: SparkSession, triples: DataFrame) -> Ontology:
-        """The reverse, distributed: each relation is a filter of the triples."""
+        """The reverse, distributed: each relation is a filter of the triples.  Triples that describe class expressions or are
+        axioms of several parts have no such filter: see structural()."""
         o = cls.empty(spark)
         named = {"rdfs:subClassOf": ("sub_class", "sub", "sup"), "rdfs:subPropertyOf": ("sub_prop", "sub", "sup"), "rdfs:domain": ("domain", "p", "c"), "rdfs:range": ("range", "p", "c"), "owl:inverseOf": ("inverse", "p", "q"), "owl:disjointWith": ("disjoint", "a", "b"), "owl:sameAs": ("same", "a", "b"), "owl:differentFrom": ("different", "a", "b")}
         known = {k: triples.where(c("p") == k).select(c("s").alias(a), c("o").alias(b)).distinct() for k, (_, a, b) in named.items()}
@@ -200,6 +227,8 @@ class Ontology:
         typed = triples.where("p = 'rdf:type'")
         pick = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])[c("o")]
         out = {name[0]: known[k] for k, name in named.items()}
+        for k, relation in (("owl:equivalentClass", "equiv_class"), ("owl:equivalentProperty", "equiv_prop")):
+            out[relation] = triples.where(c("p") == k).select(F.concat_ws(" = ", "s", "o").alias("axiom_id"), F.array("s", "o").alias("members")).distinct()
         out["prop_char"] = typed.where(c("o").isin(*chars)).select(c("s").alias("p"), pick(chars).alias("kind")).distinct()
         out["type"] = typed.where(~c("o").isin(*schema_classes)).select(c("s").alias("ind"), c("o").alias("cls")).distinct()
         rest = triples.where(~c("p").isin(*named, "rdf:type") & ~c("p").startswith("rdfs:") & ~c("p").startswith("owl:") & ~c("p").startswith("rdf:"))
@@ -209,19 +238,45 @@ class Ontology:
         return cls(spark, o.relations | out, entities, 1)
 
 
+def axiom_of(relation: str, r: tuple) -> tuple:
+    """A row of a relation as an axiom of the functional syntax."""
+    from taxoflux.sources.normal import CHARACTERISTICS
+
+    some = lambda p, x: ("ObjectSomeValuesFrom", p, x)
+    if relation == "prop_char":
+        return next((name, r[0]) for name, kind in CHARACTERISTICS.items() if kind == r[1])
+    if relation in ("equiv_class", "equiv_prop"):
+        return ("EquivalentClasses" if relation == "equiv_class" else "EquivalentObjectProperties", *r[1])
+    if relation in ("dpa", "neg_dpa"):
+        return ("DataPropertyAssertion" if relation == "dpa" else "NegativeDataPropertyAssertion", r[1], r[0], ("literal", *r[2:]))
+    if relation in ("opa", "neg_opa"):
+        return ("ObjectPropertyAssertion" if relation == "opa" else "NegativeObjectPropertyAssertion", r[1], r[0], r[2])
+    parts = {
+        "sub_class": lambda: ("SubClassOf", *r), "disjoint": lambda: ("DisjointClasses", *r), "sub_prop": lambda: ("SubObjectPropertyOf", *r), "sub_data": lambda: ("SubDataPropertyOf", *r),
+        "disjoint_prop": lambda: ("DisjointObjectProperties", *r), "domain": lambda: ("ObjectPropertyDomain", *r), "range": lambda: ("ObjectPropertyRange", *r), "data_domain": lambda: ("DataPropertyDomain", *r),
+        "data_range": lambda: ("DataPropertyRange", *r), "inverse": lambda: ("InverseObjectProperties", *r), "exists_super": lambda: ("SubClassOf", r[0], some(*r[1:])), "defined_by_some": lambda: ("SubClassOf", some(*r[1:]), r[0]),
+        "only": lambda: ("SubClassOf", r[0], ("ObjectAllValuesFrom", *r[1:])), "value": lambda: ("SubClassOf", r[0], ("ObjectHasValue", *r[1:])), "defined_by_value": lambda: ("SubClassOf", ("ObjectHasValue", *r[1:]), r[0]),
+        "at_most": lambda: ("SubClassOf", r[0], ("ObjectMaxCardinality", int(r[2]), r[1], r[3])), "key": lambda: ("HasKey", r[0], ("list", *r[1]), ("list",)), "conjunction": lambda: ("SubClassOf", ("ObjectIntersectionOf", *r[:2]), r[2]),
+        "chain": lambda: ("SubObjectPropertyOf", ("ObjectPropertyChain", *r[:2]), r[2]), "type": lambda: ("ClassAssertion", r[1], r[0]), "neg_type": lambda: ("ClassAssertion", ("ObjectComplementOf", r[1]), r[0]),
+        "same": lambda: ("SameIndividual", *r), "different": lambda: ("DifferentIndividuals", *r),
+    }
+    return parts[relation]()
+
+
 def normalized(relation: str, rows: list[tuple]) -> list[tuple]:
     """Rows in canonical form: symmetric pairs ordered, operand sets sorted, repeats gone."""
-    out = []
+    out, seen = [], set()
     for r in rows:
-        if relation in ("disjoint", "same", "different") and r[0] > r[1]:
+        if relation in ("disjoint", "same", "different", "disjoint_prop") and r[0] > r[1]:
             r = (r[1], r[0])
-        if relation in ("equiv_class", "equiv_prop"):
+        if relation in ("equiv_class", "equiv_prop", "key"):
             if len(r[1]) > LIMITS["operands"]:
                 raise OntologyError("too many operands")
             r = (r[0], sorted(set(r[1])))
         if relation in ("dpa", "neg_dpa") and len(r[2].encode()) > LIMITS["literal_bytes"]:
             raise OntologyError("literal too long")
-        if r not in out[-1:]:
+        if repr(r) not in seen:
+            seen.add(repr(r))
             out.append(tuple(r))
     return out
 

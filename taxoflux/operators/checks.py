@@ -72,14 +72,10 @@ def only_against_some(types: DataFrame, some: DataFrame, only: DataFrame, disjoi
     return need.join(both, "a").join(must, ["ind", "p", "b"]).select("ind", "p").distinct()
 
 
-def bottom_chain(links: DataFrame) -> DataFrame:
-    """Witnesses of a chain below the bottom property: every pair it links."""
-    return links.select("s", "o").distinct()
-
-
-def disjoint_data_values(dpa: DataFrame, disjoint: DataFrame) -> DataFrame:
-    one = dpa.join(disjoint, dpa["p"] == disjoint["a"]).select("s", "lexical", "datatype", c("a").alias("p"), c("b").alias("q"))
-    return one.join(dpa.select("s", "lexical", "datatype", c("p").alias("q")), ["s", "lexical", "datatype", "q"]).select("s", "p", "q").distinct()
+def disjoint_data_values(dpa: DataFrame, disjoint: DataFrame, value: str = "lexical") -> DataFrame:
+    """(s, p, q) that share a value though the properties are disjoint; ``value`` names the column that tells values apart."""
+    one = dpa.join(disjoint, dpa["p"] == disjoint["a"]).select("s", value, c("a").alias("p"), c("b").alias("q"))
+    return one.join(dpa.select("s", value, c("p").alias("q")), ["s", value, "q"]).select("s", "p", "q").distinct()
 
 
 def cardinality_subsumption(definitions: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from taxoflux.operators.graphs import mutual, reduction
 from taxoflux.plans.fixpoint import Rule, fixpoint
-from taxoflux.plans.scratch import Scratch
+from taxoflux.plans.scratch import Scratch, nothing
 
 THING, NOTHING = "owl:Thing", "owl:Nothing"
 c = F.col
@@ -41,6 +41,10 @@ class Taxonomy:
     unsatisfiable: DataFrame
     edges: DataFrame | None = None
     trace: dict[str, DataFrame] | None = None
+    #: whether nothing else holds, as far as the caller knows
+    complete: bool = False
+    #: (cls): all classes looked at
+    names: DataFrame | None = None
 
 
 def extract(closed: DataFrame, unsat: DataFrame) -> Taxonomy:
@@ -57,7 +61,8 @@ def classify(rel: dict[str, DataFrame], scratch: Scratch, trace: bool = False, m
     work = {}
     for name, columns in shapes.items():
         columns = columns.split(", ")
-        work[name] = rel[name].select(*columns) if name in rel else spark.createDataFrame([], ", ".join(f"{x} string" for x in columns))
+        given = rel.get(name)
+        work[name] = given.select(*columns) if given is not None and not getattr(given, "_known_empty", False) else nothing(spark, ", ".join(f"{x} string" for x in columns))
     names = None
     for name, columns in (("told", ("sub", "sup")), ("conj", ("left", "right", "sup")), ("some", ("cls", "filler")), ("some_lhs", ("filler", "sup")), ("domain", ("c",)), ("disjoint", ("a", "b"))):
         for x in columns:
@@ -70,5 +75,5 @@ def classify(rel: dict[str, DataFrame], scratch: Scratch, trace: bool = False, m
     closed = scratch.save(done.relations["sub"].select(c("x").alias("sub"), c("y").alias("sup")))
     unsat = closed.where(c("sup") == NOTHING).select(c("sub").alias("cls")).where(c("cls") != NOTHING).distinct()
     out = extract(closed, unsat)
-    out.edges, out.trace = done.relations["edge"], done.trace
+    out.edges, out.trace, out.names = done.relations["edge"], done.trace, names.select(c("x").alias("cls"))
     return out

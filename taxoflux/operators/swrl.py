@@ -69,8 +69,46 @@ def compile_rule(name: str, text: str) -> Rule:
     body, arrow, head = text.partition("->")
     if not arrow:
         raise RuleError("a rule needs ->")
-    atoms = [parse_atom(a) for a in body.split("&")]
-    goal = parse_atom(head)
+    return build(name, [parse_atom(a) for a in body.split("&")], parse_atom(head))
+
+
+# Built-in comparisons and the operators they stand for.
+BUILTINS = {"equal": "=", "notEqual": "!=", "lessThan": "<", "lessThanOrEqual": "<=", "greaterThan": ">", "greaterThanOrEqual": ">="}
+MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+
+
+def rules_of_axiom(axiom: tuple, name: str, normal) -> list[Rule]:
+    """A DLSafeRule of the functional syntax, one rule for each atom of its head.  Class expressions in atoms get names by ``normal``
+    (sources.normal.Normal), which notes their meaning."""
+
+    def term(x) -> str:
+        return "?" + re.sub(r"\W", "_", x[1]) if isinstance(x, tuple) and x[0] == "Variable" else x[1] if isinstance(x, tuple) else x
+
+    def atom(x, body: bool):
+        op, args = x[0], x[1:]
+        if op == "ClassAtom":
+            return Term("type", ("ind", "cls"), (term(args[1]), normal.upper(args[0]) if body else normal.lower(args[0])))
+        if op == "ObjectPropertyAtom":
+            return Term("opa", ("s", "p", "o"), (term(args[1]), normal.role(args[0]), term(args[2])))
+        if op == "DataPropertyAtom":
+            if not body:
+                raise RuleError("data values in heads are not built")
+            return Term("dpa", ("s", "p", "lexical"), (term(args[1]), args[0], term(args[2])))
+        if op in ("SameIndividualAtom", "DifferentIndividualsAtom"):
+            return Term("same" if op[0] == "S" else "different", ("a", "b"), tuple(map(term, args)))
+        if op == "BuiltInAtom" and (sign := BUILTINS.get(re.split("[#:]", args[0])[-1])) and len(args) == 3:
+            left, right = map(term, args[1:])
+            if right.startswith("?"):
+                left, right, sign = right, left, MIRRORED.get(sign, sign)
+            return left[1:], sign, float(right)
+        raise RuleError(f"{op} is not built")
+
+    body, head = axiom[1:]
+    atoms = [atom(x, True) for x in body[1:]]
+    return [build(f"{name}.{i}", atoms, atom(x, False)) for i, x in enumerate(head[1:])]
+
+
+def build(name: str, atoms: list, goal: Term) -> Rule:
     terms = [a for a in atoms if isinstance(a, Term)]
     tests = [a for a in atoms if not isinstance(a, Term)]
     bound = {x[1:] for t in terms for x in t.args if x.startswith("?")}

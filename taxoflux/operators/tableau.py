@@ -1,10 +1,12 @@
-"""Satisfiability in a description logic with inverse and transitive roles, role hierarchies and qualified
-number restrictions (SHIQ), by tableau; and its distribution as independent tests.
-
-Concepts are tuples in negation normal form: ("top",), ("bottom",), ("name", A), ("not", A),
-("and", ...), ("or", ...), ("some", R, C), ("all", R, C), ("min", n, R, C), ("max", n, R, C).  A role is a
-name, or ("inv", name).  Constructs outside (nominals, keys, data ranges) make an answer "incomplete"
-where they could matter, as do the limits on time and nodes.
+"""Satisfiability in a description logic with inverse and transitive roles, role hierarchies, acyclic role chains, disjoint
+roles, self restrictions, nominals and qualified number restrictions, by tableau; and its distribution as
+independent tests.
+
+Concepts are tuples in negation normal form: ("top",), ("bottom",), ("name", A), ("not", A), ("one", i), ("notone", i),
+("and", ...), ("or", ...), ("some", R, C), ("all", R, C), ("self", R), ("noself", R), ("min", n, R, C), ("max", n, R, C).  A
+role is a name, or ("inv", name).  Constructs outside (keys, data ranges, cyclic chains, nominals together
+with inverses and number restrictions) make an answer "incomplete" where they could matter, as do the
+limits on time and nodes.
 """
 from __future__ import annotations
 
@@ -16,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 TOP, BOTTOM = ("top",), ("bottom",)
+OPPOSITE = {"one": "notone", "notone": "one", "self": "noself", "noself": "self"}
 
 
 class Incomplete(Exception):
@@ -33,6 +36,8 @@ def nnf(c, negate: bool = False):
         return nnf(c[1], not negate)
     if op == "not":
         return ("name", c[1]) if negate else c
+    if op in OPPOSITE:
+        return (OPPOSITE[op], c[1]) if negate else c
     if op in ("top", "bottom"):
         return c if not negate else BOTTOM if op == "top" else TOP
     if op == "name":
@@ -59,6 +64,9 @@ class Knowledge:
     general: list = field(default_factory=list)
     supers: dict = field(default_factory=dict)
     transitive: set = field(default_factory=set)
+    #: pairs of roles that share no pair, and (steps, role) chains, inverses included
+    apart: list = field(default_factory=list)
+    chains: list = field(default_factory=list)
 
     def above(self, r) -> frozenset:
         return self.supers.get(r, frozenset((r,)))
@@ -129,6 +137,8 @@ class Tableau:
         def root(i):
             if i not in names:
                 names[i] = g.node()
+                if i is not None:
+                    g.labels[names[i]].add(("one", i))
             return names[i]
 
         if concepts:
@@ -140,6 +150,8 @@ class Tableau:
             self._link(g, root(s), r, root(o))
         for a, b in different:
             g.apart.add(frozenset((root(a), root(b))))
+        for i in sorted(_ones([*self.k.general, *(c for v in self.k.unfold.values() for c in v), *(c for x in g.labels for c in x)])):
+            root(i)
         if not g.labels:
             root(None)
         branches = [g]
@@ -193,10 +205,34 @@ class Tableau:
                             label.add(m)
                             todo.append(m)
                             changed = True
-                if BOTTOM in label or any(c[0] == "not" and ("name", c[1]) in label for c in label):
+                if BOTTOM in label or any(c[0] == "not" and ("name", c[1]) in label or c[0] == "notone" and ("one", c[1]) in label for c in label):
                     return []
+                loops = {t for s in g.edges.get((x, x), ()) for t in k.above(s)}
+                for c in [c for c in label if c[0] in ("self", "noself") and (c[0] == "self") != (c[1] in loops)]:
+                    if c[0] == "noself":
+                        return []
+                    self._link(g, x, c[1], x)
+                    changed = True
+            if k.apart:
+                for roles in g.edges.values():
+                    held = {t for s in roles for t in k.above(s)}
+                    if any(r in held and s in held for r, s in k.apart):
+                        return []
+            owner: dict = {}
+            for x in [i for i in range(len(g.labels)) if g.alive[i]]:
+                for c in g.labels[x]:
+                    if c[0] == "one" and owner.setdefault(c[1], x) != x:
+                        return [self._merged(g, owner[c[1]], x)]
             for x in [i for i in range(len(g.labels)) if g.alive[i]]:
                 for c in [c for c in g.labels[x] if c[0] == "all"]:
+                    for steps, over in k.chains:
+                        if c[1] in k.above(over):
+                            inner = c[2]
+                            for r in reversed(steps):
+                                inner = ("all", r, inner)
+                            if inner not in g.labels[x]:
+                                g.labels[x].add(inner)
+                                changed = True
                     for y in list(self._neighbours(g, x, c[1])):
                         if c[2] not in g.labels[y]:
                             g.labels[y].add(c[2])
@@ -266,7 +302,7 @@ class Tableau:
         for (x, y), roles in list(g.edges.items()):
             if x == b and g.alive[y] and g.parent[y] != b:
                 for r in roles:
-                    self._link(g, a, r, y)
+                    self._link(g, a, r, a if y == b else y)
         gone = [b]
         while gone:
             z = gone.pop()
@@ -279,6 +315,19 @@ class Tableau:
         return g
 
 
+def _ones(concepts) -> set:
+    """Individuals that concepts name."""
+    out: set = set()
+    for c in concepts:
+        if c[0] in ("one", "notone"):
+            out.add(c[1])
+        elif c[0] in ("and", "or"):
+            out |= _ones(c[1:])
+        elif c[0] in ("some", "all", "min", "max"):
+            out |= _ones(c[-1:])
+    return out
+
+
 # ---- from axioms of the functional syntax ---------------------------------------------------------
 def concept(x):
     """A class expression of the functional syntax as a concept."""
@@ -291,6 +340,12 @@ def concept(x):
         return ("and" if op == "ObjectIntersectionOf" else "or", *(concept(a) for a in args))
     if op in ("ObjectSomeValuesFrom", "ObjectAllValuesFrom"):
         return ("some" if op == "ObjectSomeValuesFrom" else "all", role(args[0]), concept(args[1]))
+    if op == "ObjectOneOf":
+        return ("one", args[0]) if len(args) == 1 else ("or", *(("one", a) for a in args))
+    if op == "ObjectHasValue":
+        return ("some", role(args[0]), ("one", args[1]))
+    if op == "ObjectHasSelf":
+        return ("self", role(args[0]))
     if op in ("ObjectMinCardinality", "ObjectMaxCardinality", "ObjectExactCardinality"):
         n, r, filler = args[0], role(args[1]), concept(args[2]) if len(args) > 2 else TOP
         least, most = ("min", n, r, filler), ("max", n, r, filler)
@@ -299,13 +354,17 @@ def concept(x):
 
 
 def role(r):
-    return ("inv", r[1]) if isinstance(r, tuple) and r[0] == "ObjectInverseOf" else r
+    return inverse(role(r[1])) if isinstance(r, tuple) and r[0] == "ObjectInverseOf" else r
+
+
+#: Axioms about data values; they are decided by joins (rl.clashes) as long as no class is defined by data.
+DATA = ("DataPropertyAssertion", "NegativeDataPropertyAssertion", "SubDataPropertyOf", "EquivalentDataProperties", "DisjointDataProperties", "FunctionalDataProperty", "DataPropertyDomain", "DataPropertyRange")
 
 
 def from_axioms(axioms: Iterable[tuple]) -> tuple[Knowledge, dict[str, list], list[str]]:
     """(knowledge, {"types", "facts", "different"}, constructs left out) of functional-syntax axioms."""
     axioms = list(axioms)
-    subs, roles, trans, inverses, left = [], [], [], [], []
+    subs, roles, trans, inverses, left, apart, chains = [], [], [], [], [], [], []
     box: dict[str, list] = {"types": [], "facts": [], "different": []}
     for axiom in axioms:
         op, args = axiom[0], axiom[1:]
@@ -320,7 +379,7 @@ def from_axioms(axioms: Iterable[tuple]) -> tuple[Knowledge, dict[str, list], li
                 if op == "DisjointUnion":
                     whole, c = c[0], c[1:]
                     subs += [(whole, ("or", *c)), *((x, whole) for x in c)]
-                subs += [(a, ("not", b) if b[0] != "not" else nnf(b, True)) for i, a in enumerate(c) for b in c[i + 1 :]]
+                subs += [(a, ("not", b)) for i, a in enumerate(c) for b in c[i + 1 :]]
             elif op == "ObjectPropertyDomain":
                 subs.append((("some", role(args[0]), TOP), concept(args[1])))
             elif op == "ObjectPropertyRange":
@@ -328,7 +387,13 @@ def from_axioms(axioms: Iterable[tuple]) -> tuple[Knowledge, dict[str, list], li
             elif op in ("FunctionalObjectProperty", "InverseFunctionalObjectProperty"):
                 r = role(args[0])
                 subs.append((TOP, ("max", 1, r if op[0] == "F" else inverse(r), TOP)))
-            elif op == "SubObjectPropertyOf" and not (isinstance(args[0], tuple) and args[0][0] == "ObjectPropertyChain"):
+            elif op == "SubObjectPropertyOf" and isinstance(args[0], tuple) and args[0][0] == "ObjectPropertyChain":
+                steps, over = tuple(role(r) for r in args[0][1:]), role(args[1])
+                if steps == (over, over):
+                    trans.append(over if isinstance(over, str) else over[1])
+                else:
+                    chains += [(steps, over), (tuple(inverse(r) for r in reversed(steps)), inverse(over))]
+            elif op == "SubObjectPropertyOf":
                 roles.append((role(args[0]), role(args[1])))
             elif op == "EquivalentObjectProperties":
                 roles += [(role(args[i]), role(args[(i + 1) % len(args)])) for i in range(len(args))]
@@ -337,20 +402,58 @@ def from_axioms(axioms: Iterable[tuple]) -> tuple[Knowledge, dict[str, list], li
             elif op == "SymmetricObjectProperty":
                 roles.append((role(args[0]), inverse(role(args[0]))))
             elif op == "TransitiveObjectProperty":
-                trans.append(args[0] if isinstance(args[0], str) else args[0][1])
+                r = role(args[0])
+                trans.append(r if isinstance(r, str) else r[1])
+            elif op == "DisjointObjectProperties":
+                apart += [(role(a), role(b)) for i, a in enumerate(args) for b in args[i + 1 :]]
+            elif op == "AsymmetricObjectProperty":
+                apart.append((role(args[0]), inverse(role(args[0]))))
+            elif op in ("ReflexiveObjectProperty", "IrreflexiveObjectProperty"):
+                subs.append((TOP, ("self" if op[0] == "R" else "noself", role(args[0]))))
             elif op == "ClassAssertion":
                 box["types"].append((args[1], concept(args[0])))
             elif op == "ObjectPropertyAssertion":
                 box["facts"].append((args[1], role(args[0]), args[2]))
+            elif op == "NegativeObjectPropertyAssertion":
+                box["types"].append((args[1], ("all", role(args[0]), ("notone", args[2]))))
+            elif op == "SameIndividual":
+                box["types"] += [(args[0], ("one", b)) for b in args[1:]]
             elif op == "DifferentIndividuals":
                 box["different"] += [(a, b) for i, a in enumerate(args) for b in args[i + 1 :]]
-            else:
+            elif op not in DATA:
                 left.append(op)
         except Incomplete:
             left.append(op)
-    if not any("Data" in repr(a) for a in axioms if a[0] != "DataPropertyAssertion"):
-        left = [x for x in left if x != "DataPropertyAssertion"]  # values that nothing restricts
-    return knowledge(subs, roles, trans, inverses), box, sorted(set(left))
+    if _cyclic(chains, roles + [(p, inverse(q)) for p, q in inverses]):
+        left.append("ObjectPropertyChain")
+        chains = []
+    text = repr(axioms)
+    if any(x in text for x in ("ObjectOneOf", "ObjectHasValue")) and ("Inverse" in text or "Symmetric" in text) and ("Cardinality" in text or "Functional" in text):
+        left.append("nominals with inverses and number restrictions")
+    k = knowledge(subs, roles, trans, inverses)
+    k.apart, k.chains = apart, chains
+    return k, box, sorted(set(left))
+
+
+def _cyclic(chains, edges) -> bool:
+    """Whether a chain's step lies above the role that the chain makes (then propagation along chains would not end)."""
+    up: dict = {}
+    for a, b in edges:
+        up.setdefault(a, set()).add(b)
+        up.setdefault(inverse(a), set()).add(inverse(b))
+    for steps, over in chains:
+        for r in steps:
+            up.setdefault(r, set()).add(over)
+    for steps, over in chains:
+        seen, todo = set(), [over]
+        while todo:
+            for b in up.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        if seen & set(steps):
+            return True
+    return False
 
 
 def test(k: Knowledge, concepts: list, box: dict | None = None, seconds: float = 10.0, partial: bool = False) -> str:
@@ -392,7 +495,8 @@ def classify(spark: SparkSession, classes: DataFrame, k: Knowledge, seconds: flo
 
 def consistent_components(spark: SparkSession, assertions: DataFrame, k: Knowledge, seconds: float = 10.0) -> DataFrame:
     """(component, kind, s, p, o) assertions -> (component, status): each connected part of the ABox is tested
-    on its own.  kind: type (o is a class), fact, different."""
+    on its own.  kind: type (o is a class), fact, different.  A part is one task and held whole: one that
+    passes the limits on nodes and time is incomplete, never guessed."""
     sent = spark.sparkContext.broadcast(k)
 
     def run(key, frame):

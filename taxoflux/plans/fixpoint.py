@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxoflux.plans.scratch import Scratch
+from taxoflux.plans.scratch import Scratch, is_empty
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ def fixpoint(relations: dict[str, DataFrame], rules: list[Rule], scratch: Scratc
     full = dict(relations)
     # a rule over an empty relation that nothing derives can't fire: its joins need no plan
     fixed = {n for r in rules for n in r.inputs} - heads - set(delta or ())
-    empty = {n for n in sorted(fixed) if relations[n].isEmpty()}
+    empty = {n for n in sorted(fixed) if is_empty(relations[n])}
     every = [r.name for r in rules]
     rules = [r for r in rules if empty.isdisjoint(r.inputs)]
     fresh = {}

@@ -1,17 +1,21 @@
 """Written intermediates in the cluster's shared folder: they cut lineage and survive lost executors."""
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a fresh local one is set."""
+    """The folder that spark.checkpoint.dir names; where it is unset and all runs on one machine (tests), a fresh local one is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="taxoflux-checkpoint-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -26,6 +30,15 @@ class Scratch:
         self.count = 0
         self.paths: dict[int, str] = {}
         self.tables: list[DataFrame] = []
+        atexit.register(self._leave)
+
+    def _leave(self) -> None:
+        """What results read has to stay until the driver ends; then the folder goes, if the session still stands."""
+        try:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended before; nothing is left to tell
+            pass
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -46,8 +59,20 @@ class Scratch:
     def release(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
         gc.collect()
+        time.sleep(0.2)  # references to the JVM's objects are let go by a thread of their own
         self.spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def nothing(spark: SparkSession, schema: str) -> DataFrame:
+    """A table that is known to be empty, so that no job is run to find out."""
+    out = spark.createDataFrame([], schema)
+    out._known_empty = True
+    return out
+
+
+def is_empty(df: DataFrame) -> bool:
+    return getattr(df, "_known_empty", False) or df.isEmpty()

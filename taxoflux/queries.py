@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoflux.functions import datatypes as dt
+from taxoflux.ontology import Ontology, ddl
 from taxoflux.operators import checks, el, graphs, incremental, profile, query, rl, swrl
 from taxoflux.operators import explain as explaining
 from taxoflux.plans.fixpoint import fixpoint
 from taxoflux.plans.scratch import Scratch, table
+from taxoflux.reasoner import Reasoner
 from taxoflux.sources import tables as src
 from taxoflux.streaming import abox
 
@@ -97,9 +99,7 @@ def rl_type_subclass(spark, d):
 
 @register(f"WITH RECURSIVE {LINES}, {PROPS}, {UP} SELECT s, p, o FROM opa UNION SELECT x.s, u.sup AS p, x.o FROM opa x JOIN up u ON x.p = u.sub")
 def rl_prop_sub(spark, d):
-    up = graphs.closure(props(spark, d), Scratch(spark))
-    opa = src.line_relations(spark, d)
-    return opa.unionByName(opa.join(up, opa["p"] == up["sub"]).select("s", c("sup").alias("p"), "o")).distinct()
+    return run_rules(spark, {"prop_sub"}, opa=src.line_relations(spark, d), sub_prop=graphs.closure(props(spark, d), Scratch(spark)))["opa"]
 
 
 @register("SELECT 'order/' || o_orderkey AS s, 'placedBy' AS p, 'customer/' || o_custkey AS o FROM orders UNION SELECT 'customer/' || o_custkey, 'placed', 'order/' || o_orderkey FROM orders")
@@ -119,10 +119,11 @@ def rl_prop_transitive(spark, d):
     return run_rules(spark, {"prop_transitive"}, opa=located, transitive=src.constants(spark, [("locatedIn",)], "p string"))["opa"]
 
 
-@register("SELECT 'supplier/' || s_suppkey AS s, 'knows' AS p, 'supplier/' || s_suppkey AS o FROM supplier")
+@register("SELECT 'supplier/' || s_suppkey AS s, 'knows' AS p, 'supplier/' || s_suppkey AS o FROM supplier UNION SELECT 'nation/' || s_nationkey, 'knows', 'nation/' || s_nationkey FROM supplier")
 def rl_prop_reflexive(spark, d):
-    people = table(spark, d, "supplier").select(src.ident("supplier", "s_suppkey").alias("x"))
-    return people.select(c("x").alias("s"), F.explode(F.array(F.lit("knows"))).alias("p"), c("x").alias("o"))
+    """A reflexive property links every individual that any fact names with itself."""
+    o = Ontology.empty(spark).with_rows("prop_char", [("knows", "reflexive")]).replace(opa=src.locations(spark, d).where(c("s").startswith("supplier/")))
+    return rl.materialize(o.relations, Scratch(spark)).relations["opa"].where("p = 'knows'")
 
 
 @register("WITH RECURSIVE e AS (SELECT conv_id AS conv, turn AS s, turn + 1 AS o FROM conversations a WHERE EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1)), t AS (SELECT conv, s, o FROM e UNION SELECT t.conv, t.s, e.o FROM t JOIN e ON t.conv = e.conv AND t.o = e.s) SELECT conv, s, o FROM t")
@@ -172,27 +173,31 @@ def rl_haskey_merge(spark, d):
 
 
 # ---- clashes --------------------------------------------------------------------------------------
-@register(f"WITH {TEXTS}, q AS (SELECT t.rep, l.quality FROM texts t JOIN labels l ON t.doc = l.doc_id) SELECT rep AS ind FROM q GROUP BY rep HAVING count(DISTINCT quality) > 1")
+def found(spark, kind, **relations):
+    """(a, b) clashes of one kind, of relations materialised together."""
+    o = Ontology.empty(spark)
+    given = {k: v if isinstance(v, DataFrame) else spark.createDataFrame(v, ddl(k)) for k, v in relations.items()}
+    o = o.replace(**given)
+    done = rl.materialize(o.relations, Scratch(spark))
+    return rl.clashes(done.relations, done.representatives, o.relations["disjoint"]).where(c("kind") == kind).select("a", "b")
+
+
+@register("SELECT 'order/' || o_orderkey AS a, 'Cheap|Finished' AS b FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 100000")
 def rl_clash_disjoint(spark, d):
-    """Equal documents typed by two disjoint quality classes."""
-    scratch = Scratch(spark)
-    reps = scratch.save(graphs.components(copies(spark, d), scratch))
-    docs = src.texts(spark, d).select(c("doc").alias("doc_id"))
-    types = table(spark, d, "labels").where("quality is not null").join(docs, "doc_id", "left_semi").select(c("doc_id").alias("ind"), F.concat(F.lit("Quality"), c("quality").cast("string")).alias("cls"))
-    types = rl.to_representatives(types, reps, ["ind"])
-    pairs = src.constants(spark, [("Quality0", "Quality1")], "a string, b string")
-    one = types.join(pairs, types["cls"] == pairs["a"]).select("ind", c("b").alias("cls"))
-    return one.join(types, ["ind", "cls"]).select("ind").distinct()
+    """Orders of a status below a class that is disjoint with cheap ones."""
+    cheap = table(spark, d, "orders").where("o_totalprice < 100000").select(src.ident("order", "o_orderkey").alias("ind"), F.lit("Cheap").alias("cls"))
+    return found(spark, "disjoint_classes", type=src.order_types(spark, d).unionByName(cheap), sub_class=[("Order_F", "Finished")], disjoint=[("Cheap", "Finished")])
 
 
-@register(f"WITH {TEXTS} SELECT DISTINCT rep AS a, doc AS b FROM texts WHERE doc <> rep AND source IS DISTINCT FROM (SELECT x.source FROM texts x WHERE x.doc = texts.rep LIMIT 1)")
+@register(f"WITH {TEXTS} SELECT DISTINCT rep::VARCHAR AS a, doc::VARCHAR AS b FROM texts WHERE doc <> rep AND source IS DISTINCT FROM (SELECT x.source FROM texts x WHERE x.doc = texts.rep LIMIT 1)")
 def rl_clash_same_different(spark, d):
     """Documents of different sources are said to differ, yet equal texts make them the same."""
     t = src.texts(spark, d)
     pairs = copies(spark, d)
     a = t.select(c("doc").alias("a"), c("source").alias("source_a"))
     b = t.select(c("doc").alias("b"), c("source").alias("source_b"))
-    return pairs.join(a, "a").join(b, "b").where(~c("source_a").eqNullSafe(c("source_b"))).select("a", "b").distinct()
+    different = pairs.join(a, "a").join(b, "b").where(~c("source_a").eqNullSafe(c("source_b"))).select(c("a").cast("string"), c("b").cast("string")).distinct()
+    return found(spark, "same_different", same=pairs.select(c("a").cast("string"), c("b").cast("string")), different=different)
 
 
 @register("SELECT DISTINCT n_nationkey::BIGINT AS s, 'near' AS p FROM nation WHERE (n_nationkey * 3 + 2) % 25 = n_nationkey")
@@ -229,8 +234,9 @@ def check_functional_data(spark, d):
 
 @register("SELECT count(*) = 0 AS consistent, true AS complete, max(kind) AS reason FROM (SELECT 'irreflexive' AS kind FROM nation WHERE (n_nationkey * 3 + 2) % 25 = n_nationkey)")
 def consistency_verdict(spark, d):
-    loops = checks.self_loops(src.neighbours(spark, d, 3, 2), src.constants(spark, [("near",)], "p string"))
-    return query.verdict(loops.select(F.lit("irreflexive").alias("kind")))
+    near = src.neighbours(spark, d, 3, 2).select(c("s").cast("string"), "p", c("o").cast("string"))
+    r = Reasoner(Ontology.empty(spark).with_rows("prop_char", [("near", "irreflexive")]).replace(opa=near))
+    return spark.createDataFrame([r.consistency()], "consistent boolean, complete boolean, reason string")
 
 
 # ---- EL classification ----------------------------------------------------------------------------
@@ -386,10 +392,10 @@ def datatype_value_space(spark, d):
 
 
 # ---- profile, modules, explanation, increments, roll-up, streams -----------------------------------
-@register(f"WITH k AS (SELECT 'SubClassOf' AS construct, count(*)::BIGINT AS n FROM (SELECT p_brand, p_type FROM part GROUP BY ALL) UNION ALL SELECT 'ClassAssertion', count(*)::BIGINT FROM orders UNION ALL SELECT 'ObjectPropertyAssertion', count(*)::BIGINT FROM orders) SELECT construct, n, construct IN ('ClassAssertion', 'ObjectPropertyAssertion') AS outside_el FROM k")
+@register(f"WITH k AS (SELECT 'SubClassOf' AS construct, count(*)::BIGINT AS n FROM (SELECT p_brand, p_type FROM part GROUP BY ALL) UNION ALL SELECT 'ClassAssertion', count(*)::BIGINT FROM orders UNION ALL SELECT 'InverseObjectProperties', count(*)::BIGINT FROM orders) SELECT construct, n, construct = 'InverseObjectProperties' AS outside_el FROM k")
 def profile_constructs(spark, d):
     pairs = table(spark, d, "part").select("p_brand", "p_type").distinct()
-    return profile.constructs({"SubClassOf": pairs, "ClassAssertion": src.order_types(spark, d), "ObjectPropertyAssertion": src.placements(spark, d)})
+    return profile.constructs({"SubClassOf": pairs, "ClassAssertion": src.order_types(spark, d), "InverseObjectProperties": src.placements(spark, d)})
 
 
 @register("SELECT n_nationkey::BIGINT AS node, (n_nationkey % 5)::BIGINT AS rep FROM nation")
@@ -432,10 +438,11 @@ def stream_types(spark, d):
 @register("SELECT DISTINCT 'customer/' || c_custkey AS ind, 'Located' AS cls FROM customer UNION SELECT 'supplier/' || s_suppkey, 'Located' FROM supplier UNION SELECT 'nation/' || n_nationkey, 'Located' FROM nation UNION SELECT DISTINCT 'region/' || n_regionkey, 'Region' FROM nation UNION SELECT DISTINCT 'nation/' || c_nationkey, 'Place' FROM customer UNION SELECT DISTINCT 'nation/' || s_nationkey, 'Place' FROM supplier UNION SELECT DISTINCT 'region/' || n_regionkey, 'Place' FROM nation")
 def rl_materialize(spark, d):
     """All rules together over places: domains, ranges, subproperties and subclasses."""
-    from taxoflux.ontology import Ontology
-
     o = Ontology.empty(spark)
     o = o.with_rows("sub_prop", [("inNation", "locatedIn"), ("inRegion", "locatedIn")])
     o = o.with_rows("domain", [("locatedIn", "Located")]).with_rows("range", [("inRegion", "Region")]).with_rows("sub_class", [("Region", "Place")]).with_rows("range", [("locatedIn", "Place")])
     o = o.replace(opa=src.locations(spark, d))
     return rl.materialize(o.relations, Scratch(spark)).relations["type"].distinct()
+
+
+from taxoflux import queries_reasoner  # noqa: E402, F401  registers what goes through the reasoner and the readers

@@ -1,7 +1,6 @@
-"""OWL functional syntax: a tokenizer, a reader of axioms, and their mapping to relations.
+"""OWL functional syntax: a tokenizer and a reader of axioms.
 
-Class expressions are nested tuples (op, ...), names are strings; what a relation can hold goes to a
-relation, all else stays in ``Document.axioms`` for the tableau.
+Class expressions are nested tuples (op, ...), names are strings, a list in parentheses is ("list", ...).
 """
 from __future__ import annotations
 
@@ -9,12 +8,12 @@ import re
 from dataclasses import dataclass, field
 
 from taxoflux.ontology import Ontology, OntologyError, check_iri
+from taxoflux.sources import normal
 
 TOKEN = re.compile(r'\s+|#[^\n]*|(?P<p>[()=])|(?P<iri><[^<>\s]*>)|(?P<lit>"(?:[^"\\]|\\.)*")|(?P<at>\^\^|@[A-Za-z0-9-]+)|(?P<word>[^\s()=<>"^]+)')
 # Well-known prefixes.
 PREFIXES = {"owl": "http://www.w3.org/2002/07/owl#", "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": "http://www.w3.org/2001/XMLSchema#"}
 KINDS = {"Class": "class", "ObjectProperty": "object_property", "DataProperty": "data_property", "NamedIndividual": "individual", "Datatype": "datatype", "AnnotationProperty": "annotation_property"}
-CHARACTERISTICS = {"TransitiveObjectProperty": "transitive", "SymmetricObjectProperty": "symmetric", "AsymmetricObjectProperty": "asymmetric", "ReflexiveObjectProperty": "reflexive", "IrreflexiveObjectProperty": "irreflexive", "FunctionalObjectProperty": "functional", "InverseFunctionalObjectProperty": "inverse_functional", "FunctionalDataProperty": "functional"}
 MAX_DEPTH = 500
 
 
@@ -26,6 +25,7 @@ class Document:
     entities: list[tuple[str, str]] = field(default_factory=list)
     imports: list[str] = field(default_factory=list)
     skipped: list[str] = field(default_factory=list)
+    iri: str = ""
 
 
 class _Reader:
@@ -73,6 +73,12 @@ class _Reader:
         if depth > MAX_DEPTH:
             raise OntologyError("nested too deeply")
         kind, text = self.next()
+        if text == "(" and kind == "p":
+            args = []
+            while self.peek()[1] != ")":
+                args.append(self.term(depth + 1))
+            self.next(")")
+            return ("list", *args)
         if kind == "lit":
             value = re.sub(r"\\(.)", r"\1", text[1:-1])
             if self.peek()[0] == "at":
@@ -91,8 +97,20 @@ class _Reader:
         return self.name(text)
 
 
+    def skip(self, start: int) -> str:
+        """Goes on after the axiom that began at ``start``, whose parentheses need not match those read so far."""
+        self.at, depth = start, 0
+        while self.peek()[0] != "end":
+            mark = self.next()[1]
+            depth += (mark == "(") - (mark == ")")
+            if mark == ")" and depth <= 0:
+                break
+        return " ".join(text for _, text in self.tokens[start : self.at])[:200]
+
+
 def parse(text: str, lenient: bool = False) -> Document:
-    """Reads a document.  Lenient reading notes what it can't map instead of failing."""
+    """Reads a document.  Lenient reading notes the axioms that it can't read and goes on after each; letters that are
+    no token are an error in both modes."""
     r, doc = _Reader(text), Document()
     while r.peek()[1] == "Prefix":
         r.next(), r.next("(")
@@ -103,85 +121,51 @@ def parse(text: str, lenient: bool = False) -> Document:
     if r.peek()[1] == "Ontology":
         r.next(), r.next("(")
         while r.peek()[0] == "iri":
+            doc.iri = doc.iri or r.peek()[1][1:-1]
             r.next()
     while r.peek()[0] == "word":
+        start = r.at
         try:
             axiom = r.term()
-        except OntologyError as e:
+            if not isinstance(axiom, tuple):
+                raise OntologyError(f"not an axiom: {axiom!r}")
+            axiom = (axiom[0], *(a for a in axiom[1:] if not (isinstance(a, tuple) and a[0] == "Annotation")))
+            _take(doc, axiom)
+        except (OntologyError, KeyError, IndexError, TypeError) as e:
             if not lenient:
-                raise
-            doc.skipped.append(str(e))
-            break
-        axiom = (axiom[0], *(a for a in axiom[1:] if not (isinstance(a, tuple) and a[0] == "Annotation")))
-        if axiom[0] == "Declaration":
-            doc.entities.append((axiom[1][1], KINDS[axiom[1][0]]))
-        elif axiom[0] == "Import":
-            doc.imports.append(axiom[1])
-        elif not axiom[0].startswith("Annotation"):
-            doc.axioms.append(axiom)
+                raise e if isinstance(e, OntologyError) else OntologyError(f"cannot read an axiom: {e}") from e
+            doc.skipped.append(f"{e}: {r.skip(start)}")
     return doc
 
 
-def _some(x):
-    return x if isinstance(x, tuple) and x[0] == "ObjectSomeValuesFrom" and all(isinstance(y, str) for y in x[1:]) else None
+def _take(doc: Document, axiom: tuple) -> None:
+    if axiom[0] == "Declaration":
+        doc.entities.append((axiom[1][1], KINDS[axiom[1][0]]))
+    elif axiom[0] == "Import":
+        doc.imports.append(axiom[1])
+    elif axiom[0] in AXIOMS:
+        few, many = AXIOMS[axiom[0]]
+        if not few <= len(axiom) - 1 <= many:
+            raise OntologyError(f"{axiom[0]} takes other operands")
+        doc.axioms.append(axiom)
+    elif not axiom[0].startswith("Annotation") and axiom[0] not in ("SubAnnotationPropertyOf", "AnnotationPropertyDomain", "AnnotationPropertyRange"):
+        raise OntologyError(f"no such axiom: {axiom[0]}")
+
+
+MANY = 1 << 30
+# The axioms of OWL 2 and how many operands they take.
+AXIOMS = {
+    "SubClassOf": (2, 2), "EquivalentClasses": (2, MANY), "DisjointClasses": (2, MANY), "DisjointUnion": (3, MANY), "SubObjectPropertyOf": (2, 2), "EquivalentObjectProperties": (2, MANY), "DisjointObjectProperties": (2, MANY),
+    "InverseObjectProperties": (2, 2), "ObjectPropertyDomain": (2, 2), "ObjectPropertyRange": (2, 2), "FunctionalObjectProperty": (1, 1), "InverseFunctionalObjectProperty": (1, 1), "ReflexiveObjectProperty": (1, 1),
+    "IrreflexiveObjectProperty": (1, 1), "SymmetricObjectProperty": (1, 1), "AsymmetricObjectProperty": (1, 1), "TransitiveObjectProperty": (1, 1), "SubDataPropertyOf": (2, 2), "EquivalentDataProperties": (2, MANY),
+    "DisjointDataProperties": (2, MANY), "DataPropertyDomain": (2, 2), "DataPropertyRange": (2, 2), "FunctionalDataProperty": (1, 1), "DatatypeDefinition": (2, 2), "HasKey": (3, 3), "SameIndividual": (2, MANY),
+    "DifferentIndividuals": (2, MANY), "ClassAssertion": (2, 2), "ObjectPropertyAssertion": (3, 3), "NegativeObjectPropertyAssertion": (3, 3), "DataPropertyAssertion": (3, 3), "NegativeDataPropertyAssertion": (3, 3), "DLSafeRule": (2, 2),
+}
 
 
 def relations(doc: Document) -> tuple[dict[str, list[tuple]], list[tuple]]:
-    """(rows per relation, axioms that no relation holds)"""
-    rows: dict[str, list[tuple]] = {}
-    rest = []
-    add = lambda name, *r: rows.setdefault(name, []).append(r)
-    plain = lambda *xs: all(isinstance(x, str) for x in xs)
-    for n, axiom in enumerate(doc.axioms):
-        op, args = axiom[0], axiom[1:]
-        if op == "SubClassOf" and plain(*args):
-            add("sub_class", *args)
-        elif op == "SubClassOf" and isinstance(args[0], str) and _some(args[1]):
-            add("exists_super", args[0], *args[1][1:])
-        elif op == "SubClassOf" and _some(args[0]) and isinstance(args[1], str):
-            add("defined_by_some", args[1], *args[0][1:])
-        elif op == "SubClassOf" and isinstance(args[0], str) and isinstance(args[1], tuple) and args[1][0] in ("ObjectAllValuesFrom", "ObjectHasValue") and plain(*args[1][1:]):
-            add("only" if args[1][0] == "ObjectAllValuesFrom" else "value", args[0], *args[1][1:])
-        elif op == "SubClassOf" and isinstance(args[0], tuple) and args[0][0] == "ObjectIntersectionOf" and len(args[0]) == 3 and plain(*args[0][1:], args[1]):
-            add("conjunction", *args[0][1:], args[1])
-        elif op == "EquivalentClasses" and plain(*args):
-            add("equiv_class", f"e{n}", list(args))
-        elif op == "EquivalentClasses" and len(args) == 2 and isinstance(args[0], str) and _some(args[1]):
-            add("exists_super", args[0], *args[1][1:])
-            add("defined_by_some", args[0], *args[1][1:])
-        elif op == "DisjointClasses" and plain(*args):
-            for i, a in enumerate(args):
-                for b in args[i + 1 :]:
-                    add("disjoint", a, b)
-        elif op == "SubObjectPropertyOf" and plain(*args):
-            add("sub_prop", *args)
-        elif op == "SubObjectPropertyOf" and isinstance(args[0], tuple) and args[0][0] == "ObjectPropertyChain" and len(args[0]) == 3 and plain(*args[0][1:]):
-            add("chain", *args[0][1:], args[1])
-        elif op == "EquivalentObjectProperties" and plain(*args):
-            add("equiv_prop", f"e{n}", list(args))
-        elif op == "InverseObjectProperties" and plain(*args):
-            add("inverse", *args)
-        elif op in ("ObjectPropertyDomain", "ObjectPropertyRange") and plain(*args):
-            add("domain" if op.endswith("Domain") else "range", *args)
-        elif op in CHARACTERISTICS and plain(*args):
-            add("prop_char", args[0], CHARACTERISTICS[op])
-        elif op == "ClassAssertion" and plain(*args):
-            add("type", args[1], args[0])
-        elif op in ("ObjectPropertyAssertion", "NegativeObjectPropertyAssertion") and plain(*args):
-            add("opa" if op[0] == "O" else "neg_opa", args[1], args[0], args[2])
-        elif op in ("DataPropertyAssertion", "NegativeDataPropertyAssertion"):
-            add("dpa" if op[0] == "D" else "neg_dpa", args[1], args[0], args[2][1], args[2][2])
-        elif op in ("SameIndividual", "DifferentIndividuals") and plain(*args):
-            if op == "SameIndividual":
-                for b in args[1:]:
-                    add("same", args[0], b)
-            else:
-                for i, a in enumerate(args):
-                    for b in args[i + 1 :]:
-                        add("different", a, b)
-        else:
-            rest.append(axiom)
-    return rows, rest
+    """(rows per relation, axioms that relations don't hold in full)"""
+    return normal.relations(doc.axioms)
 
 
 def load(spark, text: str, lenient: bool = False) -> tuple[Ontology, list[tuple]]:

@@ -24,9 +24,22 @@ def short(column):
     return x
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o, o_is_literal, datatype): one row a line, split and parsed by Spark alone."""
-    lines = spark.read.text(path).where(c("value").rlike(LINE))
+BLANK = r"^\s*(#.*)?$"
+
+
+def malformed(spark: SparkSession, path: str) -> DataFrame:
+    """(value) lines that are no triples, comments or blank."""
+    return spark.read.text(path).where(~c("value").rlike(LINE) & ~c("value").rlike(BLANK))
+
+
+def read_ntriples(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
+    """(s, p, o, o_is_literal, datatype): one row a line, split and parsed by Spark alone.  A malformed line is an
+    error when it is read; lenient reading leaves it out (see malformed)."""
+    lines = spark.read.text(path).where(~c("value").rlike(BLANK))
+    if lenient:
+        lines = lines.where(c("value").rlike(LINE))
+    else:
+        lines = lines.where(F.when(c("value").rlike(LINE), True).otherwise(F.raise_error(F.concat(F.lit("no triple: "), "value")).cast("boolean")))
     part = lambda i: F.regexp_extract("value", LINE, i)
     literal = part(3) == ""
     kind = F.when(part(6) != "", F.lit("rdf:langString")).when(part(5) != "", short(part(5))).otherwise("xsd:string")
@@ -161,14 +174,33 @@ def parse_turtle(text: str) -> list[tuple]:
     return out
 
 
-def parse_rdfxml(text: str) -> list[tuple]:
-    """Triples of an RDF/XML text: typed nodes, property attributes, nesting, collections, literals."""
+def parse_ntriples(text: str) -> tuple[list[tuple], list[str]]:
+    """(triples, malformed lines) of a text."""
+    out, bad = [], []
+    name = lambda x: next((f"{p}:{x[len(b) :]}" for p, b in PREFIXES.items() if x.startswith(b)), x)
+    for line in text.splitlines():
+        if m := re.match(LINE, line):
+            s, p, o, value, datatype, lang = m.groups()
+            literal = o is None
+            kind = ("rdf:langString" if lang else name(datatype) if datatype else "xsd:string") if literal else None
+            out.append((name(s.strip("<>")), name(p), value if literal else name(o.strip("<>")), literal, kind))
+        elif not re.match(BLANK, line):
+            bad.append(line)
+    return out, bad
+
+
+def without_entities(text: str) -> str:
+    """XML with its internal entities put in and its document type gone."""
     if re.search(r"<!ENTITY\s+%", text) or text.count("<!ENTITY") > 1000:
         raise OntologyError("entities are not allowed")
     for entity, value in re.findall(r"<!ENTITY\s+(\S+)\s+\"([^\"]*)\"\s*>", text):
         text = text.replace(f"&{entity};", value)
-    text = re.sub(r"<!DOCTYPE[^\[>]*(\[.*?\])?\s*>", "", text, count=1, flags=re.S)
-    root = ET.fromstring(text)
+    return re.sub(r"<!DOCTYPE[^\[>]*(\[.*?\])?\s*>", "", text, count=1, flags=re.S)
+
+
+def parse_rdfxml(text: str) -> list[tuple]:
+    """Triples of an RDF/XML text: typed nodes, property attributes, nesting, collections, literals."""
+    root = ET.fromstring(without_entities(text))
     rdf, xml = PREFIXES["rdf"], "http://www.w3.org/XML/1998/namespace"
     base = root.get(f"{{{xml}}}base", "")
     out, fresh = [], [0]
@@ -232,7 +264,7 @@ def parse_rdfxml(text: str) -> list[tuple]:
 SCHEMA = "s string, p string, o string, o_is_literal boolean, datatype string"
 
 
-def read_document(spark: SparkSession, path: str, base: str | None = None, imports: bool = True, _seen: frozenset = frozenset()) -> DataFrame:
+def read_document(spark: SparkSession, path: str, base: str | None = None, imports: bool = True, lenient: bool = False, _seen: frozenset = frozenset()) -> DataFrame:
     """Triples of one local file and of the local files it imports.  Remote imports are never fetched;
     with ``base``, files outside that directory are refused, and links are not followed."""
     real = os.path.realpath(path)
@@ -245,7 +277,7 @@ def read_document(spark: SparkSession, path: str, base: str | None = None, impor
     text = raw.decode("utf-8", "replace")
     kind = detect(text, path)
     if kind == "ntriples":
-        return read_ntriples(spark, path)
+        return read_ntriples(spark, path, lenient)
     if kind not in ("turtle", "rdfxml"):
         raise OntologyError(f"{kind} holds no triples")
     rows = parse_turtle(text) if kind == "turtle" else parse_rdfxml(text)
@@ -254,5 +286,5 @@ def read_document(spark: SparkSession, path: str, base: str | None = None, impor
         for _, _, target, _, _ in [r for r in rows if r[1] == "owl:imports"]:
             local = os.path.join(os.path.dirname(real), os.path.basename(target.removeprefix("file://")))
             if os.path.exists(local) and os.path.realpath(local) not in _seen | {real}:
-                out = out.unionByName(read_document(spark, local, base, True, _seen | {real})).distinct()
+                out = out.unionByName(read_document(spark, local, base, True, lenient, _seen | {real})).distinct()
     return out

@@ -34,14 +34,18 @@ def stream_event_types(spark: SparkSession, sf_dir: str, scratch: Scratch) -> Da
     """The events table as a stream of type assertions, with the classes above."""
     static = table(spark, sf_dir, "events")
     hierarchy = scratch.save(closure(static.select(F.concat(F.lit("Event_"), c("event_type")).alias("sub"), F.lit("Event").alias("sup")).distinct(), scratch))
-    # a directory of files is the source; the table may be one file, so its parent is read by name
-    source = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet" if not _is_dir(spark, f"{sf_dir}/events.parquet") else "*.parquet")
-    rows = source.parquet(f"{sf_dir}/events.parquet" if _is_dir(spark, f"{sf_dir}/events.parquet") else sf_dir)
-    assertions = rows.select(F.concat(F.lit("event/"), c("event_id").cast("string")).alias("ind"), F.concat(F.lit("Event_"), c("event_type")).alias("cls"))
+    assertions = event_stream(spark, sf_dir).select(F.concat(F.lit("event/"), c("event_id").cast("string")).alias("ind"), F.concat(F.lit("Event_"), c("event_type")).alias("cls"))
     scratch.count += 1
     return run_to_end(infer_types(assertions, hierarchy), f"{scratch.root}/stream-{scratch.count}").distinct()
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream.  A directory of files is the source; the table may be one file, so its parent is read by name."""
+    many = _is_dir(spark, f"{sf_dir}/events.parquet")
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet" if many else "events.parquet")
+    return source.parquet(f"{sf_dir}/events.parquet" if many else sf_dir)
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

@@ -151,10 +151,16 @@ def test_checks(spark):
 
 
 def test_profiles():
-    assert profile.detect({"SubClassOf"}) == "QL"
-    assert profile.detect({"SubClassOf", "SubClassOfExistential"}) == "EL"
-    assert profile.detect({"SubClassOf", "Transitive", "ClassAssertion"}) == "RL"
-    assert profile.detect({"UnionOf"}) == "DL" and profile.route({"UnionOf"}, modules=2).engine == "hybrid"
+    some = ("ObjectSomeValuesFrom", "r", "B")
+    assert profile.profiles([("SubClassOf", "A", "B"), ("ClassAssertion", "A", "i"), ("ObjectPropertyAssertion", "r", "i", "j")]) == ["EL", "QL", "RL"]
+    assert profile.profiles([("SubClassOf", "A", ("ObjectIntersectionOf", "B", some))]) == ["EL", "QL"]
+    assert profile.profiles([("SubClassOf", "A", ("ObjectSomeValuesFrom", "r", ("ObjectIntersectionOf", "B", "C")))]) == ["EL"]
+    assert profile.profiles([("SubClassOf", ("ObjectUnionOf", "A", some), ("ObjectAllValuesFrom", ("ObjectInverseOf", "r"), "C"))]) == ["RL"]
+    assert profile.violations([("SubClassOf", "A", ("ObjectUnionOf", "B", "C")), ("FunctionalObjectProperty", "r")]) == {
+        "EL": ["FunctionalObjectProperty", "SubClassOf:ObjectUnionOf"], "QL": ["FunctionalObjectProperty", "SubClassOf:ObjectUnionOf"], "RL": ["SubClassOf:ObjectUnionOf"],
+    }
+    assert profile.route([("SubClassOf", "A", some)]).engine == "el" and profile.route([("InverseObjectProperties", "r", "s")]).engine == "rl"
+    assert profile.route([("DisjointUnion", "A", "B", "C")], modules=2).engine == "hybrid" and profile.route([], rules=True).engine == "swrl"
 
 
 def test_modules(spark, scratch):
