@@ -85,7 +85,7 @@ class _Reader:
                 mark = self.next()[1]
                 return ("literal", value, self.name(self.next()[1])) if mark == "^^" else ("literal", value, "rdf:langString", mark[1:])
             return ("literal", value, "xsd:string")
-        if kind == "word" and self.peek()[1] == "(":
+        if kind == "word" and ":" not in text and self.peek()[1] == "(":
             self.next("(")
             args = []
             while self.peek()[1] != ")":
