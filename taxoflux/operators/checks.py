@@ -12,8 +12,9 @@ def max_cardinality(opa: DataFrame, limits: DataFrame, different: DataFrame | No
 
     With ``different`` (no unique names), a subject counts if more than ``most`` of its successors are
     told apart from ``most`` others each; without, distinct ids are distinct things."""
-    rows = opa.join(limits, "p").select("s", "p", "o", "most").distinct()
+    rows = opa.join(limits, "p").select("s", "p", "o", "most")
     if different is not None:
+        rows = rows.distinct()
         both = different.select("a", "b").unionByName(different.select(c("b").alias("a"), c("a").alias("b"))).distinct()
         apart = rows.select("s", "p", c("o").alias("a")).join(both, "a").join(rows.select("s", "p", c("o").alias("b"), "most"), ["s", "p", "b"])
         rows = apart.groupBy("s", "p", c("a").alias("o"), "most").agg(F.count_distinct("b").alias("k")).where("k >= most").drop("k")

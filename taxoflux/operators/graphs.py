@@ -1,8 +1,10 @@
 """Closure, components, reduction and paths over edge tables."""
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from taxoflux.plans.fixpoint import Diverged
 from taxoflux.plans.scratch import Scratch
@@ -14,7 +16,13 @@ def closure(edges: DataFrame, scratch: Scratch, a: str = "sub", b: str = "sup",
     Each round joins the newest paths with all paths, so a chain of n edges takes log2(n) rounds; cycles
     end as all else does, when a round adds nothing."""
     keys = [*by, a, b]
-    full = scratch.save(edges.select(*keys).distinct())
+    edges = edges.select(*keys)
+    if (few := scratch.hold(edges)) is not None:
+        pairs = closed_pairs(few._held.to_pylist() if getattr(few, "_held", None) is not None else [], keys, reflexive)
+        if len(pairs) <= MOST_PAIRS:
+            return scratch.constant(pa.Table.from_pylist([dict(zip(keys, r)) for r in sorted(pairs, key=repr)], _arrow_schema(edges)), edges)
+        edges = few
+    full = scratch.save(edges.distinct())
     fresh = full
     for _ in range(max_rounds):
         left = full.select(*by, F.col(a).alias(a), F.col(b).alias("__m"))
@@ -35,9 +43,56 @@ def closure(edges: DataFrame, scratch: Scratch, a: str = "sub", b: str = "sup",
     return full
 
 
+#: Pairs that the closure of held edges may have and still be held.
+MOST_PAIRS = 100_000
+
+
+def _arrow_schema(df: DataFrame) -> pa.Schema:
+    return to_arrow_schema(df.schema)
+
+
+def closed_pairs(rows: list[dict], keys: list[str], reflexive: bool = False) -> set[tuple]:
+    """The closure of few edges, by a search from each node; given up beyond MOST_PAIRS pairs (the result is then too large
+    by one at least)."""
+    after: dict[tuple, set] = {}
+    for r in rows:
+        *by, x, y = (r[k] for k in keys)
+        if x is not None and y is not None:
+            after.setdefault((*by, x), set()).add(y)
+    out: set[tuple] = set()
+    for start, first in after.items():
+        seen, todo = set(first), list(first)
+        while todo:
+            for y in after.get((*start[:-1], todo.pop()), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        out.update((*start, y) for y in seen)
+        if reflexive:
+            out.add((*start, start[-1]))
+            out.update((*start[:-1], y, y) for y in seen)
+        if len(out) > MOST_PAIRS:
+            break
+    return out
+
+
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, rep): the smallest node of each connected component, by alternating large and small stars."""
-    e = scratch.save(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    if (few := scratch.hold(e)) is not None:
+        root: dict = {}
+
+        def find(n):
+            while root.setdefault(n, n) != n:
+                root[n] = n = root[root[n]]
+            return n
+
+        for r in getattr(few, "_held", None).to_pylist() if getattr(few, "_held", None) is not None else []:
+            x, y = find(r["u"]), find(r["v"])
+            root[max(x, y)] = min(x, y)
+        out = e.select(F.col("u").alias("node"), F.col("v").alias("rep"))
+        return scratch.constant(pa.Table.from_pylist([{"node": n, "rep": find(n)} for n in sorted(root)], _arrow_schema(out)), out)
+    e = scratch.save(e.distinct())
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -1,4 +1,9 @@
-"""Written intermediates in the cluster's shared folder: they cut lineage and survive lost executors."""
+"""Intermediates: written ones in the cluster's shared folder, which cut lineage and survive lost executors, and held ones.
+
+A relation of at most SMALL rows (a hierarchy, a round's few new facts) is held by the driver and goes into later plans as a
+constant: no file, no scan, and joins with it need no shuffle.  How many rows there are is looked up first, with a limit;
+a larger relation is never collected.
+"""
 from __future__ import annotations
 
 import atexit
@@ -7,8 +12,11 @@ import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL = 10_000  # rows that the driver may hold of a relation
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset and all runs on one machine (tests), a fresh local one is set."""
@@ -49,17 +57,34 @@ class Scratch:
         self.tables.append(out)  # keeps its id from being given to another
         return out
 
+    def hold(self, df: DataFrame, most: int = SMALL) -> DataFrame | None:
+        """The rows, each once, as a constant; None if there are more than ``most``."""
+        if getattr(df, "_held", None) is not None or getattr(df, "_known_empty", False):
+            return df
+        rows = df.limit(most + 1).toArrow()
+        return None if rows.num_rows > most else self.constant(rows, df)
+
+    def constant(self, rows: pa.Table, like: DataFrame) -> DataFrame:
+        if not any(pa.types.is_nested(t) for t in rows.schema.types):
+            rows = rows.group_by(rows.column_names).aggregate([])
+        out = self.spark.createDataFrame(rows, like.schema) if rows.num_rows else self.spark.createDataFrame([], like.schema)
+        out._held, out._known_empty = rows, rows.num_rows == 0
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
+            if id(table) not in self.paths:  # held, not written
+                continue
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
             path.getFileSystem(conf).delete(path, True)
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
         gc.collect()
-        time.sleep(0.2)  # references to the JVM's objects are let go by a thread of their own
+        self.spark.range(1).collect()  # Spark holds on to its last job
+        time.sleep(0.3)  # references to the JVM's objects are let go by a thread of their own
         self.spark.sparkContext._jvm.System.gc()
 
 

@@ -62,9 +62,10 @@ def order_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s, p, o): parts and suppliers of orders, with repeats; what reads them makes rows distinct where it has to."""
     lines = table(spark, sf_dir, "lineitem")
     order = ident("order", "l_orderkey").alias("s")
-    return lines.select(order, F.lit("hasPart").alias("p"), ident("part", "l_partkey").alias("o")).unionByName(lines.select(order, F.lit("suppliedBy").alias("p"), ident("supplier", "l_suppkey").alias("o"))).distinct()
+    return lines.select(order, F.lit("hasPart").alias("p"), ident("part", "l_partkey").alias("o")).unionByName(lines.select(order, F.lit("suppliedBy").alias("p"), ident("supplier", "l_suppkey").alias("o")))
 
 
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
