@@ -91,25 +91,27 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, least: int
     return np.where(seen >= least, np.log(total[1] / total[-1]), 0.0)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, seed: int = 6, least: int = 1) -> tuple[np.ndarray, float, float, np.ndarray]:
-    """(weights with the log-count ratios multiplied in and the bias last, Platt's a and b, the ratios)."""
+def fit(rows: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, seed: int = 6, least: int = 1, sure: np.ndarray | None = None) -> tuple[np.ndarray, float, float, np.ndarray]:
+    """(weights with the log-count ratios multiplied in and the bias last, Platt's a and b, the ratios).  ``sure``: how much
+    each row's label counts, 0 to 1."""
+    sure = np.ones(len(rows)) if sure is None else sure
     apart = np.arange(len(rows)) % 4 == 3
     if len(set(y[~apart].tolist())) < 2:
         return np.zeros(size + 1), 1.0, 0.0, np.ones(size)
     part = [r for r, a in zip(rows, apart) if not a]
 
-    def model(part, label):
+    def model(part, label, sure):
         ratio = log_count_ratio(part, label, size, least)
         share = (label > 0).mean()
-        each = np.where(label > 0, 0.5 / share, 0.5 / (1 - share)) * cost
+        each = np.where(label > 0, 0.5 / share, 0.5 / (1 - share)) * cost * sure
         return ratio, hinge_by_dual_descent(part, ratio, label, each, seed=seed)
 
     def margins(ratio, w, part):
         return np.array([w[r] @ ratio[r] / max(1e-12, np.sqrt(ratio[r] @ ratio[r])) + w[-1] for r in part])
 
-    ratio, w = model(part, y[~apart])
+    ratio, w = model(part, y[~apart], sure[~apart])
     a, b = platt(margins(ratio, w, [r for r, x in zip(rows, apart) if x]), y[apart])
-    ratio, w = model(rows, y)
+    ratio, w = model(rows, y, sure)
     return np.append(w[:-1] * ratio, w[-1]), a, b, ratio
 
 

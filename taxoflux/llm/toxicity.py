@@ -6,8 +6,9 @@
 3. A generative label model with a latent label is fitted to these counts by expectation-maximisation:
    each voter's rates given the label, and the correlations between voters that the label leaves;
    voters that go together share one vote's weight.  Labelled sample rows pin their label.
-4. The model's posterior labels train a linear classifier on word indicators (log-count ratios, hinge
-   loss by dual coordinate descent, calibrated), which scores every text, lexicon word or not.
+4. The model's posterior labels of the sample and of at most UNLABELLED rows without a label train a linear classifier on
+   word indicators (log-count ratios, hinge loss by dual coordinate descent, calibrated), each row by how sure its
+   posterior is.  It scores every text, lexicon word or not.
 
 Words are runs of letters (ASCII letters and all non-ASCII characters), lower-cased A-Z.
 
@@ -30,7 +31,8 @@ from taxoflux.llm.quality_classifier import fit, labelled_sample
 from taxoflux.llm.runtime import Scratch
 from taxoflux.llm.textbytes import pieces, word_bounds, word_hashes
 
-SAMPLE = 8_000
+SAMPLE = 7_000
+UNLABELLED = 2_000
 LEXICONS = 6
 SIZE = 1 << 18
 #: Words of fewer sample rows tell nothing about the label and are left out.
@@ -215,7 +217,14 @@ def scores(model):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, scratch: Scratch, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int) -> DataFrame:
+    """(doc_id, label, text) of at most ``rows`` documents that have no label, label -1; those of the smallest id hashes."""
+    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out).select("doc_id").join(labels.select("doc_id").distinct(), "doc_id", "left_anti").distinct()
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", F.lit(-1).alias("label"), "text")
+
+
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, scratch: Scratch, sample: int = SAMPLE, unlabelled: int = UNLABELLED, threshold: float = 0.7) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted.  labels: (doc_id, toxic)."""
     sc = docs.sparkSession.sparkContext
     held_out = F.coalesce(held_out, F.lit(False))
@@ -232,12 +241,14 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, scratch: Scratch
         counted = docs.select("doc_id", "text").mapInArrow(vote_counts(sent, sc.broadcast((ids, toxic))), "mask long, label long, n long")
         counted = counted.groupBy("mask", "label").agg(F.sum("n").alias("n")).orderBy("mask", "label").toArrow()  # 3 * 2**len(VOTERS) rows at most
         model = LabelModel(counted["mask"].to_numpy(), counted["label"].to_numpy(), counted["n"].to_numpy().astype(float), len(VOTERS))
-        found = chosen.mapInArrow(sample_features(sent), "doc_id long, label int, mask long, features array<int>").toArrow().sort_by("doc_id")
-        y = np.where(model.posterior(found["mask"].to_numpy()) >= 0.5, 1, -1)
+        more = chosen.select("doc_id", "label", "text").unionByName(unlabelled_sample(docs, labels, held_out, unlabelled))
+        found = more.mapInArrow(sample_features(sent), "doc_id long, label int, mask long, features array<int>").toArrow().sort_by("doc_id")
+        p = model.posterior(found["mask"].to_numpy())
+        y, sure = np.where(p >= 0.5, 1, -1), np.abs(2 * p - 1)
         rows = [np.asarray(x.values) for x in found["features"]]
         use = [i for i in range(len(rows)) if len(rows[i])]
         if len(set(y[use].tolist())) == 2:
-            w, a, b, ratio = fit([rows[i] for i in use], y[use], SIZE, seed=10, least=RARE)
+            w, a, b, ratio = fit([rows[i] for i in use], y[use], SIZE, seed=10, least=RARE, sure=sure[use])
     model = sc.broadcast((w, a, b, ratio**2))
     out = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(scores(model), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
