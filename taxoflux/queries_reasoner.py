@@ -600,9 +600,9 @@ def facts_from_json(spark, d):
     return table(spark, d, "events").select(src.ident("event", "event_id").alias("s"), F.lit("k").alias("p"), F.get_json_object("props", "$.k").alias("lexical"))
 
 
-@register("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS cls, count(*)::BIGINT AS n FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+@register("SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS cls, count(*)::BIGINT AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def stream_windowed_counts(spark, d):
     """Events as a stream, counted per class and hour; a window is given once the watermark has passed its end."""
-    stream = abox.event_stream(spark, d).select("ts", c("event_type").alias("cls"))
+    stream = abox.event_stream(spark, d).select(c("ts").cast("timestamp").alias("ts"), c("event_type").alias("cls"))
     scratch = Scratch(spark)
-    return abox.run_to_end(abox.windowed_counts(stream), f"{scratch.root}/windows")
+    return abox.run_to_end(abox.windowed_counts(stream), f"{scratch.root}/windows").withColumn("start", c("start").cast("timestamp_ntz"))

@@ -315,6 +315,10 @@ class Reasoner:
                 status = tableau.test(k, [], dict(box, types=[*box["types"], (args[1], ("not", tableau.concept(args[0])))]), self.seconds, partial)
             elif op == "ObjectPropertyAssertion":
                 status = tableau.test(k, [], dict(box, types=[*box["types"], (args[1], ("all", tableau.role(args[0]), ("notone", args[2])))]), self.seconds, partial)
+            elif op == "SubObjectPropertyOf" and not (isinstance(args[0], tuple) and args[0][0] == "ObjectPropertyChain"):
+                x, y = f"{normal.FRESH}x", f"{normal.FRESH}y"  # linked by the one but not by the other
+                apart = (x, ("all", tableau.role(args[1]), ("notone", y)))
+                status = tableau.test(k, [], dict(box, facts=[*box["facts"], (x, tableau.role(args[0]), y)], types=[*box["types"], apart, (y, ("one", y))]), self.seconds, partial)
             elif op == "SameIndividual":
                 status = tableau.test(k, [], dict(box, different=[*box["different"], *((args[0], b) for b in args[1:])]), self.seconds, partial) if len(args) == 2 else "incomplete"
             else:

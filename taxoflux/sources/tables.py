@@ -20,7 +20,7 @@ def constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def brand_group() -> Column:
-    return F.concat(F.lit("BrandGroup_"), (F.substring("p_brand", 7, 9).cast("int") % 5).cast("string"))
+    return F.concat(F.lit("BrandGroup_"), (F.substring("p_brand", 7, 9).try_cast("int") % 5).cast("string"))
 
 
 def brand_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
