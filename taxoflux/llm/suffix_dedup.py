@@ -48,11 +48,12 @@ LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
-    """f over every w neighbouring values."""
-    padded = np.concatenate([x, np.repeat(x[-1:], -len(x) % w)]).reshape(-1, w)
-    ahead = f.accumulate(padded, axis=1).ravel()
-    behind = f.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(behind[: len(x) - w + 1], ahead[w - 1 : len(x)])
+    """f over every w neighbouring values, by doubling."""
+    size = 1
+    while 2 * size <= w:
+        x = f(x[:-size], x[size:])
+        size *= 2
+    return f(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
 
 
 def minimizers(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
