@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxoflux.llm.chunks import TEXTS, Chunks, by_chunk, column, values
-from taxoflux.llm.runtime import Scratch
+from taxoflux.llm.runtime import Scratch, lean
 from taxoflux.llm.textbytes import lower_table, pieces, word_bounds, word_hashes
 
 DEPTH = 5
@@ -338,9 +338,9 @@ def score(docs: DataFrame, held_out, scratch: Scratch, depth: int = DEPTH, chunk
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text"))
     chunks = Chunks(texts, chunk_bytes)
-    asked = chunks.meet(columns=("held_out", "text")).mapInArrow(counts_of(depth), "chunk int, kind int, key long, trained long")
+    asked = chunks.meet(columns=("held_out", "text")).mapInArrow(lean(counts_of(depth)), "chunk int, kind int, key long, trained long")
     asked = asked.select("kind", "key", "chunk", "trained").repartition("key").sortWithinPartitions("key", "kind")
-    lists = scratch.save(asked.mapInArrow(gathered, "kind int, key long, trained long, chunks array<int>"))
+    lists = scratch.save(asked.mapInArrow(lean(gathered), "kind int, key long, trained long, chunks array<int>"))
     scratch.release()
     counts = lists.where("trained is not null").select("kind", "key", "trained")
     words = counts.where(F.col("kind") == WORDS)
@@ -348,12 +348,12 @@ def score(docs: DataFrame, held_out, scratch: Scratch, depth: int = DEPTH, chunk
     group = F.col("key").bitwiseAND(F.lit(0xFFFF00))
     strings = counts.where(F.col("kind") == STRINGS).select(F.shiftright(group, 8).alias("group"), "key", "trained")
     strings = strings.repartition(F.col("group")).sortWithinPartitions("group")
-    low = strings.mapInArrow(summaries(depth), "byte int, node int, zeros double, ones double, log_pw double")
+    low = strings.mapInArrow(lean(summaries(depth)), "byte int, node int, zeros double, ones double, log_pw double")
     low = low.groupBy("byte", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_pw")]).toArrow()  # 256 * 255 rows at most
     top = spark.sparkContext.broadcast(top_levels(low))
-    valued = strings.mapInArrow(prices(depth, top), "kind int, key long, value double").unionByName(words.select("kind", "key", F.col("trained").cast("double").alias("value")))
+    valued = strings.mapInArrow(lean(prices(depth, top)), "kind int, key long, value double").unionByName(words.select("kind", "key", F.col("trained").cast("double").alias("value")))
     valued = scratch.save(valued)
     sent = lists.select("kind", "key", "chunks").join(valued, ["kind", "key"]).select(F.explode("chunks").alias("chunk"), "kind", "key", "value")
     scratch.release()
-    scored = chunks.meet(sent, ("doc_id", "held_out", "text")).mapInArrow(scores(depth, int(totals[0]), int(totals[1])), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    scored = chunks.meet(sent, ("doc_id", "held_out", "text")).mapInArrow(lean(scores(depth, int(totals[0]), int(totals[1]))), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(totals[0])).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

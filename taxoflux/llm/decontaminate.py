@@ -35,6 +35,7 @@ COVERED = 0.5
 #: Share of an item's different slot values that may map to more than one value.
 INCONSISTENT = 0.25
 BROADCAST_WINDOWS = 2_000_000
+BROADCAST_ROWS = 500_000  # ids of candidates, some 40 bytes each
 # Units that make a placeholder when they follow a number.
 UNITS = "kg g mg t lb lbs oz km m cm mm mi mile miles ft feet inch inches l ml litre litres liter liters h hr hrs hour hours min mins minute minutes s sec second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent mph kmh"
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
@@ -45,26 +46,44 @@ MARKS = r"[.,;:!?\x22“”()\[\]]"
 OPEN, TAIL = r"(?<![^\x20\x09-\x0D(\[\x22'“])", r"(?=[)\]\x22'”.,;:!?]*(?:[\x20\x09-\x0D]|$))"
 
 
+def one_of(words: str) -> str:
+    """A pattern for any of the words that shares their beginnings, so that most texts fail it at the first letter."""
+    tree: dict = {}
+    for word in words.split():
+        at = tree
+        for letter in word:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        parts = [letter + pattern(below) for letter, below in sorted(at.items(), reverse=True)]  # longer words before their beginnings
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return pattern(tree)
+
+
+def _slots(text: Column, names: str) -> Column:
+    """Numbers, units and what ``names`` matches as placeholders.  Patterns begin with what is rare, so that most places fail at once."""
+    units = one_of(UNITS)
+    x = F.regexp_replace(text, rf"([0-9%]{SPACE})(?i:{units}){TAIL}", "$1\u0002")
+    x = F.regexp_replace(x, rf"(?=[+$€£0-9-]){OPEN}[+$€£-]?[0-9][0-9.,:/-]*%?(?i:{units})?{TAIL}", "\u0001")
+    x = F.regexp_replace(F.when(text.rlike("[0-9]"), x).otherwise(text), names, "\u0003")
+    return F.lower(F.regexp_replace(x, MARKS + "+", ""))
+
+
 def canonical(text: Column) -> Column:
     """Placeholders for slots, plain words in lower case, no marks.  Tokens keep their order; those made
     of marks alone vanish, as they do in ``tokens``."""
-    units = "|".join(UNITS.split())
-    x = F.regexp_replace(text, rf"(?<=[0-9%]{SPACE})(?i:{units}){TAIL}", "\u0002")
-    x = F.regexp_replace(x, rf"{OPEN}[+$€£-]?[0-9][0-9.,:/-]*%?(?i:{units})?{TAIL}", "\u0001")
-    x = F.when(text.rlike("[0-9]"), x).otherwise(text)
     # a capital after the end of a sentence names nothing
-    x = F.regexp_replace(x, rf"\p{{Lu}}(?<=[^.!?\x20\x09-\x0D]{SPACE}[(\[\x22'“]{{0,2}}\p{{Lu}})[\p{{Ll}}\p{{M}}'’-]+{TAIL}", "\u0003")
-    return F.lower(F.regexp_replace(x, MARKS + "+", ""))
+    return _slots(text, rf"\p{{Lu}}(?<=[^.!?\x20\x09-\x0D]{SPACE}[(\[\x22'“]{{0,2}}\p{{Lu}})[\p{{Ll}}\p{{M}}'’-]+{TAIL}")
 
 
 def wide(text: Column) -> Column:
     """Canonical text with number words and the names that open sentences as slots too."""
-    number, units = "|".join(NUMBERS.split()), "|".join(UNITS.split())
-    x = F.regexp_replace(text, rf"{OPEN}(?i:(?:{number})(?:-(?:{number}))*){TAIL}", "0")
-    y = F.regexp_replace(x, rf"(?<=[0-9%]{SPACE})(?i:{units}){TAIL}", "\u0002")
-    y = F.regexp_replace(y, rf"{OPEN}[+$€£-]?[0-9][0-9.,:/-]*%?(?i:{units})?{TAIL}", "\u0001")
-    y = F.regexp_replace(F.when(x.rlike("[0-9]"), y).otherwise(x), rf"{OPEN}(?!(?:{'|'.join(OPENERS.split())}){TAIL})\p{{Lu}}[\p{{Ll}}\p{{M}}'’-]+{TAIL}", "\u0003")
-    return F.lower(F.regexp_replace(y, MARKS + "+", ""))
+    number = one_of(NUMBERS)
+    first = "".join(sorted({w[0] + w[0].upper() for w in NUMBERS.split()}))
+    x = F.regexp_replace(text, rf"(?=[{first}]){OPEN}(?i:{number}(?:-{number})*){TAIL}", "0")
+    return _slots(x, rf"(?=\p{{Lu}}){OPEN}(?!{one_of(OPENERS)}{TAIL})\p{{Lu}}[\p{{Ll}}\p{{M}}'’-]+{TAIL}")
 
 
 def collapsed(text: Column) -> Column:
@@ -141,6 +160,12 @@ def in_line(size: int, own: DataFrame, hits: DataFrame) -> DataFrame:
     return lines.agg(F.count_distinct("ipos").alias("n_matched"), F.first("n_windows").alias("n_windows"), F.min("ipos").alias("lo"), (F.max("ipos") + size).alias("hi"))
 
 
+def bounded(rows: DataFrame, scratch: Scratch, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, written; sent to all tasks if they are at most ``most``, else joined by shuffle."""
+    rows = scratch.save(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def near_lines(keyed: DataFrame, items: DataFrame, scratch: Scratch, covered: float, inconsistent: float, broadcast_windows: int) -> DataFrame:
     """The pairs that wide templates find, after the slot check."""
     known = scratch.save(item_windows(items, WIDE, WIDE_PLAIN, collapsed))
@@ -162,7 +187,7 @@ def near_lines(keyed: DataFrame, items: DataFrame, scratch: Scratch, covered: fl
         kept = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | ~slot(i) | (F.element_at(c, i + 1) != F.element_at(c, F.greatest(i, F.lit(1)))))
         return {f"__{a}w": plain_tokens(text), f"__{a}k": F.concat(kept, F.array(F.size(c)))}
 
-    at = found.select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__r")).distinct()
+    at = bounded(found.select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__r")).distinct(), scratch)
     texts = keyed.join(at, same, "left_semi").dropDuplicates(["doc_id", "row_hash"]).select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__r"), "text", tokens(wide(F.col("text"))).alias("__dc"))
     texts = texts.withColumns(words(F.col("text"), "d")).drop("text", "__dc")
     mine = items.groupBy("item_id").agg(F.min("text").alias("text")).where("text is not null").select(F.col("item_id").alias("__i"), "text", tokens(wide(F.col("text"))).alias("__ic")).where(F.size("__ic") > 0)
@@ -202,7 +227,8 @@ def contaminated(docs: DataFrame, items: DataFrame, scratch: Scratch, window: in
         found = found.unionByName(in_line(size, own, hits).where(F.col("n_matched") == F.col("n_windows")))
     found = scratch.save(found)
     near = near_lines(keyed, items, scratch, covered, inconsistent, broadcast_windows)
-    texts = keyed.join(found.select("doc_id", "row_hash").distinct().select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__r")), (F.col("row_hash") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    at = bounded(found.select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__r")).distinct(), scratch)
+    texts = keyed.join(at, (F.col("row_hash") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
     doc_words = texts.dropDuplicates(["doc_id", "row_hash"]).select(F.col("doc_id").alias("__d"), F.col("row_hash").alias("__r"), plain_tokens(F.col("text")).alias("__dw"))
     item_words = items.groupBy("item_id").agg(F.min("text").alias("text")).select(F.col("item_id").alias("__i"), plain_tokens(F.coalesce("text", F.lit(""))).alias("__iw"), tokens(canonical(F.coalesce("text", F.lit("")))).alias("__ic"))
     pairs = found.join(doc_words, (F.col("row_hash") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d"))).join(item_words, F.col("item_id") == F.col("__i"))
@@ -233,5 +259,5 @@ def spark_empty(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, scratch: Scratch, **rules) -> DataFrame:
     """The documents, all columns, that hold no item."""
     leak, leak_id = unused(docs, "leak"), unused(docs, "leak_id")
-    leaked = scratch.save(contaminated(docs, items, scratch, **rules).select(F.col("doc_id").alias(leak_id), F.col("row_hash").alias(leak)).distinct())
+    leaked = bounded(contaminated(docs, items, scratch, **rules).select(F.col("doc_id").alias(leak_id), F.col("row_hash").alias(leak)).distinct(), scratch)
     return docs.join(leaked, (F.xxhash64("doc_id", "text") == F.col(leak)) & docs["doc_id"].eqNullSafe(F.col(leak_id)), "left_anti")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxoflux.llm.components import components
-from taxoflux.llm.runtime import Scratch, unused
+from taxoflux.llm.runtime import Scratch, lean, unused
 from taxoflux.llm.textbytes import pieces, shingle_hashes, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -402,8 +402,8 @@ def tried(texts: DataFrame, chosen: DataFrame, k: int, broadcast_rows: int) -> D
     if chosen.count() <= broadcast_rows:  # else texts are shuffled to meet them
         chosen = F.broadcast(chosen)
     sets = texts.join(chosen, "rid").withColumn("pair", F.explode("blocks")).select("text", "label", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "own", "cluster", "set_id")
-    dealt = sets.mapInArrow(member_sets(k), MEMBERS_SQL).repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "set_id")
-    return dealt.mapInArrow(links_in_groups, "a long, b long").distinct()
+    dealt = sets.mapInArrow(lean(member_sets(k)), MEMBERS_SQL).repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "set_id")
+    return dealt.mapInArrow(lean(links_in_groups), "a long, b long").distinct()
 
 
 def pairs_of_blocks(own, others):
@@ -415,7 +415,7 @@ def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: i
     spark = docs.sparkSession
     # rid finds a text again; rows of a null doc_id are told apart by their text
     texts = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"))
-    first = scratch.save(texts.mapInArrow(classes_of(k), "doc_id long, rid long, n_shingles long, set_id long, shingle long, times long"))
+    first = scratch.save(texts.mapInArrow(lean(classes_of(k)), "doc_id long, rid long, n_shingles long, set_id long, shingle long, times long"))
     classes = first.where("shingle is null").select("doc_id", "rid", "n_shingles", "set_id")
     often = scratch.save(first.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")))
     total = often.agg(F.sum("times")).first()[0] or 0
@@ -423,11 +423,11 @@ def link_classes(docs: DataFrame, scratch: Scratch, k: int = SHINGLE, ordered: i
     keys = often["shingle"].to_numpy(np.int64).view(np.uint64)
     place = np.argsort(keys)
     order = spark.sparkContext.broadcast((keys[place], (len(keys) - place).astype(np.int32)))  # ORDERED rows at most
-    dealt = texts.select("text").mapInArrow(deal(k, order), "kind int, key long, set_id long")
+    dealt = texts.select("text").mapInArrow(lean(deal(k, order)), "kind int, key long, set_id long")
     dealt = dealt.repartition(F.when(F.col("kind") == COUNTED, F.col("key")).otherwise(F.col("set_id"))).sortWithinPartitions("key", "set_id")
-    shared = dealt.mapInArrow(shared_keys, "set_id long, place long, key long")
+    shared = dealt.mapInArrow(lean(shared_keys), "set_id long, place long, key long")
     shared = shared.repartition("set_id").sortWithinPartitions("set_id", F.col("place").asc_nulls_last(), "key")
-    heads = scratch.save(shared.mapInArrow(prefix_rows, "key long, set_id long, size int"))
+    heads = scratch.save(shared.mapInArrow(lean(prefix_rows), "key long, set_id long, size int"))
     scratch.release()
     groups = components(candidates(heads, scratch), scratch)
     scratch.drop(heads)

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 NON_SPACE = r"[^\x20\x09-\x0D]"
-SYMBOLS = r"[#*$%&|<>]+"
 
 
 @dataclass(frozen=True)
@@ -51,10 +50,6 @@ RULES = (
 )
 
 
-def _removed(text: Column, pattern: str) -> Column:
-    return (F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))).cast("long")
-
-
 METRICS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -62,20 +57,27 @@ def metrics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), wanted: tuple[
     """docs -> keep columns + the metrics that are wanted."""
     text = F.coalesce(F.col("__text"), F.lit(""))
     df = docs.select(*keep, F.col("text").alias("__text")).withColumn("__text", text)
-    lines = F.filter(F.split(F.col("__text"), "\n"), lambda x: x.rlike(NON_SPACE))
-    words, hashes = F.col("__words"), F.col("__hash")
-    by_words = {"n_words", "word_chars", "n_repeat_words"}.intersection(wanted)
-    first = {"n_symbols": lambda: _removed(F.col("__text"), SYMBOLS), "n_upper": lambda: _removed(F.col("__text"), r"\p{Lu}+")}
-    df = df.withColumns({k: f() for k, f in first.items() if k in wanted} | ({"__words": F.array_remove(F.split(F.col("__text"), SPACE), "")} if by_words else {}) | ({"__lines": lines} if {"n_lines", "n_dup_lines"}.intersection(wanted) else {}))
-    second = {
-        "n_lines": lambda: F.size("__lines").cast("long"),
-        "n_dup_lines": lambda: (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "word_chars": lambda: F.char_length(F.array_join(words, "")).cast("long"),
+    text = F.col("__text")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NON_SPACE))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
+    repeats = "n_repeat_words" in wanted
+    first = {
+        "word_chars": lambda: F.char_length(text).cast("long") - count(r"[\x20\x09-\x0D]"),
+        "n_symbols": lambda: count(r"[#*$%&|<>]"),
+        "n_upper": lambda: count(r"\p{Lu}"),
+        "n_words": lambda: count(NON_SPACE + "+"),
     }
-    df = df.withColumns({k: f() for k, f in second.items() if k in wanted} | ({"n_words": F.size(words).cast("long")} if by_words else {}) | ({"__hash": F.transform(words, lambda w: F.xxhash64(w))} if "n_repeat_words" in wanted else {}))
-    df = df.drop("__text", "__lines", "__words")
-    if "n_repeat_words" not in wanted:
+    columns = {k: f() for k, f in first.items() if k in wanted and not (repeats and k == "n_words")}
+    columns |= {"__words": F.array_remove(F.split(text, SPACE), "")} if repeats else {}
+    columns |= {"__lines": lines} if {"n_lines", "n_dup_lines"}.intersection(wanted) else {}
+    df = df.withColumns(columns)
+    second = {"n_lines": lambda: F.size("__lines").cast("long"), "n_dup_lines": lambda: (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")}
+    columns = {k: f() for k, f in second.items() if k in wanted}
+    columns |= {"n_words": F.size("__words").cast("long"), "__hash": F.transform("__words", lambda w: F.xxhash64(w))} if repeats else {}
+    df = (df.withColumns(columns) if columns else df).drop("__text", "__lines", "__words")
+    if not repeats:
         return df.select(*keep, *wanted)
+    hashes = F.col("__hash")
     n = F.col("n_words").cast("int")
     pairs = F.zip_with(F.slice(hashes, F.lit(1), n - 2), F.slice(hashes, F.lit(2), n - 2), lambda a, b: F.xxhash64(a, b))
     triples = F.zip_with(pairs, F.slice(hashes, F.lit(3), n - 2), lambda ab, c: F.xxhash64(ab, c))

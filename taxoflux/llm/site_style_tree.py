@@ -118,16 +118,17 @@ def parse(page: str):
         path, out, inside = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else ("", 0, False)
 
     at, n = 0, len(page)
-    last = page.rfind(">") + 1  # no tag ends after it, and an open comment ends with the page
+    last = page.rfind(">") + 1  # no tag ends after it
     while at < n:
-        m = TAG.search(page, at, n if page.find("<!--", max(at, last)) >= 0 else last) if at < last or "<!--" in page[at:] else None
+        m = TAG.search(page, at, last) if at < last else None
         if m is None:
-            words.append(entities.unescape(page[at:]))
+            comment = page.find("<!--", at)
+            words.append(entities.unescape(page[at : comment if comment >= 0 else n]))
             break
         if m.start() > at:
             piece = page[at : m.start()]
             words.append(entities.unescape(piece) if "&" in piece else piece)
-        at = m.end()
+        at = m.end() if m[2] or m[5] or not m[0].startswith("<!--") or m[0].endswith("-->") else n  # an open comment ends with the page
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue

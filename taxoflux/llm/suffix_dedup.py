@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxoflux.llm.chunks import TEXTS, Chunks, by_chunk, column, values
-from taxoflux.llm.runtime import Scratch
+from taxoflux.llm.runtime import Scratch, lean
 from taxoflux.llm.suffix_array import permuted_common_prefixes, suffix_array
 from taxoflux.llm.textbytes import mixed, pieces, powers
 
@@ -397,12 +397,12 @@ def kept_parts(with_text: bool):
 def removed_runs(chunks: Chunks, copies: DataFrame, scratch: Scratch, length: int = LENGTH, seed: int = SEED, block: int = BLOCK_BYTES) -> DataFrame:
     """Texts by chunk, and the (chunk, kind, uid, doc) of copies -> (chunk, kind, uid, doc, start, stop) removed runs."""
     met = chunks.meet(copies, ("uid", "doc", "text"))
-    seeds = met.mapInArrow(seeds_of(length, seed), "seed long, chunk int, low long, high long")
-    found = scratch.save(seeds.repartition("seed").sortWithinPartitions("seed").mapInArrow(led, "chunk int, kind int, seed long, leader long"))
+    seeds = met.mapInArrow(lean(seeds_of(length, seed)), "seed long, chunk int, low long, high long")
+    found = scratch.save(seeds.repartition("seed").sortWithinPartitions("seed").mapInArrow(lean(led), "chunk int, kind int, seed long, leader long"))
     del met, seeds
     scratch.release()
     met = chunks.meet(copies.unionByName(found, allowMissingColumns=True), ("uid", "doc", "text"))
-    cuts = scratch.save(met.mapInArrow(cuts_of(length, seed), "leader long, chunk int, uid long, doc long, start long, cut binary"))
+    cuts = scratch.save(met.mapInArrow(lean(cuts_of(length, seed)), "leader long, chunk int, uid long, doc long, start long, cut binary"))
     del met
     scratch.drop(found)
     scratch.release()
@@ -410,16 +410,16 @@ def removed_runs(chunks: Chunks, copies: DataFrame, scratch: Scratch, length: in
     large = scratch.save(sizes.where("blocks > 1"))
     cuts = cuts.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("uid", "doc", "start"), F.col("blocks")).cast("int"))
     dealt = cuts.repartition("leader", "block").sortWithinPartitions("leader", "block")
-    gone = scratch.save(dealt.mapInArrow(removed_in_shards(length, block), GONE_SQL))
+    gone = scratch.save(dealt.mapInArrow(lean(removed_in_shards(length, block)), GONE_SQL))
     del dealt
     scratch.release()
     runs = gone.where("leader is null").select("chunk", F.lit(SIDE).alias("kind"), "uid", "doc", "start", "stop")
     if not large.isEmpty():
         windows = gone.where("leader is not null").select("leader", "range", "block", "hashes", "least").repartition("leader", "range").sortWithinPartitions("leader", "range")
-        lost = windows.mapInArrow(lost_windows, "leader long, block int, hash binary")
+        lost = windows.mapInArrow(lean(lost_windows), "leader long, block int, hash binary")
         met = lost.unionByName(cuts.where("blocks > 1").drop("blocks"), allowMissingColumns=True).withColumn("last", F.col("hash").isNull())
         met = met.repartition("leader", "block").sortWithinPartitions("leader", "block", "last")
-        more = scratch.save(met.select("leader", "block", "hash", "chunk", "uid", "doc", "start", "cut").mapInArrow(removed_in_blocks(length), GONE_SQL))
+        more = scratch.save(met.select("leader", "block", "hash", "chunk", "uid", "doc", "start", "cut").mapInArrow(lean(removed_in_blocks(length)), GONE_SQL))
         runs = runs.unionByName(more.select("chunk", F.lit(SIDE).alias("kind"), "uid", "doc", "start", "stop"))
     return runs
 
@@ -437,4 +437,4 @@ def dedup(docs: DataFrame, scratch: Scratch, length: int = LENGTH, with_text: bo
     runs = removed_runs(chunks, copies, scratch, length, **limits)
     met = chunks.meet(copies.unionByName(runs, allowMissingColumns=True), ("doc_id", "uid", "doc", "text"))
     kept = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return met.mapInArrow(kept_parts(with_text), kept)
+    return met.mapInArrow(lean(kept_parts(with_text)), kept)
