@@ -116,6 +116,20 @@ class Ontology:
         reps = components(self.relations["same"], scratch)
         return reps.join(reps.where(c("node") == ind).select("rep"), "rep").select(c("node").alias("ind"))
 
+    def equivalents(self, cls: str) -> DataFrame:
+        sets = self.relations["equiv_class"].where(F.array_contains("members", cls))
+        return sets.select(F.explode("members").alias("cls")).where(c("cls") != cls).distinct()
+
+    def _others(self, relation: str, x: str) -> DataFrame:
+        rows = self.relations[relation].where((c("a") == x) | (c("b") == x))
+        return rows.select(F.when(c("a") == x, c("b")).otherwise(c("a")).alias("x")).distinct()
+
+    def disjoint_with(self, cls: str) -> DataFrame:
+        return self._others("disjoint", cls)
+
+    def different_from(self, ind: str) -> DataFrame:
+        return self._others("different", ind)
+
     def punning_conflicts(self) -> DataFrame:
         """IRIs whose kinds may not go together."""
         sets = self.entities.groupBy("iri").agg(F.sort_array(F.collect_set("kind")).alias("roles")).where(F.size("roles") > 1)

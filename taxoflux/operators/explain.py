@@ -1,6 +1,8 @@
 """Explanations: first derivations and shortest proofs of subsumptions."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,11 @@ def render(steps: list[tuple[str, str]]) -> str:
         return "not entailed"
     lines = [f"{i}. SubClassOf({a} {b})  [told]" for i, (a, b) in enumerate(steps, 1)]
     return "\n".join([*lines, f"therefore SubClassOf({steps[0][0]} {steps[-1][1]})"])
+
+
+def as_json(steps: list[tuple[str, str]]) -> str:
+    """A proof as JSON: told axioms in order, and what follows."""
+    found = {"entailed": bool(steps), "steps": [{"axiom": ["SubClassOf", a, b], "rule": "told"} for a, b in steps]}
+    if steps:
+        found["conclusion"] = ["SubClassOf", steps[0][0], steps[-1][1]]
+    return json.dumps(found, ensure_ascii=False)

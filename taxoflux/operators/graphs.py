@@ -24,14 +24,15 @@ def closure(edges: DataFrame, scratch: Scratch, a: str = "sub", b: str = "sup",
         edges = few
     full = scratch.save(edges.distinct())
     fresh = full
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         left = full.select(*by, F.col(a).alias(a), F.col(b).alias("__m"))
         right = fresh.select(*by, F.col(a).alias("__m"), F.col(b).alias(b))
         one = left.join(right, [*by, "__m"]).select(*keys)
         left = fresh.select(*by, F.col(a).alias(a), F.col(b).alias("__m"))
         right = full.select(*by, F.col(a).alias("__m"), F.col(b).alias(b))
         two = left.join(right, [*by, "__m"]).select(*keys)
-        fresh = scratch.save(one.unionByName(two).distinct().join(full, keys, "left_anti"))
+        both = one.unionByName(two) if k else one  # at first all is new
+        fresh = scratch.save(both.distinct().join(full, keys, "left_anti"))
         if fresh.isEmpty():
             break
         full = full.unionByName(fresh)

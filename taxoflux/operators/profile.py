@@ -172,6 +172,20 @@ def modules(signatures: DataFrame, scratch) -> DataFrame:
     return signatures.select("axiom").distinct().join(reps, c("axiom") == c("node"), "left").select("axiom", F.coalesce("rep", "axiom").alias("module"))
 
 
+def partition(signatures: DataFrame, outside: DataFrame, scratch) -> DataFrame:
+    """(axiom, entity) and the axioms outside EL -> (axiom, engine): a module with such an axiom is dl as a whole, all others el."""
+    parts = modules(signatures, scratch)
+    hard = parts.join(outside.select("axiom"), "axiom", "left_semi").select("module").distinct().withColumn("engine", F.lit("dl"))
+    return parts.join(hard, "module", "left").select("axiom", F.coalesce("engine", F.lit("el")).alias("engine"))
+
+
+def subontology(rows: DataFrame, signatures: DataFrame, entities: DataFrame, scratch) -> DataFrame:
+    """The rows (with a column axiom) of the modules that hold any of the entities; their ids stay."""
+    parts = modules(signatures, scratch)
+    wanted = signatures.join(entities.select("entity"), "entity", "left_semi").join(parts, "axiom").select("module").distinct()
+    return rows.join(parts.join(wanted, "module", "left_semi").select("axiom"), "axiom", "left_semi")
+
+
 def merge_taxonomies(parts: list[DataFrame], scratch) -> DataFrame:
     """Closed hierarchies of modules -> the closed hierarchy of their union (closed again across modules)."""
     from taxoflux.operators.graphs import closure

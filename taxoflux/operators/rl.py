@@ -208,8 +208,18 @@ def materialize(rel: dict[str, DataFrame], scratch: Scratch, rules: list[Rule] |
         facts = dict(work)
         if reps is not no_reps:
             facts |= {k: to_representatives(work[k], reps, columns) for k, columns in INDIVIDUALS.items() if not none(k)}
-        facts["same"] = no_reps.select(c("node").alias("a"), c("rep").alias("b"))
-        done = fixpoint(facts, [*(rules or ABOX_RULES), *more_rules], scratch, max_rounds)
+        facts["same"] = nothing(scratch.spark, "a string, b string")
+        if any("same" in r.inputs for r in more_rules):  # among representatives equal individuals are one
+            people = facts["type"].select(c("ind").alias("a")).unionByName(facts["opa"].select(c("s").alias("a"))).unionByName(facts["opa"].select(c("o").alias("a")))
+            facts["same"] = people.distinct().select("a", c("a").alias("b"))
+        if any("different" in r.inputs for r in more_rules) and not none("different"):
+            apart = work["different"] if reps is no_reps else to_representatives(work["different"], reps, ["a", "b"])
+            facts["different"] = apart.unionByName(apart.select(c("b").alias("a"), c("a").alias("b"))).distinct()
+        extra = list(more_rules)
+        if reps is not no_reps and (named := sorted({x for r in extra for x in r.constants})):
+            rep = {r["node"]: r["rep"] for r in reps.where(c("node").isin(named)).collect()}  # as many as rules name
+            extra = [r.renamed(rep) if r.constants else r for r in extra]
+        done = fixpoint(facts, [*(rules or ABOX_RULES), *extra], scratch, max_rounds)
         rounds += done.rounds
         for k, n in done.counts.items():
             counts[k] = counts.get(k, 0) + n
@@ -237,6 +247,23 @@ def materialize(rel: dict[str, DataFrame], scratch: Scratch, rules: list[Rule] |
     return Materialization(work, reps, counts, rounds)
 
 
+def extend(done: Materialization, facts: dict[str, DataFrame], scratch: Scratch, more_rules: list[Rule] = (), max_rounds: int = 64) -> Materialization | None:
+    """What added facts bring to a materialisation: only consequences of the new ones are derived.  None where new facts make
+    individuals equal, or a relation other than type and opa grows: then all has to be derived again."""
+    if set(facts) - {"type", "opa"} or not is_empty(done.representatives):
+        return None
+    work = done.relations
+    grown = fixpoint(work, [*ABOX_RULES, *more_rules], scratch, max_rounds, delta=facts)
+    parts = [] if getattr(work["prop_char"], "_known_empty", False) else [functional_same(grown.relations["opa"], work["prop_char"])]
+    parts += [] if getattr(work["at_most"], "_known_empty", False) else [at_most_one_same(grown.relations["type"], grown.relations["opa"], work["at_most"])]
+    if not getattr(work["key"], "_known_empty", False) and (found := keys_same(grown.relations)) is not None:
+        parts.append(found)
+    if any(not p.where("a <> b").isEmpty() for p in parts) or not is_empty(of_kind(work["prop_char"], "reflexive") if not getattr(work["prop_char"], "_known_empty", False) else work["prop_char"]):
+        return None
+    counts = {k: done.counts.get(k, 0) + n for k, n in grown.counts.items()}
+    return Materialization({**work, "type": grown.relations["type"], "opa": grown.relations["opa"]}, done.representatives, counts, done.rounds + grown.rounds)
+
+
 def clashes(rel: dict[str, DataFrame], reps: DataFrame, disjoint: DataFrame) -> DataFrame:
     """(kind, a, b) of every contradiction in materialised relations, each found by one join or aggregate.  Relations that ``rel``
     lacks, or that are known to be empty, are not looked at."""

@@ -22,6 +22,10 @@ COMPARE = re.compile(r"\?(\w+)\s*(<=|>=|=|!=|<|>)\s*(-?[0-9.]+)$")
 SHAPES = {"Type": ("type", ("ind", "cls")), "sameAs": ("same", ("a", "b")), "differentFrom": ("different", ("a", "b")), "value": ("dpa", ("s", "p", "v"))}
 
 
+#: Columns that hold individuals.
+NAMED = {"type": ("ind",), "opa": ("s", "o"), "dpa": ("s",), "same": ("a", "b"), "different": ("a", "b")}
+
+
 class RuleError(ValueError):
     pass
 
@@ -127,11 +131,18 @@ def build(name: str, atoms: list, goal: Term) -> Rule:
             rows = todo.pop(i)
             out = out.join(rows, [x for x in rows.columns if x in out.columns])
         for v, op, number in tests:
-            column = c(v).cast("double")
+            column = c(v).try_cast("double")
             out = out.where({"<": column < number, "<=": column <= number, ">": column > number, ">=": column >= number, "=": column == number, "!=": column != number}[op])
         return out.select(*[(c(a[1:]) if a.startswith("?") else F.lit(a)).alias(k) for k, a in zip(goal.columns, goal.args)]).distinct()
 
-    return Rule(name, goal.relation, tuple(t.relation for t in terms), run)
+    named = sorted({a for t in [*terms, goal] for column, a in zip(t.columns, t.args) if column in NAMED.get(t.relation, ()) and not a.startswith("?")})
+
+    def renamed(names: dict[str, str]) -> Rule:
+        """The rule with other names for individuals, such as their representatives."""
+        other = lambda t: Term(t.relation, t.columns, tuple(names.get(a, a) if column in NAMED.get(t.relation, ()) else a for column, a in zip(t.columns, t.args)))
+        return build(name, [other(a) if isinstance(a, Term) else a for a in atoms], other(goal))
+
+    return Rule(name, goal.relation, tuple(t.relation for t in terms), run, tuple(named), renamed)
 
 
 def apply_rules(rel: dict[str, DataFrame], rules: dict[str, str], scratch: Scratch, max_rounds: int = 64, max_rows: int | None = None, trace: bool = False) -> Result:

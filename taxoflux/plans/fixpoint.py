@@ -22,12 +22,15 @@ c = F.col
 
 @dataclass(frozen=True)
 class Rule:
-    """name, head relation, input relations, and the body: one DataFrame per input -> rows of the head."""
+    """name, head relation, input relations, and the body: one DataFrame per input -> rows of the head.  A rule that names
+    individuals lists them in ``constants``; ``renamed`` gives it with other names for them."""
 
     name: str
     head: str
     inputs: tuple[str, ...]
     body: Callable[..., DataFrame]
+    constants: tuple[str, ...] = ()
+    renamed: Callable[[dict], Rule] | None = None
 
 
 @dataclass
@@ -93,7 +96,11 @@ def fixpoint(relations: dict[str, DataFrame], rules: list[Rule], scratch: Scratc
             rows = parts[0]
             for p in parts[1:]:
                 rows = rows.unionByName(p)
-            rows = rows.groupBy(*columns).agg(F.min("rule").alias("rule")).join(full[head], columns, "left_anti")
+            if is_held(full[head]):
+                rows = rows.groupBy(*columns).agg(F.min("rule").alias("rule")).join(full[head], columns, "left_anti")
+            else:  # one shuffle and no sort tell repeated and known rows from new ones
+                known = full[head].select(*columns, F.lit(None).cast("string").alias("rule"), F.lit(1).alias("__old"))
+                rows = rows.withColumn("__old", F.lit(0)).unionByName(known).groupBy(*columns).agg(F.min("rule").alias("rule"), F.max("__old").alias("__old")).where("__old = 0").drop("__old")
             held = scratch.hold(rows, MOST_NEW) if small[head] else None
             if held is not None:
                 new = Counter(held._held["rule"].to_pylist())

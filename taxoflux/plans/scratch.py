@@ -15,6 +15,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 SMALL = 10_000  # rows that the driver may hold of a relation
 
 
@@ -39,6 +40,9 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.tables: list[DataFrame] = []
         atexit.register(self._leave)
+        # long texts would make Arrow batches of hundreds of megabytes
+        if int(spark.conf.get(BATCH, str(1 << 28)).removesuffix("b")) > BATCH_BYTES:
+            spark.conf.set(BATCH, str(BATCH_BYTES))
 
     def _leave(self) -> None:
         """What results read has to stay until the driver ends; then the folder goes, if the session still stands."""

@@ -1,11 +1,13 @@
 """Registered queries that go through the reasoner, the readers and the remaining operators; part of taxoflux.queries."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from taxoflux.functions import datatypes as dt
 from taxoflux.ontology import Builder, Ontology
-from taxoflux.operators import checks, el, explain, graphs, incremental, profile, query, rl, swrl, tableau
+from taxoflux.operators import checks, el, explain, graphs, incremental, profile, query, rl, roles, swrl, tableau
 from taxoflux.plans.scratch import Scratch, table
 from taxoflux.queries import BRANDS, GROUP, PLACES, PTYPES, UP, copies, el_axioms, found, register
 from taxoflux.reasoner import Reasoner, modules
@@ -305,6 +307,12 @@ CASES = {
     "cardinality": ([("SubClassOf", "A", ("ObjectMinCardinality", 3, "r", "B")), ("SubClassOf", "A", ("ObjectMaxCardinality", 2, "r")), ("ClassAssertion", "A", "a")], False),
     "disjoint_roles": ([("DisjointObjectProperties", "r", "s"), ("SubObjectPropertyOf", "t", "r"), ("SubObjectPropertyOf", "t", "s"), ("SubClassOf", "A", ("ObjectSomeValuesFrom", "t", "B")), ("ClassAssertion", "A", "a")], False),
     "blocking": ([("SubClassOf", "A", ("ObjectSomeValuesFrom", "r", "A")), ("SubClassOf", "A", ("ObjectUnionOf", "B", "C")), ("ClassAssertion", "A", "a")], True),
+    "thing_is_nothing": ([("EquivalentClasses", "owl:Thing", "owl:Nothing")], False),
+    "finite_nominal": ([("SubClassOf", "owl:Thing", ("ObjectOneOf", "a", "b")), ("DifferentIndividuals", "a", "b", "c")], False),
+    "finite_nominal_open": ([("SubClassOf", "owl:Thing", ("ObjectOneOf", "a", "b")), ("DifferentIndividuals", "a", "b")], True),
+    "nominal_grid": ([("EquivalentClasses", "Hole", ("ObjectOneOf", "h1", "h2")), ("SubClassOf", "Pigeon", ("ObjectSomeValuesFrom", "in", "Hole")), ("InverseFunctionalObjectProperty", "in"), ("ClassAssertion", "Pigeon", "p1"), ("ClassAssertion", "Pigeon", "p2"), ("ClassAssertion", "Pigeon", "p3"), ("DifferentIndividuals", "p1", "p2", "p3")], False),
+    "union_of_nominals": ([("SubClassOf", "A", ("ObjectUnionOf", ("ObjectOneOf", "a"), "B")), ("DisjointClasses", "A", "B"), ("ClassAssertion", "A", "x"), ("ClassAssertion", "A", "y"), ("DifferentIndividuals", "x", "y")], False),
+    "bottom_property": ([("ObjectPropertyDomain", "owl:bottomObjectProperty", "owl:Nothing"), ("SubObjectPropertyOf", "r", "owl:bottomObjectProperty"), ("SubClassOf", "A", ("ObjectSomeValuesFrom", "r", "B")), ("ClassAssertion", "A", "a")], False),
     "asymmetric": ([("AsymmetricObjectProperty", "r"), ("SymmetricObjectProperty", "r"), ("SubClassOf", "A", ("ObjectSomeValuesFrom", "r", "B")), ("ClassAssertion", "A", "a")], False),
 }
 
@@ -606,3 +614,117 @@ def stream_windowed_counts(spark, d):
     stream = abox.event_stream(spark, d).select(c("ts").cast("timestamp").alias("ts"), c("event_type").alias("cls"))
     scratch = Scratch(spark)
     return abox.run_to_end(abox.windowed_counts(stream), f"{scratch.root}/windows").withColumn("start", c("start").cast("timestamp_ntz"))
+
+
+# ---- the property hierarchy ---------------------------------------------------------------------------
+PROPERTY_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in src.PROPERTIES)
+
+
+@register(f"WITH RECURSIVE edges AS (SELECT * FROM (VALUES {PROPERTY_ROWS}, ('nationOf', 'contains')) t(sub, sup)), {UP} SELECT sub, sup FROM up")
+def property_taxonomy(spark, d):
+    """The object properties classified, named inverses too."""
+    o = Ontology.empty(spark).with_rows("sub_prop", src.PROPERTIES).with_rows("inverse", [("inNation", "nationOf"), ("locatedIn", "contains")])
+    return Reasoner(o).classify_properties()
+
+
+@register("SELECT * FROM (VALUES ('t', 'irregular'), ('u', 'irregular'), ('far', 'not simple: functional'), ('above', 'not simple: at_most')) v(p, problem)")
+def property_restrictions(spark, d):
+    """Chains that no order of properties allows, and composite properties where only simple ones may stand."""
+    o = Ontology.empty(spark).with_rows("chain", [("r", "u", "t"), ("r", "t", "u"), ("near", "near", "far"), ("own", "r", "own")]).with_rows("sub_prop", [("far", "above")])
+    o = o.with_rows("prop_char", [("far", "functional"), ("near", "functional")]).with_rows("at_most", [("A", "above", "1", rl.THING), ("A", "near", "1", rl.THING)])
+    return Reasoner(o).global_restrictions()
+
+
+@register("SELECT 'onlyOf_' || n_nationkey AS sub, 'inRegion' AS sup FROM nation UNION SELECT 'onlyOf_' || n_nationkey, 'within' FROM nation")
+def endpoint_subsumption(spark, d):
+    """A property of one possible pair is below every property that links the pair; paths of transitive ones count."""
+    places = src.locations(spark, d).where("p = 'inRegion'")
+    done = materialized(spark, opa=places, sub_prop=[("inRegion", "within")], prop_char=[("within", "transitive")])
+    endpoints = places.select(F.regexp_replace("s", "nation/", "onlyOf_").alias("p"), "s", "o")
+    return roles.by_endpoints(endpoints, done.relations["opa"])
+
+
+@register("SELECT DISTINCT 'Made_' || p_type AS sub, 'MadeSomehow' AS sup FROM part")
+def definition_subsumption(spark, d):
+    """Classes defined by an existential, compared through the closed hierarchies of properties and fillers."""
+    kinds = table(spark, d, "part").select("p_type").distinct()
+    definitions = kinds.select(F.concat(F.lit("Made_"), "p_type").alias("cls"), F.lit("madeAs").alias("p"), c("p_type").alias("filler")).unionByName(src.constants(spark, [("MadeSomehow", "relatesTo", "Method")], "cls string, p string, filler string"))
+    return roles.by_definitions(definitions, kinds.select(c("p_type").alias("sub"), F.lit("Method").alias("sup")), src.constants(spark, [("madeAs", "relatesTo")], "sub string, sup string"))
+
+
+@register("SELECT 'nation/' || n_nationkey AS s, 'owl:bottomObjectProperty' AS p FROM nation WHERE n_regionkey = 3")
+def clash_bottom_chain(spark, d):
+    """A chain below the bottom property: each witness is a clash."""
+    text = "Prefix(:=<urn:>) SubObjectPropertyOf(ObjectPropertyChain(:inRegion :closed) owl:bottomObjectProperty)"
+    from taxoflux.sources.normal import relations
+
+    rows, _ = relations(documents.read_text(text).axioms)
+    opa = src.locations(spark, d).where("p = 'inRegion'").withColumn("p", F.lit("urn:inRegion")).unionByName(spark.createDataFrame([("region/3", "urn:closed", "closed/1")], "s string, p string, o string"))
+    o = Ontology.of_rows(spark, rows).replace(opa=opa)
+    return Reasoner(o).clashes().where("kind = 'nothing'").select(c("a").alias("s"), F.lit("owl:bottomObjectProperty").alias("p"))
+
+
+# ---- modules ------------------------------------------------------------------------------------------
+def region_axioms(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), c("n_regionkey") == c("r_regionkey")).select(F.concat_ws("<", "n_name", "r_name").alias("axiom"), F.array("n_name", "r_name").alias("entities"))
+    return rows, profile.signature(rows)
+
+
+@register("SELECT n_name || '<' || r_name AS axiom, CASE WHEN r_name = 'ASIA' THEN 'dl' ELSE 'el' END AS engine FROM nation JOIN region ON n_regionkey = r_regionkey")
+def partition_axioms(spark, d):
+    """One axiom outside EL makes its whole module the tableau's; the others stay with completion."""
+    rows, signature = region_axioms(spark, d)
+    return profile.partition(signature, rows.where("axiom like '%<ASIA'").orderBy("axiom").limit(1), Scratch(spark))
+
+
+@register("SELECT n_name || '<' || r_name AS axiom FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey = (SELECT n_regionkey FROM nation WHERE n_name = 'NATION_4')")
+def subontology(spark, d):
+    rows, signature = region_axioms(spark, d)
+    return profile.subontology(rows.select("axiom"), signature, spark.createDataFrame([("NATION_4",)], "entity string"), Scratch(spark))
+
+
+@register("SELECT 'customer/' || c_custkey AS ind, 'Located' AS cls FROM customer UNION SELECT 'supplier/' || s_suppkey, 'Located' FROM supplier UNION SELECT 'nation/' || n_nationkey, 'Located' FROM nation")
+def rl_incremental(spark, d):
+    """Facts added to a materialisation: only what follows from the new ones is derived."""
+    places = src.locations(spark, d)
+    o = Ontology.empty(spark).with_rows("sub_prop", [("inNation", "locatedIn"), ("inRegion", "locatedIn")]).with_rows("domain", [("locatedIn", "Located")])
+    r = Reasoner(o.replace(opa=places.where("not startswith(s, 'customer/')")))
+    r.materialize()
+    return r.extend(opa=places.where("startswith(s, 'customer/')")).relations["type"]
+
+
+# ---- data restrictions ----------------------------------------------------------------------------------
+_int = lambda facet, n: f'DatatypeRestriction(xsd:int xsd:{facet} "{n}"^^xsd:int)'
+DATA_CASES = [
+    ("bounds", f"SubClassOf(:X DataSomeValuesFrom(:p {_int('minInclusive', 5)})) SubClassOf(:X DataAllValuesFrom(:p {_int('maxExclusive', 5)}))", True),
+    ("touching", f"SubClassOf(:X DataSomeValuesFrom(:p {_int('minInclusive', 5)})) SubClassOf(:X DataAllValuesFrom(:p {_int('maxInclusive', 5)}))", False),
+    ("families", "SubClassOf(:X DataSomeValuesFrom(:p xsd:string)) SubClassOf(:X DataAllValuesFrom(:p xsd:integer))", True),
+    ("derived", "SubClassOf(:X DataSomeValuesFrom(:p xsd:byte)) SubClassOf(:X DataAllValuesFrom(:p xsd:integer))", False),
+    ("subproperty", "SubDataPropertyOf(:p :q) SubClassOf(:X DataSomeValuesFrom(:p xsd:string)) SubClassOf(:X DataAllValuesFrom(:q xsd:integer))", True),
+    ("superclass", "SubClassOf(:X :Y) SubClassOf(:Y DataAllValuesFrom(:p xsd:integer)) SubClassOf(:X DataHasValue(:p \"a\"))", True),
+    ("functional", "FunctionalDataProperty(:p) SubClassOf(:X DataHasValue(:p \"1\"^^xsd:int)) SubClassOf(:X DataHasValue(:p \"2\"^^xsd:int))", True),
+    ("functional_equal", "FunctionalDataProperty(:p) SubClassOf(:X DataHasValue(:p \"1\"^^xsd:int)) SubClassOf(:X DataHasValue(:p \"1.0\"^^xsd:decimal))", False),
+    ("enumeration", "SubClassOf(:X DataSomeValuesFrom(:p DataOneOf(\"1\"^^xsd:int \"2\"^^xsd:int))) SubClassOf(:X DataAllValuesFrom(:p DataComplementOf(DataOneOf(\"1\"^^xsd:int \"2\"^^xsd:int))))", True),
+    ("min_max", "SubClassOf(:X DataMinCardinality(3 :p)) SubClassOf(:X DataMaxCardinality(2 :p))", True),
+    ("union", "SubClassOf(:X DataSomeValuesFrom(:p DataUnionOf(xsd:string xsd:int))) SubClassOf(:X DataAllValuesFrom(:p xsd:integer))", False),
+]
+
+
+@register("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(v).lower()})" for k, _, v in DATA_CASES) + ") t(name, unsatisfiable)")
+def data_restrictions(spark, d):
+    """Classes whose data restrictions leave no value, by interval arithmetic over the told hierarchy."""
+    from taxoflux.sources.normal import relations
+
+    out = []
+    for name, axioms, _ in DATA_CASES:
+        rows, _ = relations(documents.read_text(f"Prefix(:=<urn:>) Prefix(xsd:=<http://www.w3.org/2001/XMLSchema#>) Ontology({axioms})").axioms)
+        out.append((name, ("urn:X", el.NOTHING) in rows.get("sub_class", [])))
+    return spark.createDataFrame(out, "name string, unsatisfiable boolean")
+
+
+# ---- proofs ---------------------------------------------------------------------------------------------
+@register(f"SELECT DISTINCT 1 AS step, p_brand AS sub, {GROUP} AS sup FROM part WHERE p_brand = 'Brand#7' UNION SELECT DISTINCT 2, {GROUP}, 'Part' FROM part WHERE p_brand = 'Brand#7'")
+def explain_steps(spark, d):
+    """The told axioms of a shortest proof, in order, read back from its JSON."""
+    found = json.loads(Reasoner(Ontology.empty(spark).replace(sub_class=src.brand_hierarchy(spark, d))).explain("Brand#7", "Part", "json"))
+    return spark.createDataFrame([(i, *s["axiom"][1:]) for i, s in enumerate(found["steps"], 1)], "step int, sub string, sup string")

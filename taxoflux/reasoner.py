@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxoflux.ontology import Ontology
-from taxoflux.operators import el, explain, graphs, incremental, profile, query, rl, swrl, tableau
+from taxoflux.operators import el, explain, graphs, incremental, profile, query, rl, roles, swrl, tableau
 from taxoflux.plans.fixpoint import Rule
 from taxoflux.plans.scratch import Scratch, is_empty, nothing
 from taxoflux.sources import documents, functional, normal
@@ -47,6 +47,7 @@ class Reasoner:
                 rules += swrl.rules_of_axiom(axiom, f"rule{i}", n)
             else:
                 n.axiom(axiom, i)
+        n.close()
         return cls(Ontology.of_rows(spark, n.rows, doc.entities), n.rest, rules, **options)
 
     @classmethod
@@ -253,15 +254,34 @@ class Reasoner:
         rows = query.property_values(done.relations["opa"], done.representative(s), p)
         return rl.expand(rows.select("o"), done.representatives, ["o"])
 
-    def sub_properties(self, p: str, direct: bool = False) -> DataFrame:
-        """Subproperties by told edges, equivalences and mirrored edges of inverses; direct ones have none between."""
+    def classify_properties(self) -> DataFrame:
+        """(sub, sup): the closed hierarchy of object properties, equivalences and mirrored edges of inverses included."""
         r = self.ontology.relations
         edges = r["sub_prop"].unionByName(rl.equivalence_edges(r["equiv_prop"]))
-        inv = r["inverse"].unionByName(r["inverse"].select(c("q").alias("p"), c("p").alias("q"))).distinct()
-        if "inverse" in self._told():
-            one = edges.join(inv.select(c("p").alias("sub"), c("q").alias("x")), "sub").join(inv.select(c("p").alias("sup"), c("q").alias("y")), "sup")
-            edges = edges.unionByName(one.select(c("x").alias("sub"), c("y").alias("sup"))).distinct()
-        closed = graphs.closure(edges, self.scratch)
+        return self._cached("properties", lambda: roles.taxonomy(edges, r["inverse"], self.scratch))
+
+    def extend(self, **facts: DataFrame) -> rl.Materialization:
+        """Adds facts (type, opa) to the ontology and derives only what follows from them, if nothing has been materialised that
+        equalities could change; else everything is derived again."""
+        done = self._cache.get("materialized", (None, None))
+        current = done[1] if done[0] == self.ontology.revision else None
+        self.ontology = self.ontology.replace(**{k: self.ontology.relations[k].unionByName(v.select(*rl.SCHEMA[k])).distinct() for k, v in facts.items()})
+        if current is not None and (more := rl.extend(current, facts, self.scratch, self.rules)) is not None:
+            self._cache["materialized"] = (self.ontology.revision, more)
+        return self.materialize()
+
+    def global_restrictions(self) -> DataFrame:
+        """(p, problem): what OWL 2 DL forbids of the property hierarchy: irregular chains, and composite properties where only
+        simple ones may stand."""
+        r = self.ontology.relations
+        up = r["sub_prop"].unionByName(rl.equivalence_edges(r["equiv_prop"])).unionByName(roles.mirrored(r["sub_prop"], r["inverse"])).distinct()
+        bad = roles.irregular(up, r["chain"], self.scratch).select(c("sup").alias("p"), F.lit("irregular").alias("problem"))
+        composite = roles.composite(up, r["chain"], rl.of_kind(r["prop_char"], "transitive"), self.scratch)
+        return bad.unionByName(roles.need_simple(r).join(composite, "p", "left_semi").select("p", F.concat(F.lit("not simple: "), "use").alias("problem")))
+
+    def sub_properties(self, p: str, direct: bool = False) -> DataFrame:
+        """Subproperties by told edges, equivalences and mirrored edges of inverses; direct ones have none between."""
+        closed = self.classify_properties()
         found = (graphs.reduction(closed) if direct else closed).where(c("sup") == p).select("sub").distinct()
         return found.where(~normal.is_fresh(c("sub")))
 
@@ -327,9 +347,11 @@ class Reasoner:
             status = "incomplete"
         return {"unsatisfiable": True, "satisfiable": False}.get(status)
 
-    def explain(self, sub: str, sup: str) -> str:
+    def explain(self, sub: str, sup: str, form: str = "text") -> str:
+        """The told axioms of a shortest proof, as text or json."""
         edges = self.ontology.relations["sub_class"].unionByName(rl.equivalence_edges(self.ontology.relations["equiv_class"]))
-        return explain.render(explain.proof(explain.shortest_proofs(edges, self.scratch), sub, sup))
+        steps = explain.proof(explain.shortest_proofs(edges, self.scratch), sub, sup)
+        return explain.as_json(steps) if form == "json" else explain.render(steps)
 
 
 def named_only(t: el.Taxonomy) -> el.Taxonomy:

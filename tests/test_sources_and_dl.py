@@ -201,6 +201,33 @@ def test_rules_in_documents(spark):
     assert {x[0] for x in r.instances("urn:Owner").collect()} == {"urn:ann", "urn:anna"} and r.route().engine == "swrl"
 
 
+def test_rules_over_equality(spark):
+    """Constants of a rule stand for their cluster; sameAs in a body holds within it, in a head it makes one."""
+    r = reasoner(spark, """SameIndividual(:a :b) ObjectPropertyAssertion(:p :a :x) ObjectPropertyAssertion(:q :c :y) ClassAssertion(:K :d) DifferentIndividuals(:c :d)
+        DLSafeRule(Body(ObjectPropertyAtom(:p :b Variable(:v))) Head(ClassAtom(:FromB Variable(:v))))
+        DLSafeRule(Body(ObjectPropertyAtom(:q Variable(:u) Variable(:v))) Head(SameIndividualAtom(Variable(:v) :x)))
+        DLSafeRule(Body(ClassAtom(:FromB Variable(:u)) SameIndividualAtom(Variable(:u) Variable(:v))) Head(ClassAtom(:Same Variable(:v))))
+        DLSafeRule(Body(ClassAtom(:K Variable(:u)) DifferentIndividualsAtom(Variable(:u) Variable(:v))) Head(ClassAtom(:Other Variable(:v))))""")
+    one = lambda cls: {x[0] for x in r.instances(f"urn:{cls}").collect()}
+    assert one("FromB") == {"urn:x", "urn:y"} == one("Same") and one("Other") == {"urn:c"}
+
+
+def test_property_hierarchy(spark):
+    r = reasoner(spark, "SubObjectPropertyOf(:r :s) InverseObjectProperties(:r :ri) InverseObjectProperties(:s :si) TransitiveObjectProperty(:s) FunctionalObjectProperty(:s) SubObjectPropertyOf(ObjectPropertyChain(:s :r :r) :s)")
+    assert ("urn:ri", "urn:si") in {tuple(x) for x in r.classify_properties().collect()}
+    assert {tuple(x) for x in r.global_restrictions().collect()} == {("urn:s", "not simple: functional")}
+
+
+def test_extending_a_materialisation(spark):
+    r = reasoner(spark, "SubClassOf(:A :B) TransitiveObjectProperty(:t) ObjectPropertyAssertion(:t :x :y) ClassAssertion(:A :x) FunctionalObjectProperty(:f)")
+    r.materialize()
+    facts = lambda rows: spark.createDataFrame(rows, "s string, p string, o string")
+    done = r.extend(opa=facts([("urn:y", "urn:t", "urn:z")]))
+    assert ("urn:x", "urn:t", "urn:z") in {tuple(x) for x in done.relations["opa"].collect()}
+    r.extend(opa=facts([("urn:k", "urn:f", "urn:m"), ("urn:k", "urn:f", "urn:n")]))  # makes m and n equal: all is derived again
+    assert {x[0] for x in r.property_values("urn:k", "urn:f").collect()} == {"urn:m", "urn:n"}
+
+
 def test_lenient_reading_goes_on_after_a_bad_axiom():
     text = PREFIX + "SubClassOf(:A :B) SubClassOf(nope:x ObjectUnionOf(:C :D)) Nonsense(:A (:B)) SubClassOf(:B :C) SubClassOf(:A) SubClassOf(:C :D))"
     doc = functional.parse(text, lenient=True)
