@@ -81,8 +81,7 @@ def canonical(text: Column) -> Column:
 def wide(text: Column) -> Column:
     """Canonical text with number words and the names that open sentences as slots too."""
     number = one_of(NUMBERS)
-    first = "".join(sorted({w[0] + w[0].upper() for w in NUMBERS.split()}))
-    x = F.regexp_replace(text, rf"(?=[{first}]){OPEN}(?i:{number}(?:-{number})*){TAIL}", "0")
+    x = F.regexp_replace(text, rf"(^|[\x20\x09-\x0D(\[\x22'“])(?i:{number}(?:-{number})*){TAIL}", "$10")  # group 1, then 0
     return _slots(x, rf"(?=\p{{Lu}}){OPEN}(?!{one_of(OPENERS)}{TAIL})\p{{Lu}}[\p{{Ll}}\p{{M}}'’-]+{TAIL}")
 
 
